@@ -124,6 +124,12 @@ def test_reconcile_qualified(spark):
 def test_graph_questions(spark):
     edges = _declared(spark)
     assert rows(lineage.dependencies(edges)) == [("conform", "ingest"), ("legacy", "ingest")]
+    two = spark.createDataFrame(
+        [("b", "write", "r", 1), ("a", "write", "r", 2), ("c", "read", "r", 3)],
+        "step string, direction string, ref string, position int",
+    )
+    assert rows(lineage.dependencies(two)) == [("c", "a")]
+    assert rows(lineage.dependencies(two.drop("position"))) == [("c", "b")]
     assert rows(lineage.external_reads(edges)) == [("conform", "shared.ref")]
     assert rows(lineage.unused_assets(edges)) == [("bronze._log",), ("silver.players",)]
     assert rows(lineage.duplicate_producers(edges)) == [("silver.players", 2)]

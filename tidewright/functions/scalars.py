@@ -48,8 +48,8 @@ def is_table_ref(ref: Column) -> Column:
 
 
 def percent(fraction: Column) -> Column:
-    """``0.123`` as ``12.3%``."""
-    return F.format_string("%.1f%%", fraction.cast("double") * F.lit(100.0))
+    """``0.123`` as ``12.3%``; an exact half goes to the even digit."""
+    return F.format_string("%.1f%%", F.bround(fraction.cast("double") * 100.0, 1))
 
 
 def json_field(doc: Column | str, path: str, dtype: str = "string") -> Column:

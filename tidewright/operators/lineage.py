@@ -80,12 +80,25 @@ def reconcile(declared: DataFrame, observed: DataFrame, *, source: str = "lineag
     return _findings(edge_diff(declared, observed), severity, message)
 
 
+def producers(edges: DataFrame) -> DataFrame:
+    """``ref, producer``: the step that owns a ref, one per ref.
+
+    Where several steps primarily write a ref (``duplicate_producers`` reports those), the last one owns it:
+    last by ``position`` if the edges carry one, else by name.
+    """
+    writers = primary_writes(edges).filter(F.col("ref").isNotNull())
+    last = F.max_by("step", F.struct("position", "step")) if "position" in edges.columns else F.max("step")
+    return writers.groupBy("ref").agg(last.alias("producer"))
+
+
 def dependencies(edges: DataFrame) -> DataFrame:
-    """``step, depends_on``: the step reads what the other primarily writes; never itself."""
+    """``step, depends_on``: the step reads what the other produces; never itself.
+
+    With one producer per ref the join returns at most one row per read edge, however many steps share a ref.
+    """
     reads = edges.filter(F.col("direction") == "read").select("step", "ref").distinct()
-    writers = primary_writes(edges).select(F.col("step").alias("depends_on"), "ref").distinct()
-    pairs = reads.join(writers, "ref").filter(F.col("step") != F.col("depends_on"))
-    return pairs.select("step", "depends_on").distinct()
+    pairs = reads.join(producers(edges), "ref").filter(F.col("step") != F.col("producer"))
+    return pairs.select("step", F.col("producer").alias("depends_on")).distinct()
 
 
 def external_reads(edges: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def check_row_counts(counts: DataFrame, tolerance: Column | float = fixed.DEFAUL
     prev, cur = F.col("previous"), F.col("current")
     drop = (prev - cur).cast("double") / prev.cast("double")
     flagged = counts.filter(F.when(prev > 0, drop > tol).otherwise(F.lit(False)))
-    message = F.format_string(fixed.ROW_COUNT_DROP_FORMAT, drop * 100.0, prev, cur, tol.cast("double") * 100.0)
+    message = F.format_string(fixed.ROW_COUNT_DROP_FORMAT, F.bround(drop * 100.0, 1), prev, cur, F.bround(tol.cast("double") * 100.0, 1))
     return flagged.select(
         *_finding(
             F.col("table"),
