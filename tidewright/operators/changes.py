@@ -11,9 +11,9 @@ from tidewright.functions.fixed import HASH_COLUMN, INGESTED_AT_COLUMN
 from tidewright.functions.hashing import stamp_hash
 from tidewright.functions.scalars import key_text
 from tidewright.operators.dedup import latest_wins
-from tidewright.operators.keys import check_keys, likely_broadcast
+from tidewright.operators.keys import check_keys, likely_broadcast, lookup_join
 
-_KEY, _STORED, _FOUND, _SPREAD = "_key", "_stored_hash", "_found", "_spread"
+_KEY, _STORED, _FOUND = "_key", "_stored_hash", "_found"
 
 
 def latest_stored_hashes(
@@ -57,7 +57,7 @@ def existing_hashes(
             texted.join(wanted, key, "left_semi"), key, order_by=order_by, hash_column=hash_column
         )
     latest = latest_stored_hashes(texted, key, order_by=order_by, hash_column=hash_column)
-    return latest.join(wanted.distinct(), key, "left_semi")
+    return latest.join(wanted.distinct(), key, "left_semi")  # one row per key on either side
 
 
 def classify_changes(
@@ -84,17 +84,10 @@ def classify_changes(
     else:  # the left join below drops the other keys as well; a semi join first would only add a shuffle
         texted = stored.withColumn(key, key_text(stored[f"`{key}`"])).filter(F.col(f"`{key}`").isNotNull())
         latest = latest_stored_hashes(texted, key, order_by=order_by, hash_column=hash_column)
-    # Joining on a second column makes Spark shuffle the narrow hash table once more rather than reuse its
-    # partitioning by key. Both inputs are then plain shuffles, the shape in which adaptive execution can
-    # split a batch partition that a hot (or NULL) key has made too large.
     lookup = latest.select(
-        F.col(f"`{key}`").alias(_KEY),
-        F.xxhash64(F.col(f"`{key}`")).alias(_SPREAD),
-        F.col(hash_column).alias(_STORED),
-        F.lit(True).alias(_FOUND),
+        F.col(f"`{key}`").alias(_KEY), F.col(hash_column).alias(_STORED), F.lit(True).alias(_FOUND)
     )
-    left = stamped.withColumn(_KEY, key_text(F.col(f"`{key}`"))).withColumn(_SPREAD, F.xxhash64(F.col(_KEY)))
-    joined = left.join(lookup, [_KEY, _SPREAD], "left")
+    joined = lookup_join(stamped.withColumn(_KEY, key_text(F.col(f"`{key}`"))), lookup, [_KEY], "left")
     change_class = (
         F.when(F.col(_FOUND).isNull(), "new")
         .when(~F.col(_STORED).eqNullSafe(F.col(hash_column)), "changed")

@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.operators.keys import lookup_join
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only for a local session that has none."""
@@ -58,5 +60,6 @@ def unplaceable(reach: DataFrame) -> DataFrame:
     ``src → dst`` reads "dst comes after src", so everything reachable from a cycle waits for it.
     """
     members = on_cycle(reach)
-    behind = reach.join(members.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    behind = lookup_join(reach, members.withColumnRenamed("node", "src"), ["src"], "left_semi")
+    behind = behind.select(F.col("dst").alias("node"))
     return members.unionAll(behind).distinct()

@@ -7,7 +7,7 @@ expressions over its parsed JSON (a variant), with no Python in the tasks.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -26,28 +26,33 @@ def _no_errors() -> Column:
     return F.array().cast("array<string>")
 
 
-def _kind(value: Column) -> Column:
-    """The JSON type of a variant, with whole and fractional numbers told apart."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(shape.startswith("OBJECT"), "object")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape == "BIGINT", "integer")
-        .when(shape.rlike(_BEYOND_LONG), "integer")
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` mentions it.
+
+    A column expression repeated in the branches of a check is evaluated in each; nested, that multiplies with
+    every level of the contract. A one-element ``transform`` binds it to a variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _leaf_kind(value: Column) -> Column:
+    """The JSON type of a variant that is neither object nor array; whole and fractional numbers told apart."""
+    return _once(
+        F.schema_of_variant(value),
+        lambda shape: F.when(shape == "STRING", "string")
+        .when((shape == "BIGINT") | shape.rlike(_BEYOND_LONG), "integer")
         .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "fraction")
         .when(shape == "BOOLEAN", "boolean")
         .when(shape == "VOID", "null")
-        .otherwise("string")
+        .otherwise("string"),
     )
 
 
-def _text(value: Column) -> Column:
+def _text(value: Column, kind: Column) -> Column:
     """The value as an error message shows it."""
     raw = F.to_json(value)
-    quoted = F.concat(F.lit("'"), F.try_variant_get(value, "$", "string"), F.lit("'"))
-    kind = _kind(value)
     return (
-        F.when(kind == "string", quoted)
+        F.when(kind == "string", F.concat(F.lit("'"), F.try_variant_get(value, "$", "string"), F.lit("'")))
         .when(kind == "boolean", F.initcap(raw))
         .when(kind == "null", F.lit("None"))
         .otherwise(raw)
@@ -72,18 +77,17 @@ def _kind_of_literal(literal: Any) -> str:
     return "object" if isinstance(literal, Mapping) else "array"
 
 
-def _equals(value: Column, literal: Any) -> Column:
+def _equals(value: Column, kind: Column, literal: Any) -> Column:
     """JSON equality with a literal of the contract; 1 equals 1.0, and true equals neither."""
-    kind = _kind_of_literal(literal)
-    if kind == "null":
-        return _kind(value) == "null"
-    if kind in ("integer", "fraction"):
-        return _kind(value).isin("integer", "fraction") & F.coalesce(
-            F.try_variant_get(value, "$", "double") == F.lit(float(literal)), F.lit(False)
-        )
-    if kind in ("string", "boolean"):
-        typed = F.try_variant_get(value, "$", kind)
-        return (_kind(value) == kind) & F.coalesce(typed == F.lit(literal), F.lit(False))
+    wanted = _kind_of_literal(literal)
+    if wanted == "null":
+        return kind == "null"
+    if wanted in ("integer", "fraction"):
+        number = F.try_variant_get(value, "$", "double")
+        return kind.isin("integer", "fraction") & F.coalesce(number == F.lit(float(literal)), F.lit(False))
+    if wanted in ("string", "boolean"):
+        typed = F.try_variant_get(value, "$", wanted)
+        return (kind == wanted) & F.coalesce(typed == F.lit(literal), F.lit(False))
     return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(literal))))
 
 
@@ -109,63 +113,76 @@ def _resolve(schema: Contract, root: Contract, seen: tuple[str, ...]) -> tuple[C
 
 
 def _errors(value: Column, schema: Contract, root: Contract, path: Column, seen: tuple[str, ...]) -> Column:
+    """Errors of one node; ``value`` is a variant, JSON null included, and never SQL NULL."""
     schema, seen = _resolve(schema, root, seen)
-    kind = _kind(value)
+    node = F.struct(
+        value.alias("value"),
+        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
+        F.try_variant_get(value, "$", "array<variant>").alias("elements"),
+    )
+
+    def with_kind(n: Column) -> Column:
+        kind = (
+            F.when(n.getField("members").isNotNull(), "object")
+            .when(n.getField("elements").isNotNull(), "array")
+            .otherwise(_leaf_kind(n.getField("value")))
+        )
+        return _once(kind, lambda k: _node_errors(n, k, schema, root, path, seen))
+
+    return _once(node, with_kind)
+
+
+def _node_errors(
+    node: Column, kind: Column, schema: Contract, root: Contract, path: Column, seen: tuple[str, ...]
+) -> Column:
+    value, members, elements = (node.getField(f) for f in ("value", "members", "elements"))
     own: list[Column] = []
     if "const" in schema:
-        text = F.concat(path, F.lit(f": expected {_shown(schema['const'])}, got "), _text(value))
-        own.append(F.when(~_equals(value, schema["const"]), text))
+        text = F.concat(path, F.lit(f": expected {_shown(schema['const'])}, got "), _text(value, kind))
+        own.append(F.when(~_equals(value, kind, schema["const"]), text))
     if "enum" in schema:
         allowed = F.lit(False)
         for option in schema["enum"]:
-            allowed = allowed | _equals(value, option)
-        text = F.concat(path, F.lit(": "), _text(value), F.lit(f" not one of {_shown(list(schema['enum']))}"))
+            allowed = allowed | _equals(value, kind, option)
+        text = F.concat(path, F.lit(": "), _text(value, kind), F.lit(f" not one of {_shown(list(schema['enum']))}"))
         own.append(F.when(~allowed, text))
     here = F.array_compact(F.array(*own)) if own else _no_errors()
 
     deeper: list[Column] = []
-    members = F.try_variant_get(value, "$", "map<string,variant>")
     if schema.get("required"):
-        keys = F.map_keys(members)
         absent = [
-            F.when(~F.array_contains(keys, name), F.concat(path, F.lit(f": missing required key {_shown(name)}")))
+            F.when(
+                ~F.map_contains_key(members, name),
+                F.concat(path, F.lit(f": missing required key {_shown(name)}")),
+            )
             for name in schema["required"]
         ]
-        deeper.append(F.when(kind == "object", F.array_compact(F.array(*absent))))
+        deeper.append(F.array_compact(F.array(*absent)))
     for name, sub in (schema.get("properties") or {}).items():
         child = F.try_element_at(members, F.lit(name))
         found = _errors(child, sub, root, F.concat(path, F.lit(f".{name}")), seen)
-        deeper.append(F.when((kind == "object") & child.isNotNull(), found))
+        deeper.append(F.when(F.map_contains_key(members, name), found).otherwise(_no_errors()))
+    below = F.when(kind == "object", F.concat(*deeper)) if deeper else None
     if "items" in schema:
-        elements = F.try_variant_get(value, "$", "array<variant>")
         found = F.flatten(
             F.transform(
                 elements,
                 lambda item, i: _errors(
-                    F.coalesce(item, F.parse_json(F.lit("null"))),
-                    schema["items"],
-                    root,
-                    F.concat(path, F.lit("["), i.cast("string"), F.lit("]")),
-                    seen,
+                    item, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), seen
                 ),
             )
         )
-        deeper.append(F.when(kind == "array", found))
-    below = F.concat(*[F.coalesce(d, _no_errors()) for d in deeper]) if deeper else None
+        below = (below if below is not None else F).when(kind == "array", found)
+    everything = here if below is None else F.concat(here, below.otherwise(_no_errors()))
 
     types = schema.get("type")
-    if types:
-        types = [types] if isinstance(types, str) else list(types)
-        found_name = F.lit("float")
-        for k, shown in VALUE_TYPE_NAMES.items():
-            found_name = F.when(kind == k, F.lit(shown)).otherwise(found_name)
-        mismatch = F.concat(path, F.lit(f": expected {'/'.join(types)}, got "), found_name)
-        fits = _has_type(kind, types)
-        # a wrong type ends the check here; what lies below would only repeat it
-        return F.when(fits, F.concat(here, below) if below is not None else here).otherwise(
-            F.concat(here, F.array(mismatch))
-        )
-    return F.concat(here, below) if below is not None else here
+    if not types:
+        return everything
+    types = [types] if isinstance(types, str) else list(types)
+    found_name = F.element_at(F.create_map(*[F.lit(x) for pair in VALUE_TYPE_NAMES.items() for x in pair]), kind)
+    mismatch = F.concat(path, F.lit(f": expected {'/'.join(types)}, got "), found_name)
+    # a wrong type ends the check here; what lies below would only repeat it
+    return F.when(_has_type(kind, types), everything).otherwise(F.concat(here, F.array(mismatch)))
 
 
 def contract_errors(doc: Column | str, contract: Contract, *, path: str = "$") -> Column:
@@ -174,13 +191,15 @@ def contract_errors(doc: Column | str, contract: Contract, *, path: str = "$") -
     Checks const, enum, type, required, properties, items and local ``$ref``. Text that is no JSON (or NULL)
     gives the single error ``$: not valid JSON``.
     """
-    value = F.try_parse_json(F.col(doc) if isinstance(doc, str) else doc)
-    checked = _errors(value, contract, contract, F.lit(path), ())
-    return F.when(value.isNull(), F.array(F.lit(f"{path}: not valid JSON"))).otherwise(checked)
+    parsed = F.try_parse_json(F.col(doc) if isinstance(doc, str) else doc)
+    return _once(
+        parsed,
+        lambda value: F.when(value.isNull(), F.array(F.lit(f"{path}: not valid JSON"))).otherwise(
+            _errors(value, contract, contract, F.lit(path), ())
+        ),
+    )
 
 
-def check_contract(
-    df: DataFrame, doc: str, contract: Contract, *, errors_column: str = "errors"
-) -> DataFrame:
+def check_contract(df: DataFrame, doc: str, contract: Contract, *, errors_column: str = "errors") -> DataFrame:
     """The frame with an ``array<string>`` of contract errors per record."""
     return df.withColumn(errors_column, contract_errors(doc, contract))

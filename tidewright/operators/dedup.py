@@ -25,6 +25,7 @@ def latest_wins(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Col
     for name in (INGESTED_AT_COLUMN, SOURCE_FILE_COLUMN):
         if name in df.columns and name not in named:
             order.append(F.col(name).desc_nulls_last())
-    order.append((F.col(HASH_COLUMN) if HASH_COLUMN in df.columns else cheap_row_hash(df)).desc_nulls_last())
+    if HASH_COLUMN not in named:
+        order.append((F.col(HASH_COLUMN) if HASH_COLUMN in df.columns else cheap_row_hash(df)).desc_nulls_last())
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("_rn") == 1).drop("_rn")

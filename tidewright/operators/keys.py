@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_SPREAD = "_spread"
+
 
 def check_keys(columns: Sequence[str], keys: Sequence[str]) -> None:
     if not keys:
@@ -37,6 +39,19 @@ def likely_broadcast(df: DataFrame) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= int(limit)
 
 
+def lookup_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``left`` joined with a frame that holds each key once; ``how`` is left, inner, left_semi or left_anti.
+
+    The join also compares a hash of the keys. That changes no result, but it keeps Spark from reusing the
+    partitioning which the lookup's own deduplication left behind: both inputs then are plain shuffles, the
+    shape in which adaptive execution can split a partition of ``left`` that a hot (or NULL) key has made too
+    large. The price is one more shuffle of the lookup, unless it is small enough to be broadcast.
+    """
+    spread = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    joined = left.withColumn(_SPREAD, spread).join(lookup.withColumn(_SPREAD, spread), [*keys, _SPREAD], how)
+    return joined.drop(_SPREAD)
+
+
 def keys_of_interest(table: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of ``table``, cut to those in ``batch`` when the batch is small enough to send around.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import fixed
 from tidewright.functions.scalars import qualify_ref
+from tidewright.operators.keys import lookup_join
 
 EDGE = ("step", "direction", "ref")
 
@@ -43,17 +44,13 @@ def edge_diff(declared: DataFrame, observed: DataFrame) -> DataFrame:
     sides = distinct_edges(declared).select(*EDGE, F.lit(1).alias("_d"), F.lit(0).alias("_o")).unionByName(
         distinct_edges(observed).select(*EDGE, F.lit(0).alias("_d"), F.lit(1).alias("_o"))
     )
-    # one aggregation over the union does the work of a full outer join and tells on the way which steps
-    # both sides know; each side is already distinct, so no group holds more than two rows
+    # one aggregation over the union does the work of a full outer join; each side is already distinct, so no
+    # group holds more than two rows, and the steps both sides know come out of the same shuffle
     edges = sides.groupBy(*EDGE).agg(F.max("_d").alias("_d"), F.max("_o").alias("_o"))
-    observed_steps = distinct_edges(observed).select("step").distinct()
-    declared_steps = declared.select("step").distinct()
-    one_sided = edges.filter(F.col("_d") != F.col("_o"))
-    return (
-        one_sided.join(observed_steps, "step", "left_semi")
-        .join(declared_steps, "step", "left_semi")
-        .select(*EDGE, F.when(F.col("_o") == 1, "undeclared").otherwise("unseen").alias("side"))
-    )
+    steps = edges.groupBy("step").agg(F.max("_d").alias("_sd"), F.max("_o").alias("_so"))
+    compared = steps.filter((F.col("_sd") == 1) & (F.col("_so") == 1)).select("step")
+    one_sided = lookup_join(edges.filter(F.col("_d") != F.col("_o")), compared, ["step"], "left_semi")
+    return one_sided.select(*EDGE, F.when(F.col("_o") == 1, "undeclared").otherwise("unseen").alias("side"))
 
 
 def reconcile(declared: DataFrame, observed: DataFrame, *, source: str = "lineage") -> DataFrame:
@@ -97,7 +94,7 @@ def dependencies(edges: DataFrame) -> DataFrame:
     With one producer per ref the join returns at most one row per read edge, however many steps share a ref.
     """
     reads = edges.filter(F.col("direction") == "read").select("step", "ref").distinct()
-    pairs = reads.join(producers(edges), "ref").filter(F.col("step") != F.col("producer"))
+    pairs = lookup_join(reads, producers(edges), ["ref"], "inner").filter(F.col("step") != F.col("producer"))
     return pairs.select("step", F.col("producer").alias("depends_on")).distinct()
 
 
@@ -105,7 +102,7 @@ def external_reads(edges: DataFrame) -> DataFrame:
     """Reads of refs that no step primarily writes."""
     produced = primary_writes(edges).select("ref").distinct()
     reads = edges.filter(F.col("direction") == "read").select("step", "ref").distinct()
-    return reads.join(produced, "ref", "left_anti").select("step", "ref")
+    return lookup_join(reads, produced, ["ref"], "left_anti").select("step", "ref")
 
 
 def unused_assets(edges: DataFrame) -> DataFrame:
@@ -131,12 +128,16 @@ def access_inventory(log: DataFrame) -> DataFrame:
 
 def inventory_totals(log: DataFrame) -> DataFrame:
     """One row: distinct steps, distinct refs read and distinct refs written."""
-    refs = log.select("direction", "ref").distinct().agg(
-        F.count_if(F.col("direction") == "read").alias("distinct_reads"),
-        F.count_if(F.col("direction") == "write").alias("distinct_writes"),
+    touched = F.array(
+        F.struct(F.lit("step").alias("what"), F.col("step").alias("name")),
+        F.struct(F.col("direction").alias("what"), F.col("ref").alias("name")),
+    )
+    names = log.select(F.inline(touched)).distinct().filter(F.col("name").isNotNull())
+    return names.agg(
+        F.count_if(F.col("what") == "step").alias("steps"),
+        F.count_if(F.col("what") == "read").alias("distinct_reads"),
+        F.count_if(F.col("what") == "write").alias("distinct_writes"),
     )
-    steps = log.select("step").distinct().agg(F.count(F.lit(1)).alias("steps"))
-    return steps.crossJoin(refs)  # one row each
 
 
 def status_counts(steps: DataFrame) -> DataFrame:

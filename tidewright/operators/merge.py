@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.keys import any_null, check_keys, keys_of_interest
+from tidewright.operators.keys import any_null, check_keys, keys_of_interest, lookup_join
 
 _HIT = "_hit"
 
@@ -36,7 +36,7 @@ def merged_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
         *[F.col(f"`{c}`").alias(names[c]) for c in values],
         F.lit(True).alias(_HIT),
     )
-    joined = target.join(incoming, list(keys), "left")
+    joined = lookup_join(target, incoming, keys, "left")
     hit = F.col(_HIT).isNotNull()
     existing = joined.select(
         *[
@@ -48,7 +48,7 @@ def merged_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
         F.when(hit, "update").otherwise("keep").alias("_action"),
     )
 
-    fresh = source.join(keys_of_interest(target, source, keys), list(keys), "left_anti")
+    fresh = lookup_join(source, keys_of_interest(target, source, keys), keys, "left_anti")
     inserted = fresh.select(
         *[
             (F.col(f"`{f.name}`") if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name)

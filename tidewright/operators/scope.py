@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def high_water_mark(df: DataFrame, column: str = "updated_at") -> DataFrame:
@@ -21,8 +22,14 @@ def latest_watermark(spark: SparkSession, table: str, column: str = "updated_at"
 
 
 def newer_than(df: DataFrame, column: str, watermark: Any | None) -> DataFrame:
-    """Rows past the mark. The literal comparison is pushed to the scan and prunes files."""
-    return df if watermark is None else df.filter(F.col(column) > F.lit(watermark))
+    """Rows past the mark. It is compared as a literal of the column's own type, so that the filter reaches the
+    scan and prunes files."""
+    if watermark is None:
+        return df
+    dtype = df.schema[column].dataType
+    if isinstance(dtype, TimestampNTZType):  # as text: a datetime literal would shift by the driver's zone
+        watermark = str(watermark)
+    return df.filter(F.col(column) > F.lit(watermark).cast(dtype))
 
 
 def sample_scope(df: DataFrame, *, where: Column | str | None = None, limit: int | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,14 +10,13 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.fixed import STRATEGIES
 from tidewright.operators.dedup import latest_wins
-from tidewright.operators.keys import any_null, check_keys, keys_of_interest, require_unique
+from tidewright.operators.keys import any_null, check_keys, keys_of_interest, lookup_join, require_unique
 from tidewright.operators.merge import merged_rows
 from tidewright.sources.publish import (
     current_version,
     is_view,
     publish,
     quoted,
-    version_name,
     write_version,
 )
 
@@ -116,6 +114,20 @@ def _dynamic_partition_overwrite(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+@contextlib.contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A batch that several steps read, kept on the executors meanwhile (in memory, else on disk).
+
+    What it holds stays the same between the steps even if its source moves on, it is computed once, and its
+    true size is known to the planner from the second step on. A lost executor's part is computed again.
+    """
+    batch = df.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def overwrite_table(df: DataFrame, name: str, *, path: str | None = None, fmt: str = "parquet") -> None:
     """Retry-safe full replace."""
     write_table(df, name, mode="overwrite", fmt=fmt, path=path)
@@ -160,21 +172,22 @@ def append_dedup(
     """
     check_keys(df.columns, keys)
     spark = df.sparkSession
-    if not df.filter(any_null(keys)).isEmpty():
-        raise ValueError(f"append_dedup needs non-NULL keys ({', '.join(keys)})")
-    fresh = latest_wins(df, keys, order_by)
-    existing = read_or_none(spark, name)
-    if existing is not None:
-        fresh = fresh.join(keys_of_interest(existing, df, keys), list(keys), "left_anti").select(*df.columns)
-    seen = Observation()
-    counted = fresh.observe(seen, F.count(F.lit(1)).alias("n"))
-    target = name
+    existing, target = read_or_none(spark, name), name
     if existing is not None and is_view(spark, name):
         target = current_version(spark, name)
         if target is None:
             raise ValueError(f"{name} is a view that was not published here")
-    write_table(counted, target, mode="append", path=path, fmt=fmt)
-    return seen.get["n"]
+    with _kept(df) as batch:
+        if not batch.filter(any_null(keys)).isEmpty():
+            raise ValueError(f"append_dedup needs non-NULL keys ({', '.join(keys)})")
+        fresh = latest_wins(batch, keys, order_by)
+        if existing is not None:
+            known = keys_of_interest(existing, batch, keys)
+            fresh = lookup_join(fresh, known, keys, "left_anti").select(*batch.columns)
+        seen = Observation()
+        counted = fresh.observe(seen, F.count(F.lit(1)).alias("n"))
+        write_table(counted, target, mode="append", path=path, fmt=fmt)
+        return seen.get["n"]
 
 
 def upsert(
@@ -195,8 +208,15 @@ def upsert(
     only the touched partitions rewritten. Any other is written as a new version, and the name then switched
     over to it; readers see the old content or the new, never a mix.
     """
-    spark = df.sparkSession
     check_keys(df.columns, keys)
+    with _kept(df) as batch:
+        return _upsert(batch, name, keys, location=location, fmt=fmt, run_id=run_id)
+
+
+def _upsert(
+    df: DataFrame, name: str, keys: Sequence[str], *, location: str | None, fmt: str, run_id: str | None
+) -> dict[str, int]:
+    spark = df.sparkSession
     total = require_unique(df, keys, "batch")
     if not spark.catalog.tableExists(name):
         if fmt in MERGE_FORMATS:
@@ -237,7 +257,7 @@ def upsert(
 def _native_merge(df: DataFrame, name: str, keys: Sequence[str], total: int) -> dict[str, int]:
     spark = df.sparkSession
     target = spark.table(name)
-    inserted = df.join(keys_of_interest(target, df, keys), list(keys), "left_anti").count()
+    inserted = lookup_join(df, keys_of_interest(target, df, keys), keys, "left_anti").count()
     on = " AND ".join(f"{quoted(name)}.`{k}` = source.`{k}`" for k in keys)
     merge = df.alias("source").mergeInto(name, F.expr(on))
     values = {c: F.col(f"source.`{c}`") for c in df.columns}
@@ -277,21 +297,3 @@ def write_with_strategy(
         return overwrite_table(df, name, path=path)
     return write_table(df, name, mode="append", path=path)
 
-
-def fresh_run_id() -> str:
-    return uuid.uuid4().hex[:12]
-
-
-__all__ = [
-    "append_dedup",
-    "fresh_run_id",
-    "overwrite_partitions",
-    "overwrite_table",
-    "partition_columns",
-    "read_or_none",
-    "table_format",
-    "upsert",
-    "version_name",
-    "write_table",
-    "write_with_strategy",
-]

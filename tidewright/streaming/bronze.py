@@ -70,9 +70,14 @@ def _drain(query: StreamingQuery) -> bool:
 def skip_or_run(changed: DataFrame, write: Callable[[DataFrame], Any], *, reason: str = "nothing new") -> str | None:
     """Runs ``write(changed)`` and returns None, or returns the reason for skipping when there is no row.
 
-    The emptiness test stops at the first row found.
+    The frame is kept while both look at it, so the joins behind it run once; the emptiness test stops at the
+    first row found.
     """
-    if changed.isEmpty():
-        return reason
-    write(changed)
-    return None
+    kept = changed.persist()
+    try:
+        if kept.isEmpty():
+            return reason
+        write(kept)
+        return None
+    finally:
+        kept.unpersist()

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from tidewright.plans import ingest
 from tidewright.sources.landing import infer_landing_schema, read_landing
 from tidewright.streaming.bronze import bronze_stream, refresh_with, skip_or_run
-from workload.inputs import LANDED_DDL, LANDED_SELECT, event_lines, land_lines
+from workload.inputs import LANDED_DDL, LANDED_SELECT, event_lines, incoming_orders, land_lines, stored_orders
 from workload.registry import Tables, case
 
 
@@ -45,9 +45,9 @@ def _(t: Tables) -> DataFrame:
     land_lines(t, root)
     infer_landing_schema(t.spark, root, kept)
     again = infer_landing_schema(t.spark, root, kept)
-    found = t.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in again.fields], "column_name string, data_type string")
+    found = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type")) for f in again]
     lines = read_landing(t.spark, root, again).agg(F.count(F.lit(1)).alias("lines"))
-    return found.crossJoin(lines)  # one row of lines
+    return lines.select("lines", F.inline(F.array(*found)))
 
 
 @case("io3_rescued_events", LANDED_SELECT)
@@ -152,8 +152,6 @@ def landing_to_silver(t: Tables) -> DataFrame:
 )
 def incremental_landing(t: Tables) -> DataFrame:
     """Two fetches land only what bronze does not hold yet in that form; a third finds nothing and skips."""
-    from workload.inputs import incoming_orders, stored_orders
-
     root, name = t.scratch("landing"), t.fresh_name("bronze")
     check, path = t.scratch("check"), t.scratch("bronze")
     schema = StructType.fromDDL(
