@@ -1,12 +1,13 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewright.operators import quality
+from tidewright.operators import changes, quality
 from tidewright.plans import ingest
 from tidewright.sources import landing, publish, rescue, side_tables, tables
 from tidewright.streaming import bronze
@@ -274,3 +275,23 @@ def test_flow_from_fetch_to_silver(spark, name, tmp_path):
     assert reasons.filter("array_contains(_reasons, 'updated_at: not a timestamp')").count() == 1
     assert ingest.incremental(spark.table(table), "v", None).count() == 5
     assert ingest.incremental(spark.table(table), "v", spark.table(table).filter("v = 1")).count() == 1
+
+
+def test_silver_folded_in_steps_equals_silver_of_everything(spark, name, tmp_path):
+    rng = random.Random(3)
+    bronze_table, silver_table = f"{name}_bronze", f"{name}_silver"
+    where = str(tmp_path / "silver")
+    for step in range(3):
+        batch = [
+            (rng.choice([None, *"abcdef"]), rng.choice(["2024-01-0%d 00:00:00" % d for d in range(1, 6)] + ["bad"]), rng.randint(0, 99))
+            for _ in range(40)
+        ]
+        rows_ = changes.stamp_hash(spark.createDataFrame(batch, "id string, updated_at string, v int"))
+        tables.write_table(rows_.withColumns({"_ingested_at": F.lit(step), "_rescued": F.lit(None).cast("string")}), bronze_table, mode="append")
+        refresh = lambda: ingest.refresh_silver(
+            spark, bronze_table, silver_table, ["id"], str(tmp_path / "check"), location=where
+        )
+        assert refresh() is True
+        whole = ingest.silver(spark.table(bronze_table), ["id"])
+        assert rows(spark.table(silver_table), *whole.columns) == rows(whole)
+    assert refresh() is False

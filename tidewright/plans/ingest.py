@@ -11,11 +11,12 @@ from tidewright.functions.fixed import REASONS_COLUMN, RESCUED_COLUMN
 from tidewright.operators.changes import needing_update
 from tidewright.operators.dedup import latest_wins
 from tidewright.operators.expectations import expect_or_drop, tag_reasons
+from tidewright.operators.keys import lookup_join
 from tidewright.operators.scope import high_water_mark, newer_than
 from tidewright.operators.typing import drop_helpers, type_columns
 from tidewright.sources.landing import write_landing
-from tidewright.sources.tables import read_or_none
-from tidewright.streaming.bronze import bronze_stream, refresh_table, skip_or_run
+from tidewright.sources.tables import read_or_none, upsert
+from tidewright.streaming.bronze import bronze_stream, refresh_table, refresh_with, skip_or_run
 
 
 def land_changes(
@@ -86,6 +87,36 @@ def silver_with_reasons(
     return tag_reasons(typed, guards)
 
 
+def refresh_silver(
+    spark: SparkSession,
+    bronze_table: str,
+    silver_table: str,
+    keys: Sequence[str],
+    checkpoint: str,
+    *,
+    updated_at: str = "updated_at",
+    types: Mapping[str, str] | None = None,
+    expectations: Mapping[str, Column | str] | None = None,
+    location: str | None = None,
+) -> bool:
+    """Brings the silver table up to date from the bronze rows that are new, and returns whether there were any.
+
+    The newest of the stored and the arriving versions of a key is the newest of all its versions, so this
+    gives what ``silver`` gives over the whole of bronze, while reading of bronze only what came since. Stored
+    rows are looked up for the arriving keys alone.
+    """
+
+    def fold(batch: DataFrame, _batch_id: int) -> None:
+        arriving = silver(batch, keys, updated_at=updated_at, types=types, expectations=expectations)
+        stored = read_or_none(spark, silver_table)
+        if stored is not None:
+            met = lookup_join(stored, arriving.select(*keys), keys, "left_semi")
+            arriving = latest_wins(met.unionByName(arriving), keys, [updated_at])
+        upsert(arriving, silver_table, keys, location=location)
+
+    return refresh_with(spark.readStream.table(bronze_table), fold, checkpoint)
+
+
 def incremental(df: DataFrame, column: str, bronze: DataFrame | None) -> DataFrame:
     """Rows past bronze's high-water mark; all of them on a first run."""
     if bronze is None:

@@ -10,7 +10,7 @@ from tidewright.plans import ingest
 from tidewright.sources.landing import infer_landing_schema, read_landing
 from tidewright.streaming.bronze import bronze_stream, refresh_with, skip_or_run
 from workload.inputs import LANDED_DDL, LANDED_SELECT, event_lines, incoming_orders, land_lines, stored_orders
-from workload.registry import Tables, case
+from workload.registry import ORACLES, Tables, case
 
 
 
@@ -140,6 +140,21 @@ def landing_to_silver(t: Tables) -> DataFrame:
     )
 
 
+@case("flow_silver_in_steps_events", ORACLES["flow_landing_to_silver_events"])
+def silver_in_steps(t: Tables) -> DataFrame:
+    """Files land in two lots, the later days first; silver is folded forward after each."""
+    root, bronze, silver_table = t.scratch("landing"), t.fresh_name("bronze"), t.fresh_name("silver")
+    check, path, folded, location = (t.scratch(x) for x in ("check", "bronze", "folded", "silver"))
+    lines = event_lines(t)
+    for part in ("dt >= '2024-01-16'", "dt < '2024-01-16'"):
+        lines.filter(part).hint("rebalance", "dt").write.mode("append").partitionBy("dt").text(root)
+        ingest.refresh_bronze(t.spark, root, _schema(), bronze, check, path=path)
+        ingest.refresh_silver(t.spark, bronze, silver_table, ["user_id"], folded, location=location)
+    return t.spark.table(silver_table).select(
+        "event_id", "user_id", "event_type", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "value"
+    )
+
+
 @case(
     "flow_incremental_landing_orders",
     """SELECT o_orderstatus, count(*) AS n_rows, count(*) FILTER (WHERE o_orderstatus = 'P') AS priced_again FROM (
