@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidewright.operators import changes, dedup, expectations, feed, keys, merge, scope, typing, voids
@@ -104,6 +105,23 @@ def test_expectations(spark):
     assert good.count() + bad.count() == df.count()
 
 
+def test_observed_expectations_keep_every_row(spark):
+    df = spark.createDataFrame([(1, 5), (None, 5), (2, None)], "id int, v int")
+    seen = Observation()
+    kept = expectations.observe_expectations(df, {"valid_id": "id IS NOT NULL", "positive": "v > 0"}, seen)
+    assert kept.count() == 3 and seen.get == {"n_rows": 3, "valid_id": 1, "positive": 1}
+
+
+def test_variant_columns_are_hashed_and_compared(spark):
+    df = spark.sql("select 1 k, parse_json('{\"b\": 1, \"a\": 2}') v")
+    same = spark.sql("select 1 k, parse_json('{\"a\": 2, \"b\": 1}') v")
+    other = spark.sql("select 1 k, parse_json('{\"a\": 2, \"b\": 2}') v")
+    assert feed.change_feed(df, same, ["k"]).isEmpty()
+    assert feed.change_feed(df, other, ["k"]).count() == 2
+    assert changes.stamp_hash(df).first()["content_hash"] == changes.stamp_hash(same).first()["content_hash"]
+    assert dedup.latest_wins(df, ["k"], []).count() == 1
+
+
 # --- keys and changes --------------------------------------------------------------------------------------
 def test_key_profile(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (None,)], "k int")

@@ -186,3 +186,21 @@ def test_reachability_limit_raises(spark):
     assert closure.reachability(chain).count() == 21
     with pytest.raises(RuntimeError, match="not complete"):
         closure.reachability(chain, max_rounds=2)
+
+
+def test_stuck_steps(spark):
+    edges = spark.createDataFrame(
+        [
+            ("a", "write", "t.a"), ("a", "read", "t.b"), ("b", "write", "t.b"), ("b", "read", "t.a"),
+            ("c", "read", "t.b"), ("c", "write", "t.c"), ("d", "read", "x.ext"), ("d", "write", "t.d"),
+        ],
+        "step string, direction string, ref string",
+    )
+    assert rows(closure.stuck_steps(edges)) == [("a",), ("b",), ("c",)]
+    assert closure.stuck_steps(edges.filter("step <> 'b'")).isEmpty()
+
+
+def test_counts_per(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, v int")
+    out = quality.counts_per(df, F.col("g"), F.concat(F.lit("t/"), F.col("_g")))
+    assert rows(out) == [("t/a", 2), ("t/b", 1)]

@@ -155,6 +155,22 @@ def test_upsert_creates_and_publishes(spark, name, tmp_path):
     assert spark.table(name).count() == 5
 
 
+def test_published_name_takes_every_write(spark, name, tmp_path):
+    where = str(tmp_path)
+    tables.upsert(spark.sql(BASE), name, ["id"], location=where)
+    tables.write_table(spark.sql("select 7 id, 'g' v"), name, mode="append")
+    assert spark.table(name).count() == 3
+    tables.write_table(spark.sql("select 8 id, 'h' v, 1 w"), name, mode="append", merge_schema=True)
+    assert rows(spark.table(name).filter("id >= 7"), "id", "w") == [(7, None), (8, 1)]
+    tables.overwrite_table(spark.sql("select 9 id"), name, path=where)
+    assert rows(spark.table(name)) == [(9, None, None)]
+    tables.write_table(spark.sql("select 'z' z"), name, mode="overwrite", overwrite_schema=True, path=where)
+    assert rows(spark.table(name)) == [("z",)]
+    spark.sql(f"CREATE VIEW {name}_v AS SELECT 1 id")
+    with pytest.raises(ValueError, match="not published here"):
+        tables.write_table(spark.sql("select 1 id"), f"{name}_v", mode="append")
+
+
 def test_upsert_into_plain_table(spark, name):
     spark.sql(BASE).write.saveAsTable(name)
     assert tables.upsert(spark.sql(NEXT), name, ["id"]) == {"inserted": 2, "updated": 1, "total_processed": 3}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.keys import lookup_join
+from tidewright.operators.lineage import dependencies
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -63,3 +64,9 @@ def unplaceable(reach: DataFrame) -> DataFrame:
     behind = lookup_join(reach, members.withColumnRenamed("node", "src"), ["src"], "left_semi")
     behind = behind.select(F.col("dst").alias("node"))
     return members.unionAll(behind).distinct()
+
+
+def stuck_steps(edges: DataFrame) -> DataFrame:
+    """Steps of a lineage graph that wait, directly or through others, on a cycle of dependencies."""
+    waits = dependencies(edges).select(F.col("depends_on").alias("src"), F.col("step").alias("dst"))
+    return unplaceable(reachability(waits)).withColumnRenamed("node", "step")

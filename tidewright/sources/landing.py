@@ -69,5 +69,7 @@ def infer_landing_schema(
         .json(path)
         .schema
     )
+    if not inferred.fields:
+        raise ValueError(f"no JSON object under {path} to infer a schema from")
     spark.createDataFrame([(inferred.json(),)], "value string").coalesce(1).write.mode("errorifexists").text(schema_path)
     return inferred

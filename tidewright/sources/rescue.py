@@ -60,10 +60,10 @@ def parse_with_rescue(
     """Typed columns per JSON line plus ``_rescued``: a JSON object of what did not fit, NULL when all did.
 
     Rescued are unknown fields, values of the wrong type (by dotted path, also inside structs) and lines that
-    are no JSON object (whole, under ``_corrupt_record``). Other columns of ``lines`` are kept; blank lines
+    are no JSON object or repeat a key (whole, under ``_corrupt_record``). Other columns of ``lines`` are kept; blank lines
     are skipped, as a JSON reader does. Works on batch and streaming frames alike.
     """
-    lines = lines.filter(F.trim(F.regexp_replace(value_column, r"\s", " ")) != "")
+    lines = lines.filter(F.col(value_column).rlike(r"\S"))
     kept = [c for c in lines.columns if c != value_column]
     clash = sorted(set(kept) & {*schema.names, rescued_column})
     if clash:

@@ -66,11 +66,15 @@ def write_table(
     Columns the frame lacks are written as NULL. Delta tables are created with row-change capture on.
     Rows bound for a partitioned table are rebalanced by partition first: one file set per partition instead
     of one per task, while adaptive execution splits a partition that is too large for one task.
+    A published name (see ``publish``) is appended to in its current version and overwritten by a new one.
     """
     spark = df.sparkSession
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     exists = spark.catalog.tableExists(name)
+    if exists and mode == "overwrite" and overwrite_schema and is_view(spark, name):
+        publish(spark, name, write_version(df, name, location=path, fmt=fmt, partition_by=partition_by))
+        return
     if fmt == "delta" or not exists or (mode == "overwrite" and overwrite_schema):
         writer = df.write.format(fmt).mode(mode)
         if fmt == "delta":
@@ -91,15 +95,26 @@ def write_table(
         return
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode: {mode!r}")
-    target = spark.table(name)
+    published, store = is_view(spark, name), name
+    if published:
+        store = current_version(spark, name)
+        if store is None:
+            raise ValueError(f"{name} is a view that was not published here")
+    target = spark.table(store)
     added = [f for f in df.schema.fields if f.name not in target.columns]
     if added and not merge_schema:
         raise ValueError(f"columns not in {name}: {[f.name for f in added]}; pass merge_schema to add them")
+    if published and mode == "overwrite":
+        wide = target.limit(0).unionByName(df.limit(0), allowMissingColumns=True)
+        publish(spark, name, write_version(_aligned(df, wide), name, location=path, fmt=fmt))
+        return
     if added:
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
-        spark.sql(f"ALTER TABLE {quoted(name)} ADD COLUMNS ({ddl})")
-        target = spark.table(name)
-    _aligned(df, target).write.insertInto(name, overwrite=mode == "overwrite")
+        spark.sql(f"ALTER TABLE {quoted(store)} ADD COLUMNS ({ddl})")
+        target = spark.table(store)
+    _aligned(df, target).write.insertInto(store, overwrite=mode == "overwrite")
+    if published and added:
+        publish(spark, name, store)
 
 
 @contextlib.contextmanager
@@ -172,11 +187,7 @@ def append_dedup(
     """
     check_keys(df.columns, keys)
     spark = df.sparkSession
-    existing, target = read_or_none(spark, name), name
-    if existing is not None and is_view(spark, name):
-        target = current_version(spark, name)
-        if target is None:
-            raise ValueError(f"{name} is a view that was not published here")
+    existing = read_or_none(spark, name)
     with _kept(df) as batch:
         if not batch.filter(any_null(keys)).isEmpty():
             raise ValueError(f"append_dedup needs non-NULL keys ({', '.join(keys)})")
@@ -186,7 +197,7 @@ def append_dedup(
             fresh = lookup_join(fresh, known, keys, "left_anti").select(*batch.columns)
         seen = Observation()
         counted = fresh.observe(seen, F.count(F.lit(1)).alias("n"))
-        write_table(counted, target, mode="append", path=path, fmt=fmt)
+        write_table(counted, name, mode="append", path=path, fmt=fmt)
         return seen.get["n"]
 
 

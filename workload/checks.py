@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators import quality
-from workload.inputs import GAPS_CTE, events_with_gaps
+from workload.inputs import GAPS_CTE, ORDERS_CTE, events_with_gaps, incoming_orders, stored_orders
 from workload.registry import Tables, case
 
 _FINDING = ["table", "severity", "code", "message"]
@@ -104,6 +104,23 @@ def _(t: Tables) -> DataFrame:
     return _daily_drops(t).select(*_FINDING)
 
 
+@case(
+    "qa1_row_count_drop_since_last_run",
+    f"""WITH {ORDERS_CTE},
+    runs AS (SELECT coalesce(c.y, p.y) AS s, coalesce(p.n, 0) AS prev, coalesce(c.n, 0) AS cur
+             FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM incoming GROUP BY 1) c FULL JOIN
+                  (SELECT year(o_orderdate) AS y, count(*) AS n FROM stored GROUP BY 1) p ON c.y = p.y)
+    SELECT 'orders/' || s AS "table", 'ERROR' AS severity, 'ROW_COUNT_DROP' AS code,
+           printf('row count dropped %.1f%% (%d → %d), tolerance 5.0%%', 100.0 * (prev - cur) / prev, prev, cur) AS message
+    FROM runs WHERE prev > 0 AND (prev - cur)::DOUBLE / prev > 0.05""",
+)
+def _(t: Tables) -> DataFrame:
+    """Orders per year: what the source has now against what was stored before."""
+    label = F.concat(F.lit("orders/"), F.col("_g").cast("string"))
+    per_year = [quality.counts_per(df, F.year("o_orderdate"), label) for df in (incoming_orders(t), stored_orders(t))]
+    return quality.check_row_counts(quality.against_last_run(*per_year)).select(*_FINDING)
+
+
 @case("qa2_duplicate_documents", f"WITH {DUPS_CTE} SELECT * FROM dup_findings")
 def _(t: Tables) -> DataFrame:
     return _duplicates(t).select(*_FINDING)
