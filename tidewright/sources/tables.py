@@ -130,12 +130,15 @@ def _dynamic_partition_overwrite(spark: SparkSession) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def _kept(df: DataFrame) -> Iterator[DataFrame]:
+def _kept(df: DataFrame, keep: bool) -> Iterator[DataFrame]:
     """A batch that several steps read, kept on the executors meanwhile (in memory, else on disk).
 
     What it holds stays the same between the steps even if its source moves on, it is computed once, and its
     true size is known to the planner from the second step on. A lost executor's part is computed again.
     """
+    if not keep:
+        yield df
+        return
     batch = df.persist()
     try:
         yield batch
@@ -179,16 +182,17 @@ def append_dedup(
     order_by: Sequence[str] = (),
     path: str | None = None,
     fmt: str = "parquet",
+    keep_batch: bool = True,
 ) -> int:
     """Appends the rows whose key the table does not hold yet, one per key, and returns how many.
 
     ``order_by`` says which of several batch rows with one key to keep (the greatest). Rows with a NULL key
-    cannot be told apart from earlier ones, so they are refused.
+    cannot be told apart from earlier ones, so they are refused. ``keep_batch`` as in ``upsert``.
     """
     check_keys(df.columns, keys)
     spark = df.sparkSession
     existing = read_or_none(spark, name)
-    with _kept(df) as batch:
+    with _kept(df, keep_batch and existing is not None) as batch:
         if not batch.filter(any_null(keys)).isEmpty():
             raise ValueError(f"append_dedup needs non-NULL keys ({', '.join(keys)})")
         fresh = latest_wins(batch, keys, order_by)
@@ -209,6 +213,7 @@ def upsert(
     location: str | None = None,
     fmt: str = "parquet",
     run_id: str | None = None,
+    keep_batch: bool = True,
 ) -> dict[str, int]:
     """Upserts ``df`` into a table on ``keys``, creating it if missing.
 
@@ -218,9 +223,12 @@ def upsert(
     How it is written depends on the table. Formats with MERGE run it. A table partitioned by key columns has
     only the touched partitions rewritten. Any other is written as a new version, and the name then switched
     over to it; readers see the old content or the new, never a mix.
+
+    The steps of an upsert each read the batch. It is kept on the executors for them; turn ``keep_batch`` off
+    for a batch that is itself a stored table, and cheaper to read again than to hold.
     """
     check_keys(df.columns, keys)
-    with _kept(df) as batch:
+    with _kept(df, keep_batch and df.sparkSession.catalog.tableExists(name)) as batch:
         return _upsert(batch, name, keys, location=location, fmt=fmt, run_id=run_id)
 
 
