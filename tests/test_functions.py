@@ -66,7 +66,7 @@ def test_value_hash(spark):
 
 def test_refs(spark):
     df = spark.createDataFrame(
-        [("a.b",), ("c.a.b",), ("models:/m",), ("/Volumes/x",), ("t",), ("a..b",), ("1a.b",)], "ref string"
+        [("a.b",), ("c.a.b",), ("models:/m",), ("/Volumes/x",), ("t",), ("a..b",), ("1a.b",), ("a.bé",)], "ref string"
     )
     got = dict(rows(df.select("ref", scalars.qualify_ref(F.col("ref"), "cat").alias("q"))))
     assert got["a.b"] == "cat.a.b" and got["c.a.b"] == "c.a.b" and got["t"] == "cat.t"
@@ -74,7 +74,7 @@ def test_refs(spark):
     same = df.select(scalars.qualify_ref(F.col("ref"), "").alias("q"))
     assert rows(same) == rows(df)
     tables = [r.ref for r in df.filter(scalars.is_table_ref(F.col("ref"))).collect()]
-    assert tables == ["a.b", "c.a.b"]
+    assert tables == ["a.b", "c.a.b", "a.bé"]
 
 
 def test_small_scalars(spark):

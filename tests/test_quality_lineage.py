@@ -134,7 +134,9 @@ def test_graph_questions(spark):
     assert rows(lineage.unused_assets(edges)) == [("bronze._log",), ("silver.players",)]
     assert rows(lineage.duplicate_producers(edges)) == [("silver.players", 2)]
     steps = edges.select("step", "status").distinct()
-    assert rows(lineage.status_counts(steps)) == [("shipped", 2), ("tested", 1)]
+    assert rows(lineage.status_counts(steps)) == [
+        ("implemented", 0), ("planned", 0), ("shipped", 2), ("tested", 1),
+    ]
     assert rows(lineage.unverified_steps(steps, _observed(spark)).select("severity", "step")) == [("warn", "legacy")]
     assert lineage.inferred_reads(edges).first()["step"] == "conform"
     via = {(r.step, r.ref): r.via for r in lineage.promote_provenance(edges, _observed(spark)).collect()}

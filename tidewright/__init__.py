@@ -1,4 +1,4 @@
-"""Lakehouse table operators on Spark: DataFrame in, DataFrame out; only sinks and gates run jobs."""
+"""Lakehouse table operators on Spark: DataFrame in, DataFrame out."""
 
 from tidewright.functions.fixed import HASH_COLUMN
 from tidewright.functions.hashing import row_hash, stamp_hash, value_hash

@@ -44,7 +44,7 @@ def qualify_ref(ref: Column, catalog: Column | str | None) -> Column:
 
 
 def is_table_ref(ref: Column) -> Column:
-    return ref.rlike(TABLE_REF_PATTERN)
+    return ref.rlike("(?U)" + TABLE_REF_PATTERN)  # letters of any script count as word characters
 
 
 def percent(fraction: Column) -> Column:

@@ -141,8 +141,10 @@ def inventory_totals(log: DataFrame) -> DataFrame:
 
 
 def status_counts(steps: DataFrame) -> DataFrame:
-    """Steps per status."""
-    return steps.groupBy("status").agg(F.count(F.lit(1)).alias("steps"))
+    """Steps per status, with a row for each known status even when no step has it."""
+    known = steps.sparkSession.createDataFrame([(s, 0) for s in fixed.STATUSES], "status string, n int")
+    ones = steps.select("status", F.lit(1).alias("n"))
+    return ones.unionByName(known).groupBy("status").agg(F.sum("n").cast("bigint").alias("steps"))
 
 
 def mode_drift(strategies: DataFrame, modes: DataFrame) -> DataFrame:

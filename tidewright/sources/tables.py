@@ -59,17 +59,19 @@ def write_table(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     path: str | None = None,
+    rebalance: bool = True,
 ) -> None:
     """Saves a frame as a table. An existing table's schema stays as it is unless a change is asked for.
 
     ``merge_schema`` adds the frame's new columns; ``overwrite_schema`` lets an overwrite replace the schema.
     Columns the frame lacks are written as NULL. Delta tables are created with row-change capture on.
     Rows bound for a partitioned table are rebalanced by partition first: one file set per partition instead
-    of one per task, while adaptive execution splits a partition that is too large for one task.
+    of one per task, while adaptive execution splits a partition that is too large for one task. Turn
+    ``rebalance`` off for rows that already lie together by partition.
     A published name (see ``publish``) is appended to in its current version and overwritten by a new one.
     """
     spark = df.sparkSession
-    if partition_by:
+    if partition_by and rebalance:
         df = df.hint("rebalance", *partition_by)
     exists = spark.catalog.tableExists(name)
     if exists and mode == "overwrite" and overwrite_schema and is_view(spark, name):
@@ -152,16 +154,22 @@ def overwrite_table(df: DataFrame, name: str, *, path: str | None = None, fmt: s
 
 
 def overwrite_partitions(
-    df: DataFrame, name: str, partition_key: str | Sequence[str], *, path: str | None = None, fmt: str = "parquet"
+    df: DataFrame,
+    name: str,
+    partition_key: str | Sequence[str],
+    *,
+    path: str | None = None,
+    fmt: str = "parquet",
+    rebalance: bool = True,
 ) -> None:
-    """Replaces only the partitions that ``df`` has rows for."""
+    """Replaces only the partitions that ``df`` has rows for; ``rebalance`` as in ``write_table``."""
     keys = [partition_key] if isinstance(partition_key, str) else list(partition_key)
     if not keys:
         raise ValueError("overwrite_partition requires a partition key")
     check_keys(df.columns, keys)
     spark = df.sparkSession
     if not spark.catalog.tableExists(name):
-        write_table(df, name, mode="overwrite", partition_by=keys, path=path, fmt=fmt)
+        write_table(df, name, mode="overwrite", partition_by=keys, path=path, fmt=fmt, rebalance=rebalance)
         return
     have = partition_columns(spark, name)
     if have != keys:
@@ -170,8 +178,11 @@ def overwrite_partitions(
     extra = [c for c in df.columns if c not in target.columns]
     if extra:
         raise ValueError(f"columns not in {name}: {extra}")
+    rows = _aligned(df, target)
+    if rebalance:
+        rows = rows.hint("rebalance", *keys)
     with _dynamic_partition_overwrite(spark):
-        _aligned(df, target).hint("rebalance", *keys).write.insertInto(name, overwrite=True)
+        rows.write.insertInto(name, overwrite=True)
 
 
 def append_dedup(
@@ -248,6 +259,7 @@ def _upsert(
     if not view and table_format(spark, name) in MERGE_FORMATS:
         return _native_merge(df, name, keys, total)
 
+    base = current_version(spark, name) if view else None
     target = spark.table(name)
     parts = [] if view else partition_columns(spark, name)
     scoped = bool(parts) and set(parts) <= set(keys)
@@ -257,18 +269,24 @@ def _upsert(
         for p in parts:  # NULL-safe: the default partition of NULL keys is touched like any other
             same = same & F.col(p).eqNullSafe(F.col(f"_t_{p}"))
         target = target.join(touched, same, "left_semi")
-    seen = Observation()
     merged = merged_rows(target, df, keys)
+    if scoped:
+        merged = merged.hint("rebalance", *parts)
+    # observed above every shuffle, in the tasks that write: a part that a lost executor makes Spark compute
+    # again is not counted twice there
+    seen = Observation()
     counted = merged.observe(seen, F.count_if(F.col("_action") == "insert").alias("inserted")).drop("_action")
     if scoped:
-        overwrite_partitions(counted, name, parts)
+        overwrite_partitions(counted, name, parts, rebalance=False)
     else:
         version = write_version(counted, name, run_id=run_id, location=location, fmt=fmt)
-        if view:
-            publish(spark, name, version)
-        else:  # a plain table keeps its identity, and its old content until the copy commits
+        if not view:  # a plain table keeps its identity, and its old content until the copy commits
             spark.table(version).write.insertInto(name, overwrite=True)
             spark.sql(f"DROP TABLE {quoted(version)}")
+        elif current_version(spark, name) != base:
+            raise RuntimeError(f"{name} was published anew during this upsert; its own output is in {version}")
+        else:
+            publish(spark, name, version)
     inserted = seen.get["inserted"]
     return {"inserted": inserted, "updated": max(total - inserted, 0), "total_processed": total}
 
