@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
@@ -11,39 +14,66 @@ from tidewright.functions.fixed import CORRUPT_FIELD, RESCUED_COLUMN
 _ENTRY = "array<struct<key:string,value:variant>>"
 
 
-def _entry(path: str, value: Column) -> Column:
-    return F.struct(F.lit(path).alias("key"), value.alias("value"))
+def _members(variant: Column) -> Column:
+    """The fields of a JSON object by name; NULL for anything else."""
+    return F.try_variant_get(variant, "$", "map<string,variant>")
+
+
+def _given(raw: Column) -> Column:
+    return raw.isNotNull() & ~F.is_variant_null(raw)
 
 
-def _fit(parent: Column, name: str, dtype: DataType, path: str) -> tuple[Column, list[Column]]:
-    """The typed value of field ``name`` of an object (map of variants), and arrays of rescued entries."""
-    raw = F.try_element_at(parent, F.lit(name))
-    given = raw.isNotNull() & ~F.is_variant_null(raw)
+def _typed(raw: Column, dtype: DataType) -> Column:
+    """A variant as a value of the wanted type; NULL when it is none."""
     if isinstance(dtype, VariantType):
-        return raw, []
+        return raw
     if isinstance(dtype, StructType):
-        inner = F.try_variant_get(raw, "$", "map<string,variant>")
-        value, rescued = _fit_object(inner, dtype, path + ".")
-        whole = F.when(given & inner.isNull(), F.array(_entry(path, raw)))
-        return F.when(inner.isNotNull(), value), [whole, *rescued]
+        obj = _members(raw)
+        fields = [_typed(F.try_element_at(obj, F.lit(f.name)), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(obj.isNotNull(), F.struct(*fields))
     if isinstance(dtype, (ArrayType, MapType)):
-        value = F.try_variant_get(raw, "$", dtype.simpleString())
-    else:
-        # through text, because a variant cast would quietly turn 1.5 into the integer 1
-        text = F.try_variant_get(raw, "$", "string")
-        value = text if isinstance(dtype, StringType) else text.try_cast(dtype)
-    return value, [F.when(given & value.isNull(), F.array(_entry(path, raw)))]
-
-
-def _fit_object(obj: Column, schema: StructType, prefix: str) -> tuple[Column, list[Column]]:
-    values, rescued = [], []
-    for field in schema.fields:
-        value, lost = _fit(obj, field.name, field.dataType, prefix + field.name)
-        values.append(value.alias(field.name))
-        rescued.extend(lost)
+        return F.try_variant_get(raw, "$", dtype.simpleString())
+    # through text, because a variant cast would quietly turn 1.5 into the integer 1
+    text = F.try_variant_get(raw, "$", "string")
+    return text if isinstance(dtype, StringType) else text.try_cast(dtype)
+
+
+def _misfit(raw: Column, value: Column, dtype: DataType) -> Column:
+    """Whether part of a given value is lost in its typed form."""
+    lost = _given(raw) & value.isNull()
+    if not isinstance(dtype, StructType):
+        return lost
+    obj = _members(raw)
+    inner = [(F.try_element_at(obj, F.lit(f.name)), value.getField(f.name), f.dataType) for f in dtype.fields]
+    return lost | F.coalesce(_unclean(obj, dtype, inner), F.lit(False))
+
+
+def _unclean(obj: Column, schema: StructType, fields: list[tuple[Column, Column, DataType]]) -> Column:
+    """Whether an object has fields the schema lacks, or values that do not fit theirs."""
+    known = functools.reduce(operator.add, [F.map_contains_key(obj, f.name).cast("int") for f in schema.fields])
+    return functools.reduce(operator.or_, [_misfit(*f) for f in fields], F.size(obj) > known)
+
+
+def _entry(path: str, value: Column) -> Column:
+    return F.array(F.struct(F.lit(path).alias("key"), value.alias("value")))
+
+
+def _entries(obj: Column, schema: StructType, prefix: str, fields: list[tuple[Column, Column, DataType]]) -> Column:
+    """What an object loses: ``(dotted path, value)`` for unknown fields and for values of the wrong type."""
+    parts: list[Column] = []
+    for field, (raw, value, dtype) in zip(schema.fields, fields):
+        path = prefix + field.name
+        lost = F.when(_given(raw) & value.isNull(), _entry(path, raw))
+        if isinstance(dtype, StructType):
+            inner_obj = _members(raw)
+            inner = [
+                (F.try_element_at(inner_obj, F.lit(f.name)), value.getField(f.name), f.dataType) for f in dtype.fields
+            ]
+            lost = lost.when(inner_obj.isNotNull(), _entries(inner_obj, dtype, path + ".", inner))
+        parts.append(lost)
     known = F.array(*[F.lit(f.name) for f in schema.fields])
     unknown = F.filter(F.map_entries(obj), lambda e: ~F.array_contains(known, e.getField("key")))
-    rescued.append(
+    parts.append(
         F.transform(
             unknown,
             lambda e: F.struct(
@@ -51,7 +81,7 @@ def _fit_object(obj: Column, schema: StructType, prefix: str) -> tuple[Column, l
             ),
         )
     )
-    return F.struct(*values), rescued
+    return F.concat(*[F.coalesce(p, F.array().cast(_ENTRY)) for p in parts])
 
 
 def parse_with_rescue(
@@ -60,22 +90,32 @@ def parse_with_rescue(
     """Typed columns per JSON line plus ``_rescued``: a JSON object of what did not fit, NULL when all did.
 
     Rescued are unknown fields, values of the wrong type (by dotted path, also inside structs) and lines that
-    are no JSON object or repeat a key (whole, under ``_corrupt_record``). Other columns of ``lines`` are kept; blank lines
-    are skipped, as a JSON reader does. Works on batch and streaming frames alike.
+    are no JSON object or repeat a key (whole, under ``_corrupt_record``). Other columns of ``lines`` are
+    kept; blank lines are skipped, as a JSON reader does. Works on batch and streaming frames alike.
+
+    Each line is parsed once and each field taken out once, in steps of their own; the list of what was lost
+    is put together only for lines that lose something.
     """
-    lines = lines.filter(F.col(value_column).rlike(r"\S"))
     kept = [c for c in lines.columns if c != value_column]
     clash = sorted(set(kept) & {*schema.names, rescued_column})
     if clash:
         raise ValueError(f"columns occur twice: {clash}")
-    doc = lines.withColumn("_obj", F.try_variant_get(F.try_parse_json(value_column), "$", "map<string,variant>"))
-    row, rescued = _fit_object(F.col("_obj"), schema, "")
-    entries = F.concat(*[F.coalesce(r, F.array().cast(_ENTRY)) for r in rescued])
-    shaped = doc.select(
-        *[F.col(c) for c in kept], F.col(value_column), F.col("_obj"), row.alias("_row"), entries.alias("_entries")
+    if not schema.fields:
+        raise ValueError("the schema has no columns")
+    raw = [F.col(f"_raw{i}") for i in range(len(schema.fields))]
+    typed = [F.col(f"_typed{i}") for i in range(len(schema.fields))]
+    others = [F.col(f"`{c}`") for c in kept]
+    obj = F.col("_obj")
+
+    parsed = lines.filter(F.col(value_column).rlike(r"\S")).withColumn("_obj", _members(F.try_parse_json(value_column)))
+    taken = parsed.select(
+        "*", *[F.try_element_at(obj, F.lit(f.name)).alias(f"_raw{i}") for i, f in enumerate(schema.fields)]
     )
-    broken = F.to_json(F.create_map(F.lit(CORRUPT_FIELD), F.col(value_column)))
-    lost = F.when(F.col("_obj").isNull(), broken).when(
-        F.size("_entries") > 0, F.to_json(F.map_from_entries("_entries"))
+    fitted = taken.select("*", *[_typed(raw[i], f.dataType).alias(f"_typed{i}") for i, f in enumerate(schema.fields)])
+    fields = [(raw[i], typed[i], f.dataType) for i, f in enumerate(schema.fields)]
+    whole = F.to_json(F.create_map(F.lit(CORRUPT_FIELD), F.col(value_column)))
+    parts = F.to_json(F.map_from_entries(_entries(obj, schema, "", fields)))
+    rescued = F.when(obj.isNull(), whole).when(_unclean(obj, schema, fields), parts)
+    return fitted.select(
+        *[typed[i].alias(f.name) for i, f in enumerate(schema.fields)], rescued.alias(rescued_column), *others
     )
-    return shaped.select(*[F.col(f"_row.`{n}`").alias(n) for n in schema.names], lost.alias(rescued_column), *kept)
