@@ -92,6 +92,14 @@ def test_writer_schema_rules(spark, name):
             tables.write_table(spark.sql("select 'no' z"), name, mode=bad)
 
 
+def test_replaced_schema_stays_in_place(spark, name, tmp_path):
+    where = str(tmp_path / "t")
+    tables.write_table(spark.sql("select 1 a"), name, mode="append", path=where)
+    tables.write_table(spark.sql("select 'x' b"), name, mode="overwrite", overwrite_schema=True)
+    assert tables.table_location(spark, name).endswith(where) and rows(spark.table(name)) == [("x",)]
+    assert rows(spark.read.parquet(where)) == [("x",)]
+
+
 def test_read_or_none(spark, name):
     assert tables.read_or_none(spark, name) is None
     tables.overwrite_table(spark.sql("select 1 a"), name)
@@ -173,8 +181,21 @@ def test_published_name_takes_every_write(spark, name, tmp_path):
 
 def test_upsert_into_plain_table(spark, name):
     spark.sql(BASE).write.saveAsTable(name)
+    old = tables.table_location(spark, name)
     assert tables.upsert(spark.sql(NEXT), name, ["id"]) == {"inserted": 2, "updated": 1, "total_processed": 3}
     assert not publish.is_view(spark, name) and rows(spark.table(name)) == sorted(AFTER, key=repr)
+    assert rows(spark.read.parquet(old)) == [(1, "a"), (2, "b")]
+    assert tables.upsert(spark.sql("select 3 id, 'C' v"), name, ["id"])["updated"] == 1
+    assert tables.table_location(spark, name).count("_attempt_") == 1
+    tables.write_table(spark.sql("select 9 id, 'i' v"), name, mode="append")
+    assert rows(spark.table(name).filter("id > 2")) == [(3, "C"), (9, "i")]
+
+
+def test_upsert_into_table_partitioned_by_other_columns(spark, name):
+    spark.sql("select * from values (1, 'a', 'x'), (2, 'b', 'y') t(id, v, d)").write.partitionBy("d").saveAsTable(name)
+    batch = spark.sql("select 2 id, 'B' v, 'z' d union all select 3, 'c', 'x'")
+    assert tables.upsert(batch, name, ["id"]) == {"inserted": 1, "updated": 1, "total_processed": 2}
+    assert rows(spark.table(name), "id", "v", "d") == [(1, "a", "x"), (2, "B", "z"), (3, "c", "x")]
 
 
 def test_upsert_rewrites_only_touched_partitions(spark, name, tmp_path):
@@ -311,3 +332,50 @@ def test_silver_folded_in_steps_equals_silver_of_everything(spark, name, tmp_pat
         whole = ingest.silver(spark.table(bronze_table), ["id"])
         assert rows(spark.table(silver_table), *whole.columns) == rows(whole)
     assert refresh() is False
+
+
+def _random_value(rng, depth=0):
+    kinds = ["int", "frac", "text", "digits", "bool", "null"] + (["obj", "list"] if depth < 2 else [])
+    kind = rng.choice(kinds)
+    if kind == "obj":
+        return {k: _random_value(rng, depth + 1) for k in rng.sample(["x", "y", "z"], rng.randint(0, 3))}
+    if kind == "list":
+        return [_random_value(rng, 2) for _ in range(rng.randint(0, 2))]
+    return {"int": rng.randint(-5, 5), "frac": 2.5, "text": "t", "digits": "12", "bool": True, "null": None}[kind]
+
+
+def _expected(doc, fields, prefix=""):
+    """Typed values and rescued entries of one object by plain rules."""
+    typed, lost = {}, {}
+    for name, kind in fields.items():
+        value = doc.get(name)
+        if isinstance(kind, dict):
+            if isinstance(value, dict):
+                typed[name], inner = _expected(value, kind, f"{prefix}{name}.")
+                lost.update(inner)
+                continue
+            fits = None
+        elif kind == "int":
+            ok = (isinstance(value, int) and not isinstance(value, bool)) or value == "12"
+            fits = int(value) if ok else None
+        else:
+            fits = json.dumps(value, separators=(",", ":"), sort_keys=True) if not isinstance(value, (str, type(None))) else value
+        typed[name] = fits
+        if value is not None and fits is None:
+            lost[prefix + name] = value
+    lost.update({prefix + k: v for k, v in doc.items() if k not in fields})
+    return typed, lost
+
+
+def test_rescue_against_plain_rules(spark):
+    rng = random.Random(11)
+    fields = {"a": "int", "b": "text", "s": {"x": "int", "y": "text"}}
+    docs = [{k: _random_value(rng) for k in rng.sample(["a", "b", "s", "other"], rng.randint(0, 4))} for _ in range(150)]
+    df = spark.createDataFrame([(json.dumps(d), i) for i, d in enumerate(docs)], "value string, i int")
+    got = {r["i"]: r for r in rescue.parse_with_rescue(df, StructType.fromDDL("a int, b string, s struct<x:int,y:string>")).collect()}
+    for i, doc in enumerate(docs):
+        typed, lost = _expected(doc, fields)
+        row = got[i]
+        assert (row["a"], row["b"]) == (typed["a"], typed["b"]), doc
+        assert (row["s"].asDict() if row["s"] else None) == typed["s"], doc
+        assert (json.loads(row["_rescued"]) if row["_rescued"] else {}) == lost, doc

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -35,6 +37,11 @@ def table_format(spark: SparkSession, name: str) -> str:
     return rows[0]["data_type"].lower() if rows else ""
 
 
+def table_location(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").filter(F.col("col_name") == "Location").collect()
+    return rows[0]["data_type"].rstrip("/")
+
+
 def partition_columns(spark: SparkSession, name: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
 
@@ -87,7 +94,9 @@ def write_table(
                 writer = writer.option("overwriteSchema", "true")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        if path and not exists:
+        if exists and fmt not in MERGE_FORMATS and spark.catalog.getTable(name).tableType == "EXTERNAL":
+            path = table_location(spark, name)  # a replaced table stays where it was put
+        if path and (not exists or fmt not in MERGE_FORMATS):
             writer = writer.option("path", path)
         writer.saveAsTable(name)
         return
@@ -232,8 +241,10 @@ def upsert(
     nothing in it differs. Two batch rows with one key raise before anything is written.
 
     How it is written depends on the table. Formats with MERGE run it. A table partitioned by key columns has
-    only the touched partitions rewritten. Any other is written as a new version, and the name then switched
-    over to it; readers see the old content or the new, never a mix.
+    only the touched partitions rewritten. Any other published name gets a new version and is switched over to
+    it, and a plain table gets new files beside the old and its location moved: readers see the old content or
+    the new, never a mix, and what is replaced stays until its owner drops it. The one exception is a plain
+    table partitioned by other columns: it is overwritten from a version, which is kept if that fails.
 
     The steps of an upsert each read the batch. It is kept on the executors for them; turn ``keep_batch`` off
     for a batch that is itself a stored table, and cheaper to read again than to hold.
@@ -259,7 +270,8 @@ def _upsert(
     if not view and table_format(spark, name) in MERGE_FORMATS:
         return _native_merge(df, name, keys, total)
 
-    base = current_version(spark, name) if view else None
+    live = current_version if view else table_location
+    base = live(spark, name)
     target = spark.table(name)
     parts = [] if view else partition_columns(spark, name)
     scoped = bool(parts) and set(parts) <= set(keys)
@@ -278,15 +290,24 @@ def _upsert(
     counted = merged.observe(seen, F.count_if(F.col("_action") == "insert").alias("inserted")).drop("_action")
     if scoped:
         overwrite_partitions(counted, name, parts, rebalance=False)
-    else:
+    elif parts:
         version = write_version(counted, name, run_id=run_id, location=location, fmt=fmt)
-        if not view:  # a plain table keeps its identity, and its old content until the copy commits
-            spark.table(version).write.insertInto(name, overwrite=True)
-            spark.sql(f"DROP TABLE {quoted(version)}")
-        elif current_version(spark, name) != base:
-            raise RuntimeError(f"{name} was published anew during this upsert; its own output is in {version}")
+        spark.table(version).write.insertInto(name, overwrite=True)
+        spark.sql(f"DROP TABLE {quoted(version)}")
+    else:
+        if view:
+            fresh = write_version(counted, name, run_id=run_id, location=location, fmt=fmt)
+        else:
+            stem = re.sub(r"_attempt_[0-9a-f]+$", "", base)
+            fresh = f"{stem}_attempt_{run_id or uuid.uuid4().hex[:12]}"
+            counted.write.format(table_format(spark, name)).mode("errorifexists").save(fresh)
+        if live(spark, name) != base:
+            raise RuntimeError(f"{name} was replaced during this upsert; its own output is in {fresh}")
+        if view:
+            publish(spark, name, fresh)
         else:
-            publish(spark, name, version)
+            spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{fresh}'")
+            spark.catalog.refreshTable(name)
     inserted = seen.get["inserted"]
     return {"inserted": inserted, "updated": max(total - inserted, 0), "total_processed": total}
 
