@@ -23,7 +23,7 @@ OPERATORS = (
 
 
 def test_every_operator_has_a_query_with_an_oracle():
-    names, oracles = set(entry.queries()), set(entry.oracle_sql())
+    names, oracles = set(entry.QUERIES), set(entry.ORACLES)
     assert names == oracles
     covered = {re.match(r"([a-z]+\d*)_", n).group(1) for n in names}
     assert [op for op in OPERATORS if op not in covered] == []
