@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, lines, urls
+import public_tokenizers
+
+from tidewright.llm import decontaminate, lines, packing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +64,27 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    rows = quality.ledger(quality.measure(table(spark, directory, "documents")))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~quality.passes(quality.BASE)).alias("base_failed"),
+        quality.passes(quality.STANDARD).alias("kept"),
+        "failed",
+    )
+
+
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
