@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import decontaminate, lines, packing, quality, urls
+from tidewright.llm import decontaminate, lines, packing, pages, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op3(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query("op4_html_extraction")
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    return pages.extract(table(spark, directory, "pages"))
+
+
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
