@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import doc_key
+from tidewright.llm.shared import doc_key, keep
 
 #: Spaced seeds: a 1 takes the word at this place, a 0 ignores it. Of all ways to change up to three words in 13,
 #: 92 in 100 leave a place for one of these; longer passages offer more places.
@@ -15,24 +16,56 @@ MASKS = ("11110000011", "11101011", "100111011")
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits, in lower case; empty at either end of a text that begins or ends with others."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def seed_hashes(hashes: Column, masks: Sequence[str]) -> Column:
-    """For each position of an array of word hashes and each mask, the hash of the words the mask takes.
+def _places(mask: str) -> list[int]:
+    return [place for place, bit in enumerate(mask) if bit == "1"]
+
+
+def _seed(words_: Column, start: Column, number: int, mask: str) -> Column:
+    """The hash of the words that a mask takes from ``start`` on."""
+    return F.xxhash64(F.lit(number), *[F.get(words_, start + p) for p in _places(mask)])
 
-    Element ``position * len(masks) + mask``; NULL where the mask does not fit before the end.
-    """
 
-    def taken(i: Column, number: int, mask: str) -> Column:
-        places = [p for p, bit in enumerate(mask) if bit == "1"]
-        inside = i + len(mask) <= F.size(hashes)
-        return F.when(inside, F.xxhash64(F.lit(number), *[F.get(hashes, i + p) for p in places]))
+def benchmark_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """``item``, ``item_version``, ``item_at``, ``number`` (of the mask), ``seed`` for each place a mask fits in
+    ``item_words``, and the seed's rarest word: ``anchor`` (its hash) and ``anchor_at`` within the mask.
 
-    last = F.size(hashes) - min(map(len, masks))
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda i: F.array(*[taken(i, n, m) for n, m in enumerate(masks)])))
+    Rare is what the benchmark itself has seldom, then what is long. Looking for a seed only where its rarest word is
+    spares hashing the others everywhere.
+    """
+    placed = items.select("item", "item_version", F.posexplode("item_words").alias("at", "word"))
+    counts = placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    listed = (
+        placed.join(counts, "word")
+        .groupBy("item", "item_version", "at", "word")
+        .agg(F.min(F.struct("n", (-F.length("word")).alias("short"), F.xxhash64("word").alias("hash"))).alias("rank"))
+        .groupBy("item", "item_version")  # the words of one item
+        .agg(F.sort_array(F.collect_list(F.struct("at", "word", "rank"))).alias("listed"))
+        .select("item", "item_version", F.col("listed.word").alias("words"), F.col("listed.rank").alias("ranks"))
+    )
+    by_mask = []
+    for number, mask in enumerate(masks):
+        last = F.size("words") - len(mask)
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        fits = listed.select("item", "item_version", "words", "ranks", F.explode(starts).alias("item_at"))
+        rarest = F.array_min(
+            F.array(*[F.struct(F.get("ranks", F.col("item_at") + p).alias("rank"), F.lit(p).alias("at")) for p in _places(mask)])
+        )
+        by_mask.append(
+            fits.select(
+                "item",
+                "item_version",
+                "item_at",
+                F.lit(number).alias("number"),
+                _seed(F.col("words"), F.col("item_at"), number, mask).alias("seed"),
+                rarest["rank"]["hash"].alias("anchor"),
+                rarest["at"].alias("anchor_at"),
+            )
+        )
+    return functools.reduce(DataFrame.unionAll, by_mask)
 
 
 def contaminated(
@@ -54,10 +87,11 @@ def contaminated(
     the whole alignment), ``doc_word`` (where the item's first word would lie in the document's words; can be
     negative) and ``window`` (words compared), the best alignment of each pair. Documents without a hit are absent.
 
-    Every position of every document is hashed under each spaced mask, and the hashes meet those of the benchmark
-    in an equi-join. The benchmark's distinct hashes are broadcast while they are counted to be no more than
-    ``broadcast_rows`` (16 bytes each); beyond that Spark chooses the join. Hits are counted per document, item
-    and alignment, and only the documents that have any are read again to compare the words around the hits.
+    Each word of each document is looked up among the anchors, the rarest words of the benchmark's seeds; where
+    one is found, the seed around it is hashed and meets the benchmark's hashes in an equi-join. Both tables are
+    broadcast while the benchmark is counted to have no more than ``broadcast_rows`` seeds (about 50 bytes each);
+    beyond that Spark chooses the joins. Hits are reduced to document, item and alignment, and only the documents
+    that have any are read again to compare the words around the hits.
 
     Items of fewer than ``window`` words are compared whole, with as many differences in proportion. Texts or items with fewer
     words than the shortest mask spans, NULL or empty ones have no hit; items with a NULL id and documents with a
@@ -66,39 +100,42 @@ def contaminated(
     rows = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(
         doc_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text")
     )
-    hashed = rows.select(
-        "doc", F.xxhash64("text").alias("version"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("doc_words")
-    )
-    items = (
-        benchmark.filter(F.col(f"`{item_col}`").isNotNull())
-        .select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{item_text_col}`")).alias("item_words"))
-        .withColumn("item_words", F.transform("item_words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("version", F.xxhash64("text"))
+    items = benchmark.filter(F.col(f"`{item_col}`").isNotNull()).select(
+        F.col(f"`{item_col}`").alias("item"),
+        F.filter(words(F.col(f"`{item_text_col}`")), lambda w: w != "").alias("item_words"),
     )
-    n = len(masks)
-    postings = items.select(
-        "item",
-        F.xxhash64("item_words").alias("item_version"),
-        F.posexplode(seed_hashes(F.col("item_words"), masks)).alias("item_at", "seed"),
+    items = items.withColumn("item_version", F.xxhash64("item_words")).distinct()
+    seeds = benchmark_seeds(items, masks)
+    bounded = seeds.count() <= broadcast_rows
+    send = F.broadcast if bounded else (lambda df: df)
+    anchors = seeds.select("anchor", "number", "anchor_at").distinct()
+    postings = seeds.select("seed", "item", "item_version", "item_at").distinct()
+    taken = functools.reduce(
+        lambda other, m: F.when(F.col("number") == m[0], _seed(F.col("doc_words"), F.col("start"), *m)).otherwise(other),
+        enumerate(masks),
+        F.lit(None).cast("bigint"),
     )
-    postings = postings.filter("seed is not null").withColumn("item_at", F.expr(f"item_at div {n}"))
-    seeds = postings.select("seed").distinct()
-    if seeds.count() <= broadcast_rows:
-        seeds = F.broadcast(seeds)
-    positions = hashed.select(
-        "doc", "version", F.posexplode(seed_hashes(F.col("doc_words"), masks)).alias("doc_at", "seed")
-    )
-    found = positions.join(seeds, "seed", "left_semi").withColumn("doc_at", F.expr(f"doc_at div {n}"))
-    alignments = (
-        found.join(postings, "seed")
-        .select("doc", "version", "item", "item_version", (F.col("doc_at") - F.col("item_at")).alias("doc_word"))
+    found = (
+        rows.select("doc", "version", words(F.col("text")).alias("doc_words"))
+        .select("doc", "version", "doc_words", F.posexplode("doc_words").alias("at", "word"))
+        .withColumn("anchor", F.xxhash64("word"))
+        .join(send(anchors), "anchor")
+        .withColumn("start", F.col("at") - F.col("anchor_at"))
+        .filter("start >= 0")
+        .select("doc", "version", "start", taken.alias("seed"))
+        .join(send(postings), "seed")
+        .select("doc", "version", "item", "item_version", (F.col("start") - F.col("item_at")).alias("doc_word"))
         .distinct()
     )
-    versions = hashed.join(alignments.select("doc", "version").distinct(), ["doc", "version"], "left_semi")
-    versions = versions.dropDuplicates(["doc", "version"])
-    texts = items.withColumn("item_version", F.xxhash64("item_words")).dropDuplicates(["item", "item_version"])
+    alignments = keep(found, "alignments")  # read twice below
+    quoting = alignments.select("doc", "version").distinct()
+    texts = rows.join(quoting, ["doc", "version"], "left_semi").select(
+        "doc", "version", words(F.col("text")).alias("doc_words")
+    )
     compared = (
-        alignments.join(texts, ["item", "item_version"])
-        .join(versions, ["doc", "version"])
+        alignments.join(items, ["item", "item_version"])
+        .join(texts, ["doc", "version"])
         .withColumn("first", F.greatest(F.lit(0), -F.col("doc_word")))
         .withColumn("beyond", F.least(F.size("item_words"), F.size("doc_words") - F.col("doc_word")))
         .withColumn(
