@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import decontaminate, lines, packing, pages, quality, urls
+from tidewright.llm import decontaminate, lines, packing, pages, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,24 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
     return pages.extract(table(spark, directory, "pages"))
 
 
+def not_held_out(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from."""
+    return labels.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    model = toxicity.fit(docs, not_held_out(table(spark, directory, "labels")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op6_benchmark_decontamination")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
