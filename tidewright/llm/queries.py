@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import decontaminate, lines, packing, pages, quality, toxicity, urls
+from tidewright.llm import decontaminate, lines, packing, pages, passages, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,9 @@ def op7(spark: SparkSession, directory: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, action string")
     out = urls.judge_urls(table(spark, directory, "pages"), rules)
     return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    out = passages.dedup_passages(table(spark, directory, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
