@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import decontaminate, lines, packing, pages, passages, quality, toxicity, urls
+from tidewright.llm import decontaminate, lines, packing, pages, passages, quality, suffixes, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,9 @@ def op7(spark: SparkSession, directory: str) -> DataFrame:
 def op8(spark: SparkSession, directory: str) -> DataFrame:
     out = passages.dedup_passages(table(spark, directory, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    out = suffixes.dedup_bytes(table(spark, directory, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
