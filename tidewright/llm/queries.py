@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewright.llm import decontaminate, lines, packing, pages, passages, quality, suffixes, toxicity, urls
+from tidewright.llm import decontaminate, lines, neardup, packing, pages, passages, quality, suffixes, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,8 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     out = suffixes.dedup_bytes(table(spark, directory, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, directory, "documents"))
