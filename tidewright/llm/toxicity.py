@@ -94,12 +94,12 @@ def _corpus_counts(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
         known = shared.value
         counts, total = np.zeros(len(known), np.int64), 0
         for batch in batches:
-            found = [word_hashes(t.as_py() or "") for t in batch.column(0)]
-            words = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            total += len(words)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                counts += np.bincount(at[known[at] == words], minlength=len(known))
+            for text in batch.column(0):
+                words = word_hashes(text.as_py() or "").view(np.int64)
+                total += len(words)
+                if len(known) and len(words):
+                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    np.add.at(counts, at[known[at] == words], 1)
         there = np.flatnonzero(counts)
         words = pa.array([*known[there].tolist(), None], pa.int64())
         yield pa.RecordBatch.from_arrays([words, pa.array([*counts[there].tolist(), total], pa.int64())], ["word", "n"])
@@ -231,12 +231,16 @@ def _with_udf(spark: SparkSession, model: ToxicityModel, method):  # noqa: ANN00
 
     @F.pandas_udf("double")
     def apply(text: pd.Series) -> pd.Series:
-        return pd.Series(method(sent.value, text))
+        return pd.Series(np.concatenate([method(sent.value, text[k : k + 500]) for k in range(0, max(1, len(text)), 500)]))
 
     return apply
 
 
+def scorer(spark: SparkSession, model: ToxicityModel):  # noqa: ANN201
+    """A function of a text column: its score from 0 to 1, over the whole text; a NULL text scores as an empty one."""
+    return _with_udf(spark, model, ToxicityModel.scores)
+
+
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of each whole text, in the scan's tasks; a NULL text scores as an empty one."""
-    udf = _with_udf(docs.sparkSession, model, ToxicityModel.scores)
-    return docs.withColumn(score_col, udf(F.col(f"`{text_col}`")))
+    """``docs`` with the score of each text, in the scan's tasks; a column of that name is replaced."""
+    return docs.withColumn(score_col, scorer(docs.sparkSession, model)(F.col(f"`{text_col}`")))
