@@ -283,16 +283,17 @@ def near_duplicates(
     )
     work = small.unionByName(cells)
     texts = rows.filter("id is not null").select(F.col("id").alias("rep"), "version", "text")
-    together = texts.join(work, ["rep", "version"]).select("cell", "group", "rep", "text")
+    together = texts.join(work, ["rep", "version"]).select("cell", "group", "rep", "version", "text")
 
     def confirm(table: pa.Table) -> pa.Table:
-        reps, of_group = table["rep"].to_numpy(), table["group"].to_numpy()
+        reps, of_group, versions = (table[c].to_numpy() for c in ("rep", "group", "version"))
         texts_ = table["text"]
         order, starts = blocks.groups(of_group)
         found: list[np.ndarray] = []
         for part in np.split(order, starts[1:]):
-            part = part[np.argsort(reps[part], kind="stable")]
-            part = part[np.concatenate([[True], reps[part][1:] != reps[part][:-1]])]  # repeated rows
+            part = part[np.lexsort((versions[part], reps[part]))]
+            r, v = reps[part], versions[part]
+            part = part[np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])]  # repeated rows
             label = confirmed([shingles(texts_[i].as_py() or b"") for i in part.tolist()], percent)
             moved = np.flatnonzero(label != np.arange(len(part)))
             found.append(np.column_stack([reps[part[moved]], reps[part[label[moved]]]]))

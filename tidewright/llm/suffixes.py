@@ -107,12 +107,12 @@ def repeated_windows(segments: list[bytes], before: np.ndarray, groups: np.ndarr
     """
     m, columns = len(segments), reach - 1 + window
     lengths = np.fromiter(map(len, segments), np.int64, m)
-    symbols = np.full((columns, m), 256, np.uint16)  # 256: outside the segment
     left = reach - 1 - before
-    flat = np.frombuffer(b"".join(segments), np.uint8)
-    owner = np.repeat(np.arange(m), lengths)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    symbols[left[owner] + at, owner] = flat
+    rows = np.full((m, columns), 256, np.uint16)  # 256: outside the segment
+    for row, start, segment in zip(rows, left.tolist(), segments):
+        row[start : start + len(segment)] = np.frombuffer(segment, np.uint8)
+    symbols = np.ascontiguousarray(rows.T)
+    del rows
     order = np.arange(m)
     new_group = np.concatenate([[True], groups[1:] != groups[:-1]])
     agree = np.where(new_group, columns + 1, 0)  # a segment and the one before it agree from this column on
@@ -152,8 +152,8 @@ def dedup_bytes(
     text_col: str = "text",
     window: int = 200,
     gram: int = 64,
-    block_bytes: int = 4_000_000,
-    bucket_bytes: int = 12_000_000,
+    block_bytes: int = 3_000_000,
+    bucket_bytes: int = 5_000_000,
 ) -> DataFrame:
     """Removes each byte in a ``window``-byte string that also starts anywhere else, in the same text or another.
 
