@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
+import tidewright
 from tidewright.llm import decontaminate, lines, neardup, packing, pages, passages, quality, suffixes, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,8 @@ URL_RULES = (
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    # Python workers started elsewhere must find this package; on a cluster it is installed or sent along
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(tidewright.__path__[0])))
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
