@@ -67,7 +67,8 @@ class _Block:
         self.anchors = anchors[first]
         self.first = window_at[first]
         self.n_windows = np.diff(np.append(first, len(anchors)))
-        self.keys, self.key_of, counts = np.unique(hashes[self.anchors], return_inverse=True, return_counts=True)
+        keys = _mix(hashes[self.anchors])  # anchors have small hashes: mixed again, they spread over all buckets
+        self.keys, self.key_of, counts = np.unique(keys, return_inverse=True, return_counts=True)
         self.several = (counts > 1).astype(np.uint8)
         self.window = window
 
