@@ -13,11 +13,14 @@ from tidewright.operators.keys import check_keys, key_profile
 
 FINDING_COLUMNS = ("table", "severity", "code", "message", "details")
 FINDING_SCHEMA = "table string, severity string, code string, message string, details map<string,string>"
-SHOWN_ERRORS = 100  # how many error texts a failed gate prints; the count it reports is always whole
 
 
 class GateFailed(RuntimeError):
-    """A report holds at least one error."""
+    """A report holds at least one error; ``findings`` is the frame of all of them."""
+
+    def __init__(self, text: str, findings: DataFrame | None = None) -> None:
+        super().__init__(text)
+        self.findings = findings
 
 
 def _finding(table: Column, severity: str, code: str, message: Column, details: Mapping[str, Column]) -> list[Column]:
@@ -195,20 +198,14 @@ def summarize(report: DataFrame) -> DataFrame:
 
 
 def raise_if_failed(report: DataFrame) -> str:
-    """Raises ``GateFailed`` naming the errors, or returns the summary line.
+    """Raises ``GateFailed``, or returns the summary line.
 
-    The counts are aggregated; of the error texts, the first ``SHOWN_ERRORS`` in order reach the driver.
+    The error's text has the summary and the number of errors per table and code; its ``findings`` has every error.
     """
     result = summarize(report).first()
     if result["ok"]:
         return result["summary"]
-    shown = (
-        report.filter(F.col("severity") == "ERROR")
-        .select(F.format_string("%s:%s %s", "table", "code", "message").alias("text"))
-        .orderBy("text")
-        .limit(SHOWN_ERRORS)
-        .collect()
-    )
-    more = result["errors"] - len(shown)
-    tail = f"; and {more} more" if more > 0 else ""
-    raise GateFailed(f"{result['summary']} — " + "; ".join(r["text"] for r in shown) + tail)
+    errors = report.filter(F.col("severity") == "ERROR")
+    kinds = errors.groupBy("table", "code").agg(F.count(F.lit(1)).alias("n")).orderBy("table", "code").collect()
+    text = "; ".join(f"{k['table']}:{k['code']} {k['n']}" for k in kinds)
+    raise GateFailed(f"{result['summary']} — {text}", errors)

@@ -54,12 +54,16 @@ def refresh_with(stream: DataFrame, handler: Callable[[DataFrame, int], Any], ch
     strategies.
     """
 
+    handled: list[int] = []
+
     def skip_empty(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
             handler(batch, batch_id)
+            handled.append(batch_id)
 
     writer = stream.writeStream.foreachBatch(skip_empty).option("checkpointLocation", checkpoint)
-    return _drain(writer.trigger(availableNow=True).start())
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return bool(handled)
 
 
 def _drain(query: StreamingQuery) -> bool:
