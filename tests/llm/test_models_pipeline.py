@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import re
@@ -107,6 +108,48 @@ def test_benchmark_against_brute_force(spark, broadcast_rows):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def quotes_of_the_rule(table, items, window=13, min_equal=10):
+    """Pairs with an alignment of enough equal words, whatever finds it."""
+    out = set()
+    for doc, text in table:
+        d = text.split()
+        for item, item_text in items:
+            b = item_text.split()
+            w = min(window, len(b))
+            for shift in range(-len(b), len(d) + 1):
+                same = [0 <= j + shift < len(d) and b[j] == d[j + shift] for j in range(len(b))]
+                low, high = max(0, -shift), min(len(b), len(d) - shift)
+                if any(same) and any(sum(same[s : s + w]) * window >= w * min_equal for s in range(low, high - w + 1)):
+                    out.add((doc, item))
+    return out
+
+
+def test_every_placement_of_the_allowed_changes_is_found(spark):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"{rng.choice(WORDS)}{n}x{i}" for i in range(n))) for n in range(1, 14)]
+    table = []
+    for n, text in items:
+        for changes in range(n * 3 // 13 + 2):
+            for places in itertools.combinations(range(n), changes):
+                words = [f"zz{i}" if i in places else w for i, w in enumerate(text.split())]
+                table.append((len(table), f"before {' '.join(words)} after"))
+    assert len(table) > 1000
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    wanted = quotes_of_the_rule(table, items)
+    assert {(r.doc_id, r.item_id) for r in found} == wanted
+    assert sum(item == 13 for _, item in wanted) == 1 + 13 + 78 + 286
+
+
+def test_other_rules_have_their_masks(spark):
+    docs = spark.createDataFrame([(1, "a b x d e y g h"), (2, "a x c y e z g h")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, "a b c d e f g h")], "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, benchmark, masks=(), window=8, min_equal=6).collect()
+    assert [(r.doc_id, r.n_equal) for r in found] == [(1, 6)]
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(docs, benchmark, min_equal=0)
+
+
 @pytest.fixture(scope="module")
 def corpus(tmp_path_factory):
     import pandas as pd

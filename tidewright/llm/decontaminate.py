@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.shared import doc_key, keep
 
-#: Spaced seeds: a 1 takes the word at this place, a 0 ignores it. Of all ways to change up to three words in 13,
-#: 92 in 100 leave a place for one of these; longer passages offer more places.
-MASKS = ("11110000011", "11101011", "100111011")
+#: Spaced seeds: a 1 takes the word at this place, a 0 ignores it. ``masks_by_length`` picks those for items of each
+#: length; the first five leave a seed wherever three of 13 words are changed.
+MASKS = ("1110111", "1101001011", "110110011", "11000101011", "1110000111", "1")
+#: What items of 2 to 11 words need besides.
+SHORT_MASKS = ("1101011", "1100000111", "111011", "110100011", "10011101", "11101", "100000111", "11011", "10111", "1111", "111", "11")
 
 
 def words(text: Column) -> Column:
@@ -24,14 +28,47 @@ def _places(mask: str) -> list[int]:
     return [place for place, bit in enumerate(mask) if bit == "1"]
 
 
-def _seed(words_: Column, start: Column, number: int, mask: str) -> Column:
-    """The hash of the words that a mask takes from ``start`` on."""
-    return F.xxhash64(F.lit(number), *[F.get(words_, start + p) for p in _places(mask)])
+def masks_by_length(masks: Sequence[str], window: int, min_equal: int) -> dict[str, list[int]]:
+    """Masks, each with the item lengths it is for (``window`` stands for all from there on), such that every way to
+    change as many words as the rule allows leaves a place for one of the length's masks.
 
+    Takes heavy masks first, and of ``masks`` and ``SHORT_MASKS`` only those that add something. Where they do not suffice, the unchanged
+    run that any such change leaves is a mask as well.
+    """
+    if not 0 < min_equal <= window:
+        raise ValueError("min_equal must be between 1 and window")
+    out: dict[str, list[int]] = {}
+    for length in range(1, window + 1):
+        equal = -(-length * min_equal // window)
+        changes = length - equal
+        left = None
+        if math.comb(length, changes) <= 20_000:
+            left = [set(c) for c in itertools.combinations(range(length), changes)]
+            for mask in sorted((*masks, *SHORT_MASKS), key=lambda m: -m.count("1")):
+                taken = [{start + p for p in _places(mask)} for start in range(length - len(mask) + 1)]
+                still = [c for c in left if not any(t.isdisjoint(c) for t in taken)]
+                if len(still) < len(left):
+                    out.setdefault(mask, []).append(length)
+                left = still
+        if left is None or left:
+            out.setdefault("1" * -(-equal // (changes + 1)), []).append(length)
+    return out
+
+
+def _seed(words_: Column, start: Column, number: Column, masks: dict[int, str]) -> Column:
+    """The hash of the words that the mask of a number takes from ``start`` on."""
+    return functools.reduce(
+        lambda other, m: F.when(
+            number == m[0], F.xxhash64(F.lit(m[0]), *[F.get(words_, start + p) for p in _places(m[1])])
+        ).otherwise(other),
+        masks.items(),
+        F.lit(None).cast("bigint"),
+    )
 
-def benchmark_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """``item``, ``item_version``, ``item_at``, ``number`` (of the mask), ``seed`` for each place a mask fits in
-    ``item_words``, and the seed's rarest word: ``anchor`` (its hash) and ``anchor_at`` within the mask.
+
+def benchmark_seeds(items: DataFrame, masks: dict[str, list[int]], window: int) -> DataFrame:
+    """``item``, ``item_version``, ``item_at``, ``number`` (of the mask), ``seed`` for each place a mask for its length
+    fits in ``item_words``, and the seed's rarest word: ``anchor`` (its hash) and ``anchor_at`` within the mask.
 
     Rare is what the benchmark itself has seldom, then what is long. Looking for a seed only where its rarest word is
     spares hashing the others everywhere.
@@ -46,26 +83,30 @@ def benchmark_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("at", "word", "rank"))).alias("listed"))
         .select("item", "item_version", F.col("listed.word").alias("words"), F.col("listed.rank").alias("ranks"))
     )
-    by_mask = []
-    for number, mask in enumerate(masks):
-        last = F.size("words") - len(mask)
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        fits = listed.select("item", "item_version", "words", "ranks", F.explode(starts).alias("item_at"))
-        rarest = F.array_min(
-            F.array(*[F.struct(F.get("ranks", F.col("item_at") + p).alias("rank"), F.lit(p).alias("at")) for p in _places(mask)])
-        )
-        by_mask.append(
-            fits.select(
-                "item",
-                "item_version",
-                "item_at",
-                F.lit(number).alias("number"),
-                _seed(F.col("words"), F.col("item_at"), number, mask).alias("seed"),
-                rarest["rank"]["hash"].alias("anchor"),
-                rarest["at"].alias("anchor_at"),
-            )
+    choices = [
+        F.struct(
+            F.lit(number).alias("number"),
+            F.lit(len(mask)).alias("span"),
+            F.array(*map(F.lit, _places(mask))).alias("places"),
+            F.array(*map(F.lit, lengths)).alias("lengths"),
         )
-    return functools.reduce(DataFrame.unionAll, by_mask)
+        for number, (mask, lengths) in enumerate(masks.items())
+    ]
+    fits = (
+        listed.withColumn("mask", F.explode(F.array(*choices)))
+        .filter(F.array_contains("mask.lengths", F.least(F.size("words"), F.lit(window))))
+        .withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("mask.span"))))
+    )
+    at_places = F.transform("mask.places", lambda p: F.struct(F.get("ranks", F.col("item_at") + p).alias("rank"), p.alias("at")))
+    return fits.withColumn("rarest", F.array_min(at_places)).select(
+        "item",
+        "item_version",
+        "item_at",
+        "mask.number",
+        _seed(F.col("words"), F.col("item_at"), F.col("mask.number"), dict(enumerate(masks))).alias("seed"),
+        F.col("rarest.rank.hash").alias("anchor"),
+        F.col("rarest.at").alias("anchor_at"),
+    )
 
 
 def contaminated(
@@ -93,9 +134,10 @@ def contaminated(
     beyond that Spark chooses the joins. Hits are reduced to document, item and alignment, and only the documents
     that have any are read again to compare the words around the hits.
 
-    Items of fewer than ``window`` words are compared whole, with as many differences in proportion. Texts or items with fewer
-    words than the shortest mask spans, NULL or empty ones have no hit; items with a NULL id and documents with a
-    NULL id are left out, since a pair could not name them.
+    Items of fewer than ``window`` words are compared whole, with as many differences in proportion: two in 9 to 12
+    words, one in 5 to 8, none in fewer. Every pair within the rule is found, wherever the differences lie
+    (``masks_by_length``). Texts or items without words have no hit; items with a NULL id and documents with a NULL id
+    are left out, since a pair could not name them.
     """
     rows = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(
         doc_key(id_col).alias("doc"), F.col(f"`{text_col}`").alias("text")
@@ -106,16 +148,15 @@ def contaminated(
         F.filter(words(F.col(f"`{item_text_col}`")), lambda w: w != "").alias("item_words"),
     )
     items = items.withColumn("item_version", F.xxhash64("item_words")).distinct()
-    seeds = benchmark_seeds(items, masks)
-    bounded = seeds.count() <= broadcast_rows
+    by_length = masks_by_length(masks, window, min_equal)
+    seeds = benchmark_seeds(items, by_length, window)
+    n_seeds = {r["number"]: r["count"] for r in seeds.groupBy("number").count().collect()}
+    bounded = sum(n_seeds.values()) <= broadcast_rows
     send = F.broadcast if bounded else (lambda df: df)
     anchors = seeds.select("anchor", "number", "anchor_at").distinct()
     postings = seeds.select("seed", "item", "item_version", "item_at").distinct()
-    taken = functools.reduce(
-        lambda other, m: F.when(F.col("number") == m[0], _seed(F.col("doc_words"), F.col("start"), *m)).otherwise(other),
-        enumerate(masks),
-        F.lit(None).cast("bigint"),
-    )
+    used = {number: mask for number, mask in enumerate(by_length) if number in n_seeds}
+    taken = _seed(F.col("doc_words"), F.col("start"), F.col("number"), used)
     found = (
         rows.select("doc", "version", words(F.col("text")).alias("doc_words"))
         .select("doc", "version", "doc_words", F.posexplode("doc_words").alias("at", "word"))
