@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidewright
-from tidewright.llm import decontaminate, lines, neardup, packing, pages, passages, quality, suffixes, toxicity, urls
+from tidewright.llm import conversations, decontaminate, lines, neardup, packing, pages, passages, quality, suffixes
+from tidewright.llm import topk, toxicity, urls, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +160,36 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
 @query("op9_minhash_near_dedup")
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, directory, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, directory, "conversations")), lost="lost")
+
+
+@query(
+    "op12_exact_topk",
+    r"""
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    flat AS (
+        SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM whole),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+        FROM flat q JOIN flat c ON q.i = c.i AND q.vec_id <> c.vec_id AND q.vec_id % 100 = 0
+        GROUP BY ALL),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    return topk.search(table(spark, directory, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    return whiten.whiten(table(spark, directory, "embeddings"))
