@@ -90,7 +90,7 @@ def _search(queries: pd.DataFrame, block: pd.DataFrame, dims: int, k: int, longe
         for p in range(table.shape[1]):
             np.maximum(bound, np.abs(near[:, p, None] - table[:, p]), out=bound)
         size = (wanted**2).sum(axis=1)[:, None] + longest
-        bound = (size - longest * bound.astype(np.float64) ** 2) / 2 + SLACK * size + 1
+        bound = np.maximum((size - longest * bound.astype(np.float64) ** 2) / 2 + SLACK * size + 1, LONGS.min)
         bound[own[:, None] == rows] = -np.inf  # a query's own row
         order = np.argsort(-bound, axis=1)
         kept: list[list[tuple]] = [[] for _ in own]
@@ -223,7 +223,7 @@ def search(
         size = (vectors**2).sum(axis=1) + longest
         for i, (row, name, v, far, cell, home, part, limit) in enumerate(zip(*got)):
             gap = np.maximum(0, np.maximum(near[i] - high, low - near[i])).max(axis=1)
-            reach = (size[i] - longest * gap**2) / 2 + SLACK * size[i] + 1
+            reach = np.maximum((size[i] - longest * gap**2) / 2 + SLACK * size[i] + 1, LONGS.min)
             for c in np.flatnonzero((n > 0) & (reach >= limit)):
                 for b in range(blocks_n[c]):
                     if (c, b) != (cell, home):

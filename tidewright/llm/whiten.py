@@ -88,7 +88,7 @@ def shared_bits(whole: np.ndarray) -> tuple[list[int], list[list[int]]]:
             owner.append(d)
             power.append(b)
     sums, products = [0] * dims, [[0] * dims for _ in range(dims)]
-    planes = np.array(planes, np.uint64).reshape(len(owner), -1)
+    planes = np.array(planes, np.uint64).reshape(len(owner), -(-rows // 64))
     for p, plane in enumerate(planes):
         shared = np.bitwise_count(plane & planes[p:]).sum(axis=1, dtype=np.int64).tolist()
         sums[owner[p]] += shared[0] << power[p]
