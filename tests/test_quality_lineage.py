@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import closure, lineage, quality
+from tidewright.operators import closure, graph, lineage, quality
 from tests.conftest import rows
 
 
@@ -98,28 +99,36 @@ def _observed(spark):
             ("conform", "read", "bronze.other"),
             ("conform", "write", "silver.players"),
             ("stranger", "write", "x.y"),
+            ("silent", "write", "x.z"),
         ],
         "step string, direction string, ref string",
     )
 
 
+def _steps(spark):
+    """The graph's steps: one that declares nothing, and one that nobody saw; a stranger is none of them."""
+    return spark.createDataFrame([("ingest",), ("conform",), ("legacy",), ("silent",), ("silent",)], "step string")
+
+
 def test_reconcile_severities(spark):
-    out = lineage.reconcile(_declared(spark), _observed(spark))
+    out = lineage.reconcile(_declared(spark), _observed(spark), _steps(spark))
     got = [(r.severity, r.step, r.message.split(" — ")[0]) for r in lineage.in_severity_order(out).collect()]
     assert got == [
         ("error", "conform", "undeclared read of bronze.other (per lineage)"),
         ("error", "ingest", "undeclared write to bronze.secret (per lineage)"),
+        ("error", "silent", "undeclared write to x.z (per lineage)"),
         ("warn", "ingest", "declares write to bronze._log but lineage shows none"),
         ("info", "conform", "declares read of shared.ref but lineage shows none"),
     ]
-    code = lineage.reconcile(_declared(spark), _observed(spark), source="code")
+    code = lineage.reconcile(_declared(spark), _observed(spark), _steps(spark), source="code")
     assert code.filter("severity = 'warn' and message like 'undeclared read%'").count() == 1
 
 
 def test_reconcile_qualified(spark):
     full = _observed(spark).withColumn("ref", F.concat(F.lit("cat."), "ref"))
-    out = lineage.reconcile(lineage.qualified(_declared(spark), "cat"), lineage.qualified(full, "cat"))
-    assert out.count() == 4
+    declared = lineage.qualified(_declared(spark), "cat")
+    out = lineage.reconcile(declared, lineage.qualified(full, "cat"), _steps(spark))
+    assert out.count() == 5
 
 
 def test_graph_questions(spark):
@@ -143,7 +152,7 @@ def test_graph_questions(spark):
     via = {(r.step, r.ref): r.via for r in lineage.promote_provenance(edges, _observed(spark)).collect()}
     assert via[("conform", "bronze.events")] == "observed" and via[("conform", "shared.ref")] == "declared"
     assert rows(lineage.access_inventory(_observed(spark)))[1] == ("conform", "read", "bronze.other", 1)
-    assert tuple(lineage.inventory_totals(_observed(spark)).first()) == (3, 2, 4)
+    assert tuple(lineage.inventory_totals(_observed(spark)).first()) == (4, 2, 5)
 
 
 def test_mode_drift(spark):
@@ -155,12 +164,13 @@ def test_mode_drift(spark):
         "step string, strategy string, confirmed_at string",
     )
     modes = spark.createDataFrame(
-        [("a", "append"), ("a", "ignore"), ("b", "append"), ("b", "overwrite"), ("c", "ignore"), ("d", "append"), ("e", "append")],
+        [("a", "append"), ("a", "ignore"), ("b", "append"), ("b", "overwrite"), ("c", "ignore"), ("d", "append"), ("e", "append"),
+         ("a", "typo 1"), ("a", "typo 2")],
         "step string, mode string",
     )
     got = lineage.in_severity_order(lineage.mode_drift(strategies, modes)).collect()
     assert [r.step for r in got] == ["a", "c"]
-    assert got[0].message.startswith("write mode ['append', 'ignore'] does not match strategy 'overwrite_table' confirmed on 2026-01-01")
+    assert got[0].message.startswith("write mode ['append', 'ignore', 'other'] does not match strategy 'overwrite_table' confirmed on 2026-01-01")
 
 
 def _closure(edges):
@@ -177,11 +187,31 @@ def test_reachability_against_brute_force(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randint(0, 14), rng.randint(0, 14)) for _ in range(16)]
     expected = _closure(edges)
-    reach = closure.reachability(spark.createDataFrame(edges + [(None, 1)], "src int, dst int"))
-    assert rows(reach) == sorted(expected, key=repr)
+    frame = spark.createDataFrame(edges + [(None, 1)], "src int, dst int")
+    assert rows(closure.reachability(frame)) == sorted(expected, key=repr)
+    seeds = spark.createDataFrame([(3,), (9,), (9,), (None,), (99,)], "src int")
+    assert rows(closure.reachability(frame, seeds)) == sorted(((a, b) for a, b in expected if a in (3, 9)), key=repr)
     members = {a for a, b in expected if a == b}
-    assert {r.node for r in closure.on_cycle(reach).collect()} == members
-    assert {r.node for r in closure.unplaceable(reach).collect()} == members | {b for a, b in expected if a in members}
+    assert {r.node for r in closure.on_cycle(frame).collect()} == members
+    assert {r.node for r in closure.unplaceable(frame).collect()} == members | {b for a, b in expected if a in members}
+
+
+def test_cycles_joined_by_a_path(spark):
+    """Nodes between two cycles are in the core, but on no cycle; two cycles that share a colour are told apart."""
+    edges = [(1, 2), (2, 1), (2, 5), (5, 6), (6, 9), (9, 8), (8, 9), (9, 20), (20, 21), (0, 1), (30, 30), (30, 1), (4, 3), (3, 4), (4, 1)]
+    frame = spark.createDataFrame(edges, "src int, dst int")
+    assert rows(closure.on_cycle(frame)) == sorted([(n,) for n in (1, 2, 3, 4, 8, 9, 30)], key=repr)
+    behind = (5, 6, 20, 21)
+    assert rows(closure.unplaceable(frame)) == sorted([(n,) for n in (1, 2, 3, 4, 8, 9, 30, *behind)], key=repr)
+
+
+def test_long_chain_has_no_cycle_and_takes_few_rounds(spark):
+    chain = spark.range(40).selectExpr("id as src", "id + 1 as dst").coalesce(1)
+    closure.on_cycle(chain.limit(2)).collect()  # compiled once
+    started = time.time()
+    assert closure.unplaceable(chain).count() == 0
+    assert time.time() - started < 10
+    assert closure.reachability(chain, max_rounds=7).count() == 41 * 40 / 2
 
 
 def test_reachability_limit_raises(spark):
@@ -189,6 +219,38 @@ def test_reachability_limit_raises(spark):
     assert closure.reachability(chain).count() == 21
     with pytest.raises(RuntimeError, match="not complete"):
         closure.reachability(chain, max_rounds=2)
+    with pytest.raises(RuntimeError, match="not complete"):
+        closure.reachability(chain, chain.select("src").limit(1), max_rounds=2)
+
+
+def test_graph_findings(spark):
+    edges = spark.createDataFrame(
+        [
+            ("a", "write", "t.a", 1), ("a", "read", "t.b", 1), ("b", "write", "t.b", 2), ("b", "read", "t.a", 2),
+            ("c", "read", "t.b", 3), ("c", "write", "t.c", 3), ("d", "read", "x.ext", 4), ("d", "write", "t.c", 4),
+            ("e", "write", "t.c", 5), ("e", "write", None, 5), ("b", "read", "t.b", 2),
+        ],
+        "step string, direction string, ref string, position int",
+    )
+    steps = spark.createDataFrame([("b", True), ("a", False), ("d", None)], "step string, violates_single_primary boolean")
+    unsure = "depends on t.b produced by b, which violates single-primary — this step's wave position is unreliable"
+    found = graph.graph_findings(edges, steps)
+    assert found.columns == ["severity", "step", "message"]
+    assert rows(found) == sorted(
+        [
+            ("error", "e", "primary write with no ref"),
+            ("error", "d", "t.c already produced by c"),
+            ("error", "e", "t.c already produced by d"),
+            ("error", "<flow>", "cycle among: a"),
+            ("error", "<flow>", "cycle among: b"),
+            ("error", "<flow>", "cycle among: c"),
+            ("warn", "a", unsure),
+            ("warn", "c", unsure),
+            ("info", "d", "reads external asset x.ext (not in flow)"),
+        ],
+        key=repr,
+    )
+    assert graph.graph_findings(edges).filter("severity = 'warn'").isEmpty()
 
 
 def test_stuck_steps(spark):

@@ -1,12 +1,14 @@
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewright.functions.widening import keeps_values
 from tidewright.operators import changes, quality
 from tidewright.plans import ingest
 from tidewright.sources import landing, publish, rescue, side_tables, tables
@@ -44,6 +46,33 @@ def test_rescue(spark):
         rescue.parse_with_rescue(df.withColumnRenamed("i", "id"), StructType.fromDDL(SCHEMA_DDL))
 
 
+BIG = "123456789012345678901234567890123456789012"
+
+
+def test_rescue_keeps_numbers_as_written(spark):
+    lines = [
+        (1, '{"name": 1.10, "more": 1e3, "big": ' + BIG + ', "deep": {"a": [1.50, -0.0, "2.50"]}}'),
+        (2, '{"id": 1E2, "name": {"b": 1.0, "a": [1.00]}, "l": [1, 2.0]}'),
+        (3, '{"id": ' + BIG + ', "name": "1.10, 2]", "x\\"y": "a\\\\", "z": [1.0]}'),
+        (4, '{"id": 01}'),
+        (5, '{1: 2}'),
+        (6, '{"id": 7, "name": "\ue0f11.50", "other": 1.50}'),
+        (7, '{"id": 8, "name": "' + "n\\n" * 50_000 + '", "other": 2.50}'),
+        (8, '{"id":-5,"s":{"x":1.5,"y":1.50},"l":[null,3]}'),
+    ]
+    frame = spark.createDataFrame(lines, "i int, value string")
+    got = {r.i: r for r in rescue.parse_with_rescue(frame, StructType.fromDDL(SCHEMA_DDL)).collect()}
+    assert got[1]["name"] == "1.10"
+    assert got[1]["_rescued"] == '{"big":' + BIG + ',"deep":{"a":[1.50,-0.0,"2.50"]},"more":1e3}'
+    assert (got[2]["name"], got[2]["_rescued"]) == ('{"a":[1.00],"b":1.0}', '{"id":1E2,"l":[1,2.0]}')
+    assert got[3]["name"] == "1.10, 2]" and got[3]["_rescued"] == '{"id":' + BIG + ',"x\\"y":"a\\\\","z":[1.0]}'
+    assert all(json.loads(got[i]["_rescued"]) == {"_corrupt_record": lines[i - 1][1]} for i in (4, 5))
+    assert (got[6]["id"], got[6]["name"], json.loads(got[6]["_rescued"])) == (7, "\ue0f11.50", {"other": 1.5})
+    assert got[7]["name"] == "n\n" * 50_000 and got[7]["_rescued"] == '{"other":2.50}'
+    assert (got[8]["id"], got[8]["s"].x, got[8]["s"].y, got[8]["l"]) == (-5, None, "1.50", [None, 3])
+    assert got[8]["_rescued"] == '{"s.x":1.5}'
+
+
 # --- landing -----------------------------------------------------------------------------------------------
 def test_landing_round_trip_and_rerun(spark, tmp_path):
     df = spark.sql("select 1 id, cast(null as string) name, timestamp'2024-01-01 00:00:00.123456' at")
@@ -100,6 +129,52 @@ def test_replaced_schema_stays_in_place(spark, name, tmp_path):
     assert rows(spark.read.parquet(where)) == [("x",)]
 
 
+def test_failed_overwrite_leaves_the_old_rows(spark, name):
+    tables.overwrite_table(spark.sql(BASE), name)
+    with pytest.raises(Exception, match="stop"):
+        tables.overwrite_table(spark.sql("select cast(id as int) id, cast(raise_error('stop') as string) v from range(3)"), name)
+    with pytest.raises(Exception, match="stop"):
+        tables.write_table(spark.sql("select cast(raise_error('stop') as string) z"), name, mode="overwrite", overwrite_schema=True)
+    assert rows(spark.table(name)) == [(1, "a"), (2, "b")]
+    parted = name + "p"
+    tables.write_table(spark.sql("select 1 id, 'x' d"), parted, mode="append", partition_by=["d"])
+    with pytest.raises(Exception, match="stop"):
+        tables.overwrite_table(spark.sql("select 1 id, cast(raise_error('stop') as string) d"), parted)
+    tables.overwrite_table(spark.sql("select 2 id, 'y' d"), parted)
+    assert rows(spark.table(parted)) == [(2, "y")] and tables.partition_columns(spark, parted) == ["d"]
+
+
+def test_old_versions_are_dropped(spark, name, tmp_path):
+    where = str(tmp_path / "t")
+    tables.overwrite_table(spark.sql("select 0 id"), name, path=where)
+    for i in range(1, 4):
+        tables.overwrite_table(spark.sql(f"select {i} id"), name)
+    assert len(os.listdir(tmp_path)) == 4
+    assert publish.drop_old_versions(spark, name) == []
+    assert len(publish.drop_old_versions(spark, name, keep=1, min_age_seconds=0)) == 2
+    assert len(os.listdir(tmp_path)) == 2 and rows(spark.table(name)) == [(3,)]
+    view = name + "v"
+    for i in range(3):
+        tables.upsert(spark.sql(f"select {i} id"), view, ["id"], location=str(tmp_path / "v"))
+    gone = publish.drop_old_versions(spark, view, min_age_seconds=0)
+    assert len(gone) == 2 and all(g.startswith(view + "_attempt_") for g in gone)
+    assert rows(spark.table(view)) == [(0,), (1,), (2,)] and len(os.listdir(tmp_path / "v")) == 1
+
+
+def test_types_are_widened_and_never_narrowed(spark, name):
+    tables.write_table(spark.sql("select 1L id, 1.5D v, cast(1 as decimal(10,2)) d"), name, mode="append")
+    tables.write_table(spark.sql("select 2 id, 3 v, cast(2 as decimal(8,1)) d"), name, mode="append")
+    for bad in ("1.7D id", "'x' id", "1 id, 'x' v", "1 id, 5L v", "1 id, cast(1 as decimal(10,3)) d"):
+        for mode in ("append", "overwrite"):
+            with pytest.raises(ValueError, match="cast them first"):
+                tables.write_table(spark.sql(f"select {bad}"), name, mode=mode)
+        with pytest.raises(ValueError, match="cast them first"):
+            tables.upsert(spark.sql(f"select {bad}"), name, ["id"])
+    assert [r[:2] for r in rows(spark.table(name))] == [(1, 1.5), (2, 3.0)]
+    assert keeps_values(spark.sql("select array(1) a, null b").schema, spark.sql("select array(1L) a, 'x' b").schema)
+    assert not keeps_values(spark.sql("select array(1L) a").schema, spark.sql("select array(1) a").schema)
+
+
 def test_read_or_none(spark, name):
     assert tables.read_or_none(spark, name) is None
     tables.overwrite_table(spark.sql("select 1 a"), name)
@@ -117,6 +192,21 @@ def test_overwrite_partitions(spark, name):
         tables.overwrite_partitions(spark.sql("select 1 a"), name, [])
 
 
+def test_partitions_overwritten_at_the_same_time(spark, name):
+    """Two threads of one session, other partitions each; the session's own setting plays no part."""
+    tables.overwrite_partitions(spark.sql("select id, id % 6 d from range(60)"), name, "d")
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+
+    def write(d):
+        tables.overwrite_partitions(spark.sql(f"select -id id, {d}L d from range({d + 1})"), name, "d")
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, [1, 4, 7, 8]))
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+    counts = {r.d: r["count"] for r in spark.table(name).groupBy("d").count().collect()}
+    assert counts == {0: 10, 1: 2, 2: 10, 3: 10, 4: 5, 5: 10, 7: 8, 8: 9}
+
+
 def test_append_dedup_is_retry_safe(spark, name):
     batch = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "id int, v int")
     assert tables.append_dedup(batch, name, ["id"], order_by=["v"]) == 2
@@ -212,6 +302,47 @@ def test_upsert_rewrites_only_touched_partitions(spark, name, tmp_path):
     assert set(os.listdir(where + "/d=x")) == before
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+@pytest.mark.parametrize("literals", [200, 1])
+def test_upsert_scan_is_pruned_to_the_batch(spark, name, monkeypatch, broadcast, literals):
+    """A batch of few partitions has the scan list no other's files, however the join is done."""
+    monkeypatch.setattr(tables, "PARTITION_LITERALS", literals)
+    base = spark.sql("select id, id % 9 d, if(id % 5 = 0, null, id % 3) e, 'old' v from range(90)")
+    tables.write_table(base, name, mode="append", partition_by=["d", "e"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        one = spark.sql("select 4L id, 4L d, 1L e, 'new' v")
+        files = tables.touched_partitions(spark.table(name), one, ["d", "e"]).inputFiles()
+        assert files and all("d=4/e=1/" in f for f in files)
+        several = spark.sql("select * from values (4L, 4L, 1L, 'n'), (5L, 5L, null, 'n') t(id, d, e, v)")
+        files = tables.touched_partitions(spark.table(name), several, ["d", "e"]).inputFiles()
+        assert files and all("/d=4/" in f or "/d=5/" in f for f in files)
+        assert tables.upsert(several, name, ["id", "d", "e"]) == {"inserted": 1, "updated": 1, "total_processed": 2}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # a NULL key meets no other, so its row is new
+    assert spark.table(name).count() == 91 and spark.table(name).filter("v = 'n'").count() == 2
+
+
+def test_upsert_creates_a_partitioned_table(spark, name, tmp_path):
+    batch = spark.sql("select id, id % 3 d, 'a' v from range(9)")
+    where = str(tmp_path / "t")
+    assert tables.upsert(batch, name, ["id", "d"], partition_by=["d"], location=where)["inserted"] == 9
+    assert tables.partition_columns(spark, name) == ["d"] and sorted(f for f in os.listdir(where) if "=" in f) == ["d=0", "d=1", "d=2"]
+    tables.write_with_strategy(batch.filter("id = 1"), name + "2", "merge_on_key", merge_key=["id", "d"], partition_by=["d"])
+    assert tables.partition_columns(spark, name + "2") == ["d"]
+    # a published table keeps its layout when a new version is written
+    publish.publish(spark, name + "v", publish.write_version(batch, name + "v", partition_by=["d"]))
+    tables.upsert(batch.filter("id = 1"), name + "v", ["id"])
+    assert tables.partition_columns(spark, publish.current_version(spark, name + "v")) == ["d"]
+
+
+def test_upsert_from_a_checkpointed_batch(spark, name):
+    tables.upsert(spark.sql(BASE), name, ["id"])
+    assert tables.upsert(spark.sql(NEXT), name, ["id"], keep_batch="checkpoint")["updated"] == 1
+    assert rows(spark.table(name)) == sorted(AFTER, key=repr)
+
+
 def test_upsert_refuses_bad_batches(spark, name):
     with pytest.raises(ValueError, match="beyond the first"):
         tables.upsert(spark.sql("select 1 id, 'a' v union all select 1, 'b'"), name, ["id"])
@@ -255,7 +386,87 @@ def test_quarantine_and_metrics_in_one_pass(spark, name):
     ]
 
 
+def test_quarantine_beside_a_merge_can_be_run_again(spark, name):
+    expect = {"valid_id": "id IS NOT NULL", "valid_v": "v > 0"}
+    side_tables.write_guarded(spark.sql("select 1 id, 1 v"), name, expect, "merge_on_key", run_id="a", merge_key=["id"])
+
+    def run(sql):
+        return side_tables.write_guarded(
+            spark.sql(sql), name, expect, "merge_on_key", run_id="b", merge_key=["id"], metrics_table=f"{name}_metrics"
+        )
+
+    batch = "select * from values (1, 5), (2, 6), (null, 5), (3, null) t(id, v)"
+    quarantine, metrics = side_tables.quarantine_name(name), f"{name}_metrics"
+    for _ in range(2):
+        assert run(batch) == {"rows_in": 4, "rows_quarantined": 2, "valid_id": 1, "valid_v": 1}
+        assert rows(spark.table(name), "id", "v") == [(1, 5), (2, 6)]
+        assert rows(spark.table(quarantine), "id", "v", "_reasons", "_run") == [
+            (3, None, ["valid_v"], "b"), (None, 5, ["valid_id"], "b"),
+        ]
+        assert rows(spark.table(metrics), "metric", "value", "run_id", "table") == [
+            ("rows_in", 4, "b", name), ("rows_quarantined", 2, "b", name), ("valid_id", 1, "b", name), ("valid_v", 1, "b", name),
+        ]
+    # a corrected rerun rejects nothing: the run's rejected rows go, other runs' stay
+    side_tables.write_guarded(spark.sql("select null id, 1 v"), name, expect, "merge_on_key", run_id="c", merge_key=["id"])
+    run("select * from values (1, 5), (2, 6), (3, 7) t(id, v)")
+    assert rows(spark.table(quarantine), "_run") == [("c",)] and spark.table(name).count() == 3
+    assert spark.table(f"{quarantine}_lanes").filter("_lane = 'primary'").isEmpty()
+    with pytest.raises(ValueError, match="not published here"):
+        side_tables.write_with_quarantine(spark.sql("select 1 id, 1 v"), f"{name}_q", expect)
+        tables.upsert(spark.sql("select 100 id, 1 v"), f"{name}_q", ["id"])
+    with pytest.raises(ValueError, match="run id"):
+        side_tables.write_guarded(spark.sql("select 1 id, 1 v"), name, expect, "none", run_id="")
+
+
 # --- streaming and the whole flow --------------------------------------------------------------------------
+def test_bronze_is_exactly_once(spark, name, tmp_path):
+    """A batch that runs again replaces its partition; later batch writes are seen; empty batches hide no full one."""
+    src, check, schema = str(tmp_path / "src"), str(tmp_path / "check"), StructType.fromDDL("id int")
+    lines = spark.createDataFrame([('{"id": %d}' % i,) for i in range(3)] + [("",)] * 117, "value string")
+    lines.repartition(1).write.option("maxRecordsPerFile", 1).text(src)
+    full = [f for f in sorted(os.listdir(src)) if f.endswith(".txt") and os.path.getsize(f"{src}/{f}") > 1]
+    for f in os.listdir(src):
+        os.utime(f"{src}/{f}", (1, 1) if f in full else (1_000_000, 1_000_000))
+    counts = {}
+    stream = lambda: bronze.bronze_stream(spark, src, schema, options={"maxFilesPerTrigger": "1"})
+    expect = {"small": "id < 2"}
+    assert bronze.refresh_table(stream(), name, check, expectations=expect, counts=counts) is True
+    assert counts == {"n_rows": 3, "small": 1}
+    assert max(int(p) for p in os.listdir(check + "/commits") if p.isdigit()) == 119
+    assert rows(spark.table(name), "id") == [(0,), (1,), (2,)]
+    # the next batch twice, as if the process had died between its write and its commit
+    spark.sql("select '{\"id\": 5}' value").write.mode("append").text(src)
+    for _ in range(2):
+        assert bronze.refresh_table(stream(), name, check) is True
+        assert rows(spark.table(name), "id") == [(0,), (1,), (2,), (5,)]
+        for f in ("120", ".120.crc"):
+            os.remove(f"{check}/commits/{f}")
+    bronze.refresh_table(stream(), name, check)
+    assert bronze.refresh_table(stream(), name, check) is False
+    tables.write_table(spark.sql("select 9 id"), name, mode="append")
+    assert rows(spark.table(name), "id") == [(0,), (1,), (2,), (5,), (9,)]
+    assert rows(spark.table(name).filter("_batch is null"), "id") == [(9,)]
+
+
+def test_flow_counts_what_it_drops(spark, name, tmp_path):
+    root, check = str(tmp_path / "landing"), str(tmp_path / "check")
+    schema = StructType.fromDDL("id int, updated_at string")
+    lines = ['{"id": 1, "updated_at": "2024-01-01"}', '{"updated_at": "2024-01-01"}', '{"id": 2, "x": 1}', '{"id": 1, "updated_at": "2024-01-02"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(root)
+    warned, dropped = {}, {}
+    expect = {"no_rescued_data": "_rescued IS NULL"}
+    ingest.refresh_bronze(
+        spark, root, schema, name, check, expectations=expect, counts=warned, partition_by=["id"],
+        options={"maxFilesPerTrigger": "1"},
+    )
+    assert warned == {"n_rows": 4, "no_rescued_data": 1} and tables.partition_columns(spark, name) == ["_batch", "id"]
+    for _ in range(2):
+        ingest.refresh_silver(spark, name, name + "s", ["id"], check + "s", counts=dropped, location=str(tmp_path / "s"), keep_versions=0)
+        assert dropped == {"n_rows": 4, "n_dropped": 1, "valid_id": 1}
+    assert rows(spark.table(name + "s"), "id") == [(1,), (2,)]
+    assert "_batch" not in spark.table(name + "s").columns
+
+
 def test_bronze_refresh_takes_each_file_once(spark, name, tmp_path):
     root, check = str(tmp_path / "landing"), str(tmp_path / "check")
     schema = StructType.fromDDL("id int, updated_at string")
@@ -276,7 +487,7 @@ def test_foreach_batch_skips_empty(spark, tmp_path):
     spark.sql("select 'not json' value").write.text(src)
     calls = []
     stream = lambda: bronze.bronze_stream(spark, src, StructType.fromDDL("id int")).filter("id is not null")
-    assert bronze.refresh_with(stream(), lambda df, i: calls.append(df.count()), check) is True
+    assert bronze.refresh_with(stream(), lambda df, i: calls.append(df.count()), check) is False
     assert calls == []
     spark.sql("select '{\"id\": 1}' value").write.mode("append").text(src)
     bronze.refresh_with(stream(), lambda df, i: calls.append(df.count()), check)

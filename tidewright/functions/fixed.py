@@ -9,12 +9,9 @@ RESCUED_COLUMN = "_rescued"
 INGESTED_AT_COLUMN = "_ingested_at"
 SOURCE_FILE_COLUMN = "_source_file"
 REASONS_COLUMN = "_reasons"
+BATCH_COLUMN = "_batch"
 CORRUPT_FIELD = "_corrupt_record"
 
-# change classes and change-feed types
-CHANGE_CLASSES = ("new", "changed", "unchanged")
-CHANGE_TYPES = ("insert", "update_preimage", "update_postimage", "delete")
-
 # quality findings
 DEFAULT_ROW_COUNT_TOLERANCE = 0.05
 QA_SEVERITIES = ("ERROR", "WARN", "INFO")
@@ -35,7 +32,6 @@ SUMMARY_FORMAT = "QA %s: %d error(s), %d warning(s), %d info"
 # lineage findings
 LINEAGE_SEVERITIES = ("error", "warn", "info")
 STATUSES = ("planned", "implemented", "tested", "shipped")
-VIA = ("declared", "observed", "inferred")
 UNDECLARED_WRITE_FORMAT = "undeclared write to %s (per %s) — an undeclared write is what breaks a retry"
 UNSEEN_WRITE_FORMAT = "declares write to %s but %s shows none"
 UNDECLARED_READ_FORMAT = "undeclared read of %s (per %s) — wave order may be wrong"
@@ -49,6 +45,12 @@ INFERRED_READ_FORMAT = "read %s is inferred from code — wave order may be wron
 EXTERNAL_READ_FORMAT = "reads external asset %s (not in flow)"
 DUPLICATE_PRODUCER_FORMAT = "%s already produced by %s"
 CYCLE_MESSAGE = "cycle among: "
+NAMELESS_WRITE_MESSAGE = "primary write with no ref"
+VIOLATING_PRODUCER_FORMAT = (
+    "depends on %s produced by %s, which violates single-primary — this step's wave position is unreliable"
+)
+#: the step that findings on the graph as a whole are filed under
+FLOW_STEP = "<flow>"
 
 # write strategies and the write modes that agree with each
 STRATEGIES = ("overwrite_table", "overwrite_partition", "merge_on_key", "append_dedup", "none")
@@ -59,11 +61,13 @@ STRATEGY_MODES = {
     "append_dedup": ("append",),
 }
 
+# write modes a log may hold besides those a strategy expects
+OTHER_WRITE_MODES = ("ignore", "error", "errorifexists")
+
 # a 2- or 3-part table name
 TABLE_REF_PATTERN = r"^[A-Za-z_][\w]*\.[A-Za-z_][\w]*(\.[A-Za-z_][\w]*)?$"
 
 # what a contract calls the JSON types, and the name an error gives the value found
-CONTRACT_TYPES = ("object", "array", "string", "number", "integer", "boolean", "null")
 VALUE_TYPE_NAMES = {
     "object": "dict",
     "array": "list",

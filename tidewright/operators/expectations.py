@@ -45,8 +45,30 @@ def observe_expectations(
     )
 
 
-def expect_or_drop(df: DataFrame, expectations: Mapping[str, Column | str]) -> DataFrame:
-    """Only the rows that meet every expectation."""
+def add_counts(counts: dict[str, int], more: Mapping[str, int]) -> None:
+    """Adds what one action observed to counts that several actions share."""
+    for name, n in more.items():
+        counts[name] = counts.get(name, 0) + int(n)
+
+
+def expect_or_drop(
+    df: DataFrame, expectations: Mapping[str, Column | str], observation: Observation | None = None
+) -> DataFrame:
+    """Only the rows that meet every expectation.
+
+    With an observation, what is dropped is counted during whatever action the frame feeds: ``n_rows`` that came,
+    ``n_dropped``, and the violations of each expectation, where a row may fail several.
+    """
+    if observation is not None:
+        failed = F.lit(False)
+        for condition in expectations.values():
+            failed = failed | ~holds(condition)
+        df = df.observe(
+            observation,
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(failed).alias("n_dropped"),
+            *[F.count_if(~holds(c)).alias(n) for n, c in expectations.items()],
+        )
     for condition in expectations.values():
         df = df.filter(holds(condition))
     return df

@@ -32,29 +32,34 @@ def primary_writes(edges: DataFrame) -> DataFrame:
     return edges.filter((F.col("direction") == "write") & (kind == "primary"))
 
 
-def _findings(df: DataFrame, severity: Column, message: Column) -> DataFrame:
+def as_findings(df: DataFrame, severity: Column, message: Column) -> DataFrame:
     return df.select(severity.alias("severity"), "step", message.alias("message"))
 
 
-def edge_diff(declared: DataFrame, observed: DataFrame) -> DataFrame:
+def edge_diff(declared: DataFrame, observed: DataFrame, steps: DataFrame) -> DataFrame:
     """Edges on one side only: ``step, direction, ref, side`` with side ``undeclared`` or ``unseen``.
 
-    Only steps that appear on both sides are compared; a step nobody observed is ``unverified_steps``.
+    Compared are the steps of the graph, ``steps`` with a column ``step``, that were observed: one that declares
+    nothing has every access undeclared. A step nobody observed is ``unverified_steps``; one outside the graph is
+    nobody's to declare.
     """
     sides = distinct_edges(declared).select(*EDGE, F.lit(1).alias("_d"), F.lit(0).alias("_o")).unionByName(
         distinct_edges(observed).select(*EDGE, F.lit(0).alias("_d"), F.lit(1).alias("_o"))
     )
     # one aggregation over the union does the work of a full outer join; each side is already distinct, so no
-    # group holds more than two rows, and the steps both sides know come out of the same shuffle
+    # group holds more than two rows, and the observed steps come out of the same shuffle
     edges = sides.groupBy(*EDGE).agg(F.max("_d").alias("_d"), F.max("_o").alias("_o"))
-    steps = edges.groupBy("step").agg(F.max("_d").alias("_sd"), F.max("_o").alias("_so"))
-    compared = steps.filter((F.col("_sd") == 1) & (F.col("_so") == 1)).select("step")
+    known = steps.select("step", F.lit(1).alias("_g"), F.lit(0).alias("_o")).unionByName(
+        edges.select("step", F.lit(0).alias("_g"), "_o")
+    )
+    known = known.groupBy("step").agg(F.max("_g").alias("_g"), F.max("_o").alias("_o"))
+    compared = known.filter((F.col("_g") == 1) & (F.col("_o") == 1)).select("step")
     one_sided = lookup_join(edges.filter(F.col("_d") != F.col("_o")), compared, ["step"], "left_semi")
     return one_sided.select(*EDGE, F.when(F.col("_o") == 1, "undeclared").otherwise("unseen").alias("side"))
 
 
-def reconcile(declared: DataFrame, observed: DataFrame, *, source: str = "lineage") -> DataFrame:
-    """Findings ``severity, step, message`` for every edge that only one side has.
+def reconcile(declared: DataFrame, observed: DataFrame, steps: DataFrame, *, source: str = "lineage") -> DataFrame:
+    """Findings ``severity, step, message`` for every edge of the graph's ``steps`` that only one side has.
 
     An undeclared write is an error, an undeclared read an error too when lineage saw it and else a warning;
     a declared write nobody saw is a warning, such a read is information.
@@ -74,7 +79,7 @@ def reconcile(declared: DataFrame, observed: DataFrame, *, source: str = "lineag
         .when(~read, F.format_string(fixed.UNSEEN_WRITE_FORMAT, "ref", src))
         .otherwise(F.format_string(fixed.UNSEEN_READ_FORMAT, "ref", src))
     )
-    return _findings(edge_diff(declared, observed), severity, message)
+    return as_findings(edge_diff(declared, observed, steps), severity, message)
 
 
 def producers(edges: DataFrame) -> DataFrame:
@@ -150,39 +155,55 @@ def status_counts(steps: DataFrame) -> DataFrame:
 def mode_drift(strategies: DataFrame, modes: DataFrame) -> DataFrame:
     """Findings for confirmed steps none of whose observed write modes agrees with their strategy.
 
-    ``strategies``: ``step, strategy, confirmed_at``; ``modes``: ``step, mode``, one row per access. There
-    are only as many modes as Spark has save and output modes, so a step's set of them is a few words.
+    ``strategies``: ``step, strategy, confirmed_at``; ``modes``: ``step, mode``, one row per access. A log may spell
+    anything as a mode; what no strategy expects is told apart only as ``other``, so a step's set is a few words.
     """
-    seen = (
-        modes.filter(F.col("mode").isNotNull())
-        .groupBy("step")
-        .agg(F.array_sort(F.collect_set("mode")).alias("modes"))
-    )
-    expected = F.lit(None).cast("array<string>")
-    for strategy, allowed in fixed.STRATEGY_MODES.items():
-        expected = F.when(F.col("strategy") == strategy, F.array(*[F.lit(m) for m in allowed])).otherwise(expected)
-    checked = strategies.filter(F.col("confirmed_at").isNotNull()).withColumn("_expected", expected)
+    seen = step_modes(modes)
+    checked = strategies.filter(F.col("confirmed_at").isNotNull()).withColumn("_expected", _expected_modes())
     drifted = checked.filter(F.col("_expected").isNotNull()).join(seen, "step")
     drifted = drifted.filter(~F.arrays_overlap("modes", "_expected"))
     quoted = F.concat_ws(", ", F.transform("modes", lambda m: F.concat(F.lit("'"), m, F.lit("'"))))
-    return _findings(
+    return as_findings(
         drifted,
         F.lit("error"),
         F.format_string(fixed.MODE_DRIFT_FORMAT, quoted, F.col("strategy"), F.col("confirmed_at").cast("string")),
     )
 
 
+def step_modes(modes: DataFrame) -> DataFrame:
+    """``step, modes``: the write modes seen of each step, sorted; all but the known ones as ``other``."""
+    known = sorted({m for allowed in fixed.STRATEGY_MODES.values() for m in allowed} | set(fixed.OTHER_WRITE_MODES))
+    mode = F.when(F.col("mode").isin(*known), F.col("mode")).otherwise("other")
+    seen = modes.filter(F.col("mode").isNotNull()).groupBy("step")
+    return seen.agg(F.array_sort(F.collect_set(mode)).alias("modes"))
+
+
+def modes_agree(strategies: DataFrame, modes: DataFrame) -> DataFrame:
+    """``step, agrees``: whether any observed mode is one that the step's strategy expects; steps with both only."""
+    expected = _expected_modes()
+    checked = strategies.withColumn("_expected", expected).filter(F.col("_expected").isNotNull())
+    agrees = F.arrays_overlap("modes", "_expected").alias("agrees")
+    return checked.join(step_modes(modes), "step").select("step", agrees)
+
+
+def _expected_modes() -> Column:
+    expected = F.lit(None).cast("array<string>")
+    for strategy, allowed in fixed.STRATEGY_MODES.items():
+        expected = F.when(F.col("strategy") == strategy, F.array(*[F.lit(m) for m in allowed])).otherwise(expected)
+    return expected
+
+
 def unverified_steps(steps: DataFrame, observed: DataFrame) -> DataFrame:
     """Warnings for shipped steps that lineage has never seen; ``steps`` has ``step, status``."""
     shipped = steps.filter(F.col("status") == "shipped")
     missing = shipped.join(observed.select("step").distinct(), "step", "left_anti")
-    return _findings(missing, F.lit("warn"), F.lit(fixed.UNVERIFIED_MESSAGE))
+    return as_findings(missing, F.lit("warn"), F.lit(fixed.UNVERIFIED_MESSAGE))
 
 
 def promote_provenance(declared: DataFrame, observed: DataFrame) -> DataFrame:
     """Declared edges with ``via`` turned to ``observed`` where lineage has the edge; nothing else turns it."""
     seen = distinct_edges(observed).withColumn("_seen", F.lit(True))
-    joined = declared.join(seen, list(EDGE), "left")
+    joined = lookup_join(declared, seen, list(EDGE), "left")
     via = F.when(F.col("_seen"), "observed").otherwise(F.col("via"))
     return joined.select(*[via.alias("via") if c == "via" else F.col(c) for c in declared.columns])
 
@@ -190,7 +211,7 @@ def promote_provenance(declared: DataFrame, observed: DataFrame) -> DataFrame:
 def inferred_reads(edges: DataFrame) -> DataFrame:
     """Warnings for reads that were only inferred."""
     weak = edges.filter((F.col("direction") == "read") & (F.col("via") == "inferred"))
-    return _findings(weak, F.lit("warn"), F.format_string(fixed.INFERRED_READ_FORMAT, "ref"))
+    return as_findings(weak, F.lit("warn"), F.format_string(fixed.INFERRED_READ_FORMAT, "ref"))
 
 
 def in_severity_order(findings: DataFrame) -> DataFrame:

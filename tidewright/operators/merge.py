@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.widening import require_fit
 from tidewright.operators.keys import any_null, check_keys, keys_of_interest, lookup_join
 
 _HIT = "_hit"
@@ -17,7 +18,7 @@ def merged_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
 
     Keys match with ``=``: a NULL key never matches, so such source rows are always inserted. Matched rows
     take the source's non-key columns; columns only the target has keep their value, and are NULL on insert.
-    Each source key is expected once (``require_unique``).
+    Each source key is expected once (``require_unique``). A source type that would lose values in the target's raises.
 
     Two joins instead of one full outer join, which Spark can neither broadcast nor split: with a small
     source the target passes through a broadcast join unshuffled, and with a large one adaptive execution can
@@ -28,6 +29,7 @@ def merged_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
     extra = [c for c in source.columns if c not in target.columns]
     if extra:
         raise ValueError(f"source columns not in target: {extra}")
+    require_fit(source.schema, target.schema, "the target")
     values = [c for c in source.columns if c not in keys]
     names = {c: f"_s{i}" for i, c in enumerate(values)}
 

@@ -7,12 +7,46 @@ import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
+from pyspark.sql.types import ArrayType, AtomicType, DataType, MapType, StringType, StructType, VariantType
 
 from tidewright.functions.fixed import CORRUPT_FIELD, RESCUED_COLUMN
 
 _ENTRY = "array<struct<key:string,value:variant>>"
 
+#: stands before the text of a number while a line is worked on; a line's own private-use character is escaped
+ESCAPE = "\ue0f1"
+MARK, ESCAPED = ESCAPE + "n", ESCAPE + "e"
+#: the next number of a line outside its strings: what comes before it, then the number, which is no object key
+_NUMBER = (
+    r'\G((?:[^"0-9-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)'
+    r"(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+)(?![0-9.eE+-]|\s*+:)"
+)
+
+
+def _parsed(line: Column) -> Column:
+    """A line as a variant in which every number is a string: the mark, then the number as it is written.
+
+    A variant would keep the number and not its text, so that 1.10, 1e3 or forty digits came back as something else.
+    """
+    escaped = F.replace(line, F.lit(ESCAPE), F.lit(ESCAPED))
+    return F.try_parse_json(F.regexp_replace(escaped, _NUMBER, f'$1"{MARK}$2"'))
+
+
+def _unmarked(json: Column) -> Column:
+    """JSON text with its marked numbers as they were written."""
+    written = F.replace(F.regexp_replace(json, f'"{MARK}([^"]*+)"', "$1"), F.lit(ESCAPED), F.lit(ESCAPE))
+    return F.when(json.contains(ESCAPE), written).otherwise(json)
+
+
+def _as_written(text: Column) -> Column:
+    """A scalar's text without the mark; the JSON text of an object or array with none inside."""
+    return F.when(text.startswith(MARK), F.substring(text, 3, 2**31 - 1)).otherwise(_unmarked(text))
+
+
+def _plain(variant: Column) -> Column:
+    """A variant with numbers for marked strings."""
+    return F.try_parse_json(_unmarked(F.to_json(variant)))
+
 
 def _members(variant: Column) -> Column:
     """The fields of a JSON object by name; NULL for anything else."""
@@ -26,16 +60,26 @@ def _given(raw: Column) -> Column:
 def _typed(raw: Column, dtype: DataType) -> Column:
     """A variant as a value of the wanted type; NULL when it is none."""
     if isinstance(dtype, VariantType):
-        return raw
+        return _plain(raw)
     if isinstance(dtype, StructType):
         obj = _members(raw)
         fields = [_typed(F.try_element_at(obj, F.lit(f.name)), f.dataType).alias(f.name) for f in dtype.fields]
         return F.when(obj.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, ArrayType) and isinstance(dtype.elementType, AtomicType):
+        texts = F.try_variant_get(raw, "$", "array<string>")
+        values = F.transform(texts, lambda t: _scalar(t, dtype.elementType))
+        both = F.arrays_zip(texts.alias("t"), values.alias("v"))
+        lost = F.exists(both, lambda e: e["t"].isNotNull() & e["v"].isNull())
+        return F.when(~lost, values)
     if isinstance(dtype, (ArrayType, MapType)):
-        return F.try_variant_get(raw, "$", dtype.simpleString())
-    # through text, because a variant cast would quietly turn 1.5 into the integer 1
-    text = F.try_variant_get(raw, "$", "string")
-    return text if isinstance(dtype, StringType) else text.try_cast(dtype)
+        return F.try_variant_get(_plain(raw), "$", dtype.simpleString())
+    return _scalar(F.try_variant_get(raw, "$", "string"), dtype)
+
+
+def _scalar(text: Column, dtype: DataType) -> Column:
+    """Through text, because a variant cast would quietly turn 1.5 into the integer 1."""
+    written = _as_written(text)
+    return written if isinstance(dtype, StringType) else written.try_cast(dtype)
 
 
 def _misfit(raw: Column, value: Column, dtype: DataType) -> Column:
@@ -90,7 +134,8 @@ def parse_with_rescue(
     """Typed columns per JSON line plus ``_rescued``: a JSON object of what did not fit, NULL when all did.
 
     Rescued are unknown fields, values of the wrong type (by dotted path, also inside structs) and lines that
-    are no JSON object or repeat a key (whole, under ``_corrupt_record``). Other columns of ``lines`` are
+    are no JSON object or repeat a key (whole, under ``_corrupt_record``). Numbers come back as they are written, in
+    ``_rescued`` as in string columns: 1.10 is no 1.1. Other columns of ``lines`` are
     kept; blank lines are skipped, as a JSON reader does. Works on batch and streaming frames alike.
 
     Each line is parsed once and each field taken out once, in steps of their own; the list of what was lost
@@ -107,14 +152,14 @@ def parse_with_rescue(
     others = [F.col(f"`{c}`") for c in kept]
     obj = F.col("_obj")
 
-    parsed = lines.filter(F.col(value_column).rlike(r"\S")).withColumn("_obj", _members(F.try_parse_json(value_column)))
+    parsed = lines.filter(F.col(value_column).rlike(r"\S")).withColumn("_obj", _members(_parsed(F.col(value_column))))
     taken = parsed.select(
         "*", *[F.try_element_at(obj, F.lit(f.name)).alias(f"_raw{i}") for i, f in enumerate(schema.fields)]
     )
     fitted = taken.select("*", *[_typed(raw[i], f.dataType).alias(f"_typed{i}") for i, f in enumerate(schema.fields)])
     fields = [(raw[i], typed[i], f.dataType) for i, f in enumerate(schema.fields)]
     whole = F.to_json(F.create_map(F.lit(CORRUPT_FIELD), F.col(value_column)))
-    parts = F.to_json(F.map_from_entries(_entries(obj, schema, "", fields)))
+    parts = _unmarked(F.to_json(F.map_from_entries(_entries(obj, schema, "", fields))))
     rescued = F.when(obj.isNull(), whole).when(_unclean(obj, schema, fields), parts)
     return fitted.select(
         *[typed[i].alias(f.name) for i, f in enumerate(schema.fields)], rescued.alias(rescued_column), *others

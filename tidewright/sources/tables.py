@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.folders import ensure_checkpoint_dir
 from tidewright.functions.fixed import STRATEGIES
+from tidewright.functions.widening import require_fit
 from tidewright.operators.dedup import latest_wins
 from tidewright.operators.keys import any_null, check_keys, keys_of_interest, lookup_join, require_unique
 from tidewright.operators.merge import merged_rows
 from tidewright.sources.publish import (
     current_version,
+    fresh_location,
     is_view,
     publish,
     quoted,
+    table_format,
+    table_location,
     write_version,
 )
 
 #: formats whose tables run MERGE themselves
 MERGE_FORMATS = ("delta", "iceberg")
 CHANGE_FEED_PROPERTY = "delta.enableChangeDataFeed"
+#: partitions that a scan's filter names one by one; of more, it has the range
+PARTITION_LITERALS = 200
 
 
 def read_or_none(spark: SparkSession, name: str) -> DataFrame | None:
@@ -32,22 +37,13 @@ def read_or_none(spark: SparkSession, name: str) -> DataFrame | None:
     return spark.table(name) if spark.catalog.tableExists(name) else None
 
 
-def table_format(spark: SparkSession, name: str) -> str:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").filter(F.col("col_name") == "Provider").collect()
-    return rows[0]["data_type"].lower() if rows else ""
-
-
-def table_location(spark: SparkSession, name: str) -> str:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").filter(F.col("col_name") == "Location").collect()
-    return rows[0]["data_type"].rstrip("/")
-
-
 def partition_columns(spark: SparkSession, name: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
 
 
 def _aligned(df: DataFrame, target: DataFrame) -> DataFrame:
-    """``df`` in the target's column order and types, absent columns NULL."""
+    """``df`` in the target's column order and types, absent columns NULL; raises where a type would lose values."""
+    require_fit(df.schema, target.schema, "the table")
     return df.select(
         *[
             (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -70,8 +66,13 @@ def write_table(
 ) -> None:
     """Saves a frame as a table. An existing table's schema stays as it is unless a change is asked for.
 
+    An overwrite writes its rows beside the old ones first: if that fails, the table is as it was. A plain table's
+    location is then moved to them, and the old files stay until ``drop_old_versions``; a partitioned table, or one
+    that gets another schema, is filled from them.
+
     ``merge_schema`` adds the frame's new columns; ``overwrite_schema`` lets an overwrite replace the schema.
-    Columns the frame lacks are written as NULL. Delta tables are created with row-change capture on.
+    Columns the frame lacks are written as NULL; a column whose type would lose values in the table's raises. Delta
+    tables are created with row-change capture on.
     Rows bound for a partitioned table are rebalanced by partition first: one file set per partition instead
     of one per task, while adaptive execution splits a partition that is too large for one task. Turn
     ``rebalance`` off for rows that already lie together by partition.
@@ -94,11 +95,23 @@ def write_table(
                 writer = writer.option("overwriteSchema", "true")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        if exists and fmt not in MERGE_FORMATS and spark.catalog.getTable(name).tableType == "EXTERNAL":
-            path = table_location(spark, name)  # a replaced table stays where it was put
+        if exists and fmt not in MERGE_FORMATS:
+            here = table_location(spark, name)
+            if spark.catalog.getTable(name).tableType == "EXTERNAL" or "_attempt_" in here:
+                path = here  # a replaced table stays where it was put, or moved to
         if path and (not exists or fmt not in MERGE_FORMATS):
             writer = writer.option("path", path)
-        writer.saveAsTable(name)
+        if not exists or fmt in MERGE_FORMATS:
+            writer.saveAsTable(name)
+            return
+        staged = write_version(df, name, fmt=fmt, location=fresh_location(table_location(spark, name)))
+        again = spark.table(staged).write.format(fmt).mode(mode)
+        if partition_by:
+            again = again.partitionBy(*partition_by)
+        if path:
+            again = again.option("path", path)
+        again.saveAsTable(name)
+        _drop_staged(spark, staged)
         return
     if mode in ("error", "errorifexists"):
         raise ValueError(f"table exists: {name}")
@@ -117,36 +130,65 @@ def write_table(
         raise ValueError(f"columns not in {name}: {[f.name for f in added]}; pass merge_schema to add them")
     if published and mode == "overwrite":
         wide = target.limit(0).unionByName(df.limit(0), allowMissingColumns=True)
-        publish(spark, name, write_version(_aligned(df, wide), name, location=path, fmt=fmt))
+        parts = partition_columns(spark, store)
+        version = write_version(_aligned(df, wide), name, location=path, fmt=fmt, partition_by=parts)
+        publish(spark, name, version)
         return
     if added:
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
         spark.sql(f"ALTER TABLE {quoted(store)} ADD COLUMNS ({ddl})")
         target = spark.table(store)
-    _aligned(df, target).write.insertInto(store, overwrite=mode == "overwrite")
+    rows = _aligned(df, target)
+    if mode == "append":
+        rows.write.insertInto(store)
+    elif partition_columns(spark, store):
+        _refill(rows, store)
+    else:
+        _move_to_fresh_files(rows, store)
     if published and added:
         publish(spark, name, store)
 
 
-@contextlib.contextmanager
-def _dynamic_partition_overwrite(spark: SparkSession) -> Iterator[None]:
-    """Inserts into catalog tables take the overwrite mode from the session, not from a writer option."""
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+def _drop_staged(spark: SparkSession, staged: str) -> None:
+    """Drops a table that only passed rows on, with the folder made for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table_location(spark, staged)).getParent()
+    spark.sql(f"DROP TABLE {quoted(staged)}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _refill(rows: DataFrame, name: str, run_id: str | None = None) -> None:
+    """Overwrites a partitioned plain table from a written copy of its next content, which stays if that fails."""
+    spark = rows.sparkSession
+    where = fresh_location(table_location(spark, name))
+    staged = write_version(rows, name, run_id=run_id, location=where, fmt=table_format(spark, name))
+    spark.table(staged).write.insertInto(name, overwrite=True)
+    _drop_staged(spark, staged)
+
+
+def _move_to_fresh_files(rows: DataFrame, name: str, run_id: str | None = None) -> None:
+    """Writes a plain table's next content beside the present one and moves the table's location to it."""
+    spark = rows.sparkSession
+    base = table_location(spark, name)
+    fresh = fresh_location(base, run_id)
+    rows.write.format(table_format(spark, name)).mode("errorifexists").save(fresh)
+    if table_location(spark, name) != base:
+        raise RuntimeError(f"{name} was replaced during this write; its own output is in {fresh}")
+    spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{fresh}'")
+    spark.catalog.refreshTable(name)
 
 
 @contextlib.contextmanager
-def _kept(df: DataFrame, keep: bool) -> Iterator[DataFrame]:
-    """A batch that several steps read, kept on the executors meanwhile (in memory, else on disk).
+def _kept(df: DataFrame, keep: bool | str) -> Iterator[DataFrame]:
+    """A batch that several steps read: as it is, kept on the executors, or written to the checkpoint folder.
 
-    What it holds stays the same between the steps even if its source moves on, it is computed once, and its
-    true size is known to the planner from the second step on. A lost executor's part is computed again.
+    On the executors (in memory, else on disk) it is computed once and its true size is known to the planner from the
+    second step on, but a lost executor's part is computed again, from whatever the source holds by then. A source that
+    moves on under a running write needs ``"checkpoint"``: then every step sees the same rows, come what may.
     """
+    if keep == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        yield df.checkpoint()
+        return
     if not keep:
         yield df
         return
@@ -171,7 +213,11 @@ def overwrite_partitions(
     fmt: str = "parquet",
     rebalance: bool = True,
 ) -> None:
-    """Replaces only the partitions that ``df`` has rows for; ``rebalance`` as in ``write_table``."""
+    """Replaces only the partitions that ``df`` has rows for; ``rebalance`` as in ``write_table``.
+
+    The mode is an option of this one write, at the table's location, so writes that run at the same time in one
+    session do not meet; partitions that are new are registered after it. Partitions lie below the table's location.
+    """
     keys = [partition_key] if isinstance(partition_key, str) else list(partition_key)
     if not keys:
         raise ValueError("overwrite_partition requires a partition key")
@@ -190,8 +236,43 @@ def overwrite_partitions(
     rows = _aligned(df, target)
     if rebalance:
         rows = rows.hint("rebalance", *keys)
-    with _dynamic_partition_overwrite(spark):
-        rows.write.insertInto(name, overwrite=True)
+    writer = rows.write.format(table_format(spark, name)).mode("overwrite").partitionBy(*keys)
+    writer.option("partitionOverwriteMode", "dynamic").save(table_location(spark, name))
+    spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+
+
+def touched_partitions(target: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """The rows of ``target`` in partitions that ``batch`` has rows for, NULL partitions like any other.
+
+    The partitions are named in a filter of literals, so the scan lists and reads no others, whatever join comes after
+    it. Of more than ``PARTITION_LITERALS`` the filter has the range of each column, and a semi join the rest.
+    """
+    wanted = batch.select(*[F.col(f"`{p}`").cast(target.schema[p].dataType).alias(p) for p in parts]).distinct()
+    found = wanted.limit(PARTITION_LITERALS + 1).collect()
+    if len(found) <= PARTITION_LITERALS:
+        named = F.lit(False)
+        for row in found:
+            one = F.lit(True)
+            for p in parts:
+                one = one & (F.col(f"`{p}`").isNull() if row[p] is None else F.col(f"`{p}`") == F.lit(row[p]))
+            named = named | one
+        return target.filter(named)
+    facts = wanted.agg(
+        *[F.min(F.col(f"`{p}`")).alias(f"low_{i}") for i, p in enumerate(parts)],
+        *[F.max(F.col(f"`{p}`")).alias(f"high_{i}") for i, p in enumerate(parts)],
+        *[F.count_if(F.col(f"`{p}`").isNull()).alias(f"nulls_{i}") for i, p in enumerate(parts)],
+    ).first()
+    same = F.lit(True)
+    for i, p in enumerate(parts):
+        col, within = F.col(f"`{p}`"), F.lit(False)
+        if facts[f"low_{i}"] is not None:
+            within = col.between(F.lit(facts[f"low_{i}"]), F.lit(facts[f"high_{i}"]))
+        if facts[f"nulls_{i}"]:
+            within = within | col.isNull()
+        target = target.filter(within)
+        same = same & col.eqNullSafe(F.col(f"_t_{p}"))
+    return target.join(wanted.select(*[F.col(f"`{p}`").alias(f"_t_{p}") for p in parts]), same, "left_semi")
 
 
 def append_dedup(
@@ -202,7 +283,7 @@ def append_dedup(
     order_by: Sequence[str] = (),
     path: str | None = None,
     fmt: str = "parquet",
-    keep_batch: bool = True,
+    keep_batch: bool | str = True,
 ) -> int:
     """Appends the rows whose key the table does not hold yet, one per key, and returns how many.
 
@@ -233,9 +314,10 @@ def upsert(
     location: str | None = None,
     fmt: str = "parquet",
     run_id: str | None = None,
-    keep_batch: bool = True,
+    keep_batch: bool | str = True,
+    partition_by: Sequence[str] = (),
 ) -> dict[str, int]:
-    """Upserts ``df`` into a table on ``keys``, creating it if missing.
+    """Upserts ``df`` into a table on ``keys``, creating it if missing: with ``partition_by``, as a partitioned table.
 
     Returns ``inserted``, ``updated`` and ``total_processed``; a matched row counts as updated even if
     nothing in it differs. Two batch rows with one key raise before anything is written.
@@ -251,17 +333,23 @@ def upsert(
     """
     check_keys(df.columns, keys)
     with _kept(df, keep_batch and df.sparkSession.catalog.tableExists(name)) as batch:
-        return _upsert(batch, name, keys, location=location, fmt=fmt, run_id=run_id)
+        return _upsert(batch, name, keys, location, fmt, run_id, partition_by)
 
 
 def _upsert(
-    df: DataFrame, name: str, keys: Sequence[str], *, location: str | None, fmt: str, run_id: str | None
+    df: DataFrame,
+    name: str,
+    keys: Sequence[str],
+    location: str | None,
+    fmt: str,
+    run_id: str | None,
+    partition_by: Sequence[str],
 ) -> dict[str, int]:
     spark = df.sparkSession
     total = require_unique(df, keys, "batch")
     if not spark.catalog.tableExists(name):
-        if fmt in MERGE_FORMATS:
-            write_table(df, name, mode="overwrite", fmt=fmt, path=location)
+        if fmt in MERGE_FORMATS or partition_by:
+            write_table(df, name, mode="overwrite", fmt=fmt, path=location, partition_by=partition_by)
         else:
             publish(spark, name, write_version(df, name, run_id=run_id, location=location, fmt=fmt))
         return {"inserted": total, "updated": 0, "total_processed": total}
@@ -270,17 +358,14 @@ def _upsert(
     if not view and table_format(spark, name) in MERGE_FORMATS:
         return _native_merge(df, name, keys, total)
 
-    live = current_version if view else table_location
-    base = live(spark, name)
+    base = current_version(spark, name) if view else None
+    if view and base is None:
+        raise ValueError(f"{name} is a view that was not published here")
     target = spark.table(name)
-    parts = [] if view else partition_columns(spark, name)
-    scoped = bool(parts) and set(parts) <= set(keys)
+    parts = partition_columns(spark, base if view else name)
+    scoped = not view and bool(parts) and set(parts) <= set(keys)
     if scoped:
-        touched = df.select(*[F.col(p).alias(f"_t_{p}") for p in parts]).distinct()
-        same = F.lit(True)
-        for p in parts:  # NULL-safe: the default partition of NULL keys is touched like any other
-            same = same & F.col(p).eqNullSafe(F.col(f"_t_{p}"))
-        target = target.join(touched, same, "left_semi")
+        target = touched_partitions(target, df, parts)
     merged = merged_rows(target, df, keys)
     if scoped:
         merged = merged.hint("rebalance", *parts)
@@ -290,24 +375,15 @@ def _upsert(
     counted = merged.observe(seen, F.count_if(F.col("_action") == "insert").alias("inserted")).drop("_action")
     if scoped:
         overwrite_partitions(counted, name, parts, rebalance=False)
+    elif view:
+        fresh = write_version(counted, name, run_id=run_id, location=location, fmt=fmt, partition_by=parts)
+        if current_version(spark, name) != base:
+            raise RuntimeError(f"{name} was replaced during this upsert; its own output is in {fresh}")
+        publish(spark, name, fresh)
     elif parts:
-        version = write_version(counted, name, run_id=run_id, location=location, fmt=fmt)
-        spark.table(version).write.insertInto(name, overwrite=True)
-        spark.sql(f"DROP TABLE {quoted(version)}")
+        _refill(counted, name, run_id)
     else:
-        if view:
-            fresh = write_version(counted, name, run_id=run_id, location=location, fmt=fmt)
-        else:
-            stem = re.sub(r"_attempt_[0-9a-f]+$", "", base)
-            fresh = f"{stem}_attempt_{run_id or uuid.uuid4().hex[:12]}"
-            counted.write.format(table_format(spark, name)).mode("errorifexists").save(fresh)
-        if live(spark, name) != base:
-            raise RuntimeError(f"{name} was replaced during this upsert; its own output is in {fresh}")
-        if view:
-            publish(spark, name, fresh)
-        else:
-            spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{fresh}'")
-            spark.catalog.refreshTable(name)
+        _move_to_fresh_files(counted, name, run_id)
     inserted = seen.get["inserted"]
     return {"inserted": inserted, "updated": max(total - inserted, 0), "total_processed": total}
 
@@ -334,24 +410,30 @@ def write_with_strategy(
     partition_key: str | Sequence[str] | None = None,
     merge_key: Sequence[str] | None = None,
     path: str | None = None,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
 ) -> dict[str, int] | int | None:
     """Writes by a declared strategy, refusing one that lacks the key it needs.
 
-    ``none`` is a plain append: nothing makes it safe to retry.
+    ``none`` is a plain append: nothing makes it safe to retry. ``fmt`` and ``partition_by`` say how a table that is
+    missing is created; ``overwrite_partition`` creates it by its key.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     if strategy == "overwrite_partition":
         if not partition_key:
             raise ValueError("overwrite_partition requires a partition key")
-        return overwrite_partitions(df, name, partition_key, path=path)
+        return overwrite_partitions(df, name, partition_key, path=path, fmt=fmt)
+    if partition_by and not df.sparkSession.catalog.tableExists(name):
+        empty = df.sparkSession.createDataFrame([], df.schema)
+        write_table(empty, name, mode="append", path=path, fmt=fmt, partition_by=partition_by)
     if strategy in ("merge_on_key", "append_dedup"):
         if not merge_key:
             raise ValueError(f"{strategy} requires a merge key")
         if strategy == "merge_on_key":
-            return upsert(df, name, merge_key, location=path)
-        return append_dedup(df, name, merge_key, path=path)
+            return upsert(df, name, merge_key, location=path, fmt=fmt)
+        return append_dedup(df, name, merge_key, path=path, fmt=fmt)
     if strategy == "overwrite_table":
-        return overwrite_table(df, name, path=path)
-    return write_table(df, name, mode="append", path=path)
+        return overwrite_table(df, name, path=path, fmt=fmt)
+    return write_table(df, name, mode="append", path=path, fmt=fmt)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewright.functions.fixed import BATCH_COLUMN
+from tidewright.operators.expectations import add_counts, observe_expectations
 from tidewright.sources.landing import with_provenance
 from tidewright.sources.rescue import parse_with_rescue
+from tidewright.sources.tables import overwrite_partitions, write_table
 
 
 def bronze_stream(
@@ -32,19 +35,44 @@ def refresh_table(
     *,
     path: str | None = None,
     fmt: str = "parquet",
-    partition_by: list[str] | None = None,
+    partition_by: Sequence[str] = (),
+    expectations: Mapping[str, Column | str] | None = None,
+    counts: dict[str, int] | None = None,
 ) -> bool:
-    """Appends everything that is new to a table, then stops; returns whether there was anything.
+    """Adds everything that is new to a table, then stops; returns whether there was anything.
 
-    The checkpoint remembers the files already taken, so a run with nothing new appends nothing, and a run
-    that failed half-way resumes without repeating a file.
+    Every micro-batch becomes a partition of its own, ``_batch``, named after the stream and the batch's number. A batch
+    that runs again after a failure overwrites its own partition, so each file's rows are in the table exactly once.
+    The table is a plain one: later batch writes to it are seen, and their rows have no ``_batch``. Further columns to
+    partition by lie below it.
+
+    ``expectations`` warn: no row is dropped, the violations are counted during the write, and the counts, with
+    ``n_rows``, are added to ``counts``.
     """
-    writer = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if path:
-        writer = writer.option("path", path)
-    return _drain(writer.trigger(availableNow=True).toTable(name))
+    spark, layout = stream.sparkSession, [BATCH_COLUMN, *partition_by]
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        rows = batch
+        if expectations:
+            seen = Observation()
+            rows = observe_expectations(rows, expectations, seen)
+        if fmt == "delta":  # its log knows which batches it holds
+            once = rows.write.format(fmt).option("txnAppId", source).option("txnVersion", batch_id).mode("append")
+            (once.option("path", path) if path else once).saveAsTable(name)
+        else:
+            rows = rows.withColumn(BATCH_COLUMN, F.lit(f"{source}-{batch_id:09d}"))
+            if not spark.catalog.tableExists(name):
+                empty = spark.createDataFrame([], rows.schema)  # not a part of the frame, whose counts it would take
+                write_table(empty, name, mode="append", path=path, fmt=fmt, partition_by=layout)
+            overwrite_partitions(rows, name, layout, rebalance=bool(partition_by))
+        if expectations and counts is not None:
+            add_counts(counts, seen.get)
+
+    any_new = refresh_with(stream, add, checkpoint)
+    if spark.catalog.tableExists(name):
+        spark.catalog.refreshTable(name)  # batches are written in the stream's session, which knows its files alone
+    return any_new
 
 
 def refresh_with(stream: DataFrame, handler: Callable[[DataFrame, int], Any], checkpoint: str) -> bool:
@@ -66,11 +94,6 @@ def refresh_with(stream: DataFrame, handler: Callable[[DataFrame, int], Any], ch
     return bool(handled)
 
 
-def _drain(query: StreamingQuery) -> bool:
-    query.awaitTermination()
-    return any(p["numInputRows"] for p in query.recentProgress)
-
-
 def skip_or_run(changed: DataFrame, write: Callable[[DataFrame], Any], *, reason: str = "nothing new") -> str | None:
     """Runs ``write(changed)`` and returns None, or returns the reason for skipping when there is no row.
 

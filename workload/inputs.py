@@ -6,7 +6,7 @@ date, closed orders retired since, a reading that failed, a batch with drift.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workload.registry import Tables
@@ -102,13 +102,13 @@ declared AS (
          CASE WHEN event_type = 'signup' THEN 'metrics' WHEN event_type = 'error' THEN 'quarantine'
               WHEN event_type = 'purchase' THEN 'primary' END AS kind,
          CASE WHEN event_type = 'click' THEN 'inferred' ELSE 'declared' END AS via
-  FROM events WHERE value > 5
+  FROM events WHERE value > 5 AND user_id % 10 <> 7
   UNION ALL
   SELECT DISTINCT 'job_' || o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'read' ELSE 'write' END,
          'crm.d' || strftime(o_orderdate, '%Y%m%d'),
          CASE WHEN o_orderstatus = 'P' THEN 'quarantine' WHEN o_orderstatus = 'F' THEN 'primary' END,
          CASE WHEN o_orderpriority = '5-LOW' THEN 'inferred' ELSE 'declared' END
-  FROM orders),
+  FROM orders WHERE o_custkey % 10 <> 7),
 steps AS (
   SELECT 'job_' || c_custkey AS step,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'planned' WHEN c_mktsegment = 'BUILDING' THEN 'implemented'
@@ -117,7 +117,8 @@ steps AS (
               WHEN c_mktsegment = 'BUILDING' THEN 'overwrite_partition'
               WHEN c_mktsegment = 'FURNITURE' THEN 'merge_on_key'
               WHEN c_mktsegment = 'HOUSEHOLD' THEN 'append_dedup' ELSE 'none' END AS strategy,
-         CASE WHEN c_acctbal >= 0 THEN '2026-01-01' END AS confirmed_at
+         CASE WHEN c_acctbal >= 0 THEN '2026-01-01' END AS confirmed_at,
+         c_acctbal > 9000 AS violates_single_primary
   FROM customer)
 """
 
@@ -141,18 +142,18 @@ def access_log(t: Tables) -> DataFrame:
 
 
 def declared_edges(t: Tables) -> DataFrame:
-    """What jobs declare: their larger event accesses, and daily tables they touch through orders."""
+    """What jobs declare: their larger event accesses, and daily tables they touch through orders. Some declare nothing."""
     event_kind = (
         F.when(F.col("event_type") == "signup", "metrics")
         .when(F.col("event_type") == "error", "quarantine")
         .when(F.col("event_type") == "purchase", "primary")
     )
     event_via = F.when(F.col("event_type") == "click", "inferred").otherwise("declared")
-    app = t.events.filter(F.col("value") > 5).select(
+    app = t.events.filter((F.col("value") > 5) & (F.col("user_id") % 10 != 7)).select(
         _job("user_id"), _event_direction(), _event_ref(), event_kind.alias("kind"), event_via.alias("via")
     )
     status = F.col("o_orderstatus")
-    crm = t.orders.select(
+    crm = t.orders.filter(F.col("o_custkey") % 10 != 7).select(
         _job("o_custkey"),
         F.when(status == "O", "read").otherwise("write").alias("direction"),
         F.concat(F.lit("crm.d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("ref"),
@@ -183,6 +184,7 @@ def job_steps(t: Tables) -> DataFrame:
         status.alias("status"),
         strategy.alias("strategy"),
         F.when(F.col("c_acctbal") >= 0, "2026-01-01").alias("confirmed_at"),
+        (F.col("c_acctbal") > 9000).alias("violates_single_primary"),
     )
 
 
@@ -210,6 +212,31 @@ def role_edges(t: Tables) -> DataFrame:
     return now.join(then, ["conv_id", "turn"]).select("src", "dst").distinct()
 
 
+def order_trail(t: Tables) -> DataFrame:
+    """A deep graph with hubs: each order leads to its customer's next one, the last to the nation, that to the region."""
+    mine = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    nation = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("nation "), "c_nationkey").alias("_n"))
+    orders = t.orders.select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(mine).alias("_next"))
+    order = lambda c: F.concat(F.lit("order "), F.col(c).cast("string"))
+    trail = orders.join(nation, "o_custkey").select(
+        order("o_orderkey").alias("src"), F.coalesce(order("_next"), F.col("_n")).alias("dst")
+    )
+    up = t.nation.select(
+        F.concat(F.lit("nation "), "n_nationkey").alias("src"), F.concat(F.lit("region "), "n_regionkey").alias("dst")
+    )
+    return trail.unionAll(up)
+
+
+TRAIL_CTE = """
+placed AS (SELECT o_orderkey AS k, o_custkey AS c, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+trail AS (
+  SELECT 'order ' || a.k AS src, 'order ' || b.k AS dst FROM placed a JOIN placed b ON a.c = b.c AND a.k < b.k
+  UNION ALL SELECT 'order ' || k, 'nation ' || n FROM placed
+  UNION ALL SELECT 'order ' || k, 'region ' || n_regionkey FROM placed JOIN nation ON n = n_nationkey
+  UNION ALL SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation)
+"""
+
+
 # --- landed lines with drift ----------------------------------------------------------------------------------
 LANDED_DDL = "event_id bigint, updated_at string, user_id bigint, event_type string, value double"
 
@@ -221,7 +248,11 @@ SELECT CASE WHEN broken THEN NULL ELSE CAST(event_id AS VARCHAR) END AS event_id
        CASE WHEN broken OR misfit THEN NULL ELSE value END AS value,
        CASE WHEN broken THEN '{"_corrupt_record":"{\\"event_id\\": ' || event_id || '"}'
             WHEN misfit THEN '{"value":"n/a"}'
-            WHEN event_type = 'signup' THEN '{"plan":"pro"}' END AS _rescued
+            WHEN event_type = 'signup' THEN '{"plan":"pro"}'
+            WHEN event_type = 'view' AND value < 20 THEN '{"fee":1.10}'
+            WHEN event_type = 'purchase' AND value < 20 THEN '{"scale":1e3}'
+            WHEN event_type = 'purchase' AND value > 100 THEN '{"serial":123456789012345678901234567890' || event_id || '}'
+       END AS _rescued
 FROM (SELECT *, event_type = 'click' AND value > 200 AS broken, event_type = 'error' AND value > 100 AS misfit
       FROM events)
 """
@@ -229,7 +260,7 @@ FROM (SELECT *, event_type = 'click' AND value > 200 AS broken, event_type = 'er
 
 def event_lines(t: Tables) -> DataFrame:
     """``value, dt``: events as JSON lines. Signups carry a field the schema lacks, large error readings are
-    no number, and large clicks were cut off while writing."""
+    no number, and large clicks were cut off while writing. Some views and purchases carry numbers whose text matters."""
     broken = (F.col("event_type") == "click") & (F.col("value") > 200)
     misfit = (F.col("event_type") == "error") & (F.col("value") > 100)
     record = F.to_json(
@@ -243,6 +274,15 @@ def event_lines(t: Tables) -> DataFrame:
         )
     )
     record = F.when(misfit, F.regexp_replace(record, r"\}$", ',"value":"n/a"}')).otherwise(record)
+    event, value = F.col("event_type"), F.col("value")
+    serial = F.concat(F.lit(',"serial":123456789012345678901234567890'), F.col("event_id").cast("string"), F.lit("}"))
+    extra = (
+        F.when((event == "view") & (value < 20), ',"fee":1.10}')
+        .when((event == "purchase") & (value < 20), ',"scale":1e3}')
+        .when((event == "purchase") & (value > 100), serial)
+        .otherwise("}")
+    )
+    record = F.concat(F.regexp_replace(record, r"\}$", ""), extra)
     line = F.when(broken, F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))).otherwise(record)
     return t.events.select(line.alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("dt"))
 

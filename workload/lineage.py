@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.fixed import STRATEGY_MODES
 from tidewright.operators import lineage
 from tidewright.operators.closure import on_cycle, reachability, unplaceable
-from workload.inputs import LINEAGE_CTE, ROLES_CTE, access_log, declared_edges, job_steps, role_edges
+from tidewright.operators.graph import graph_findings
+from workload.inputs import (
+    LINEAGE_CTE,
+    ROLES_CTE,
+    TRAIL_CTE,
+    access_log,
+    declared_edges,
+    job_steps,
+    order_trail,
+    role_edges,
+)
 from workload.registry import Tables, case
 
 DIFF_CTE = f"""{LINEAGE_CTE},
@@ -16,10 +25,10 @@ d AS (SELECT DISTINCT step, direction, ref FROM declared),
 o AS (SELECT DISTINCT step, direction, ref FROM log),
 diff AS (
   SELECT *, 'undeclared' AS side FROM (SELECT * FROM o EXCEPT SELECT * FROM d)
-  WHERE step IN (SELECT step FROM d) AND step IN (SELECT step FROM o)
+  WHERE step IN (SELECT step FROM steps)
   UNION ALL
   SELECT *, 'unseen' FROM (SELECT * FROM d EXCEPT SELECT * FROM o)
-  WHERE step IN (SELECT step FROM d) AND step IN (SELECT step FROM o))"""
+  WHERE step IN (SELECT step FROM steps) AND step IN (SELECT step FROM o))"""
 
 FINDINGS_CTE = f"""{DIFF_CTE},
 findings AS (
@@ -35,7 +44,7 @@ findings AS (
 
 @case("jn5_edge_diff", f"WITH {DIFF_CTE} SELECT step, direction, ref, side FROM diff")
 def _(t: Tables) -> DataFrame:
-    return lineage.edge_diff(declared_edges(t), access_log(t))
+    return lineage.edge_diff(declared_edges(t), access_log(t), job_steps(t))
 
 
 @case(
@@ -43,18 +52,18 @@ def _(t: Tables) -> DataFrame:
     f"WITH {DIFF_CTE} SELECT side, direction, count(*) AS edges FROM diff GROUP BY 1, 2",
 )
 def _(t: Tables) -> DataFrame:
-    diff = lineage.edge_diff(declared_edges(t), access_log(t))
+    diff = lineage.edge_diff(declared_edges(t), access_log(t), job_steps(t))
     return diff.groupBy("side", "direction").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @case("ln1_reconcile", f"WITH {FINDINGS_CTE} SELECT * FROM findings")
 def reconcile(t: Tables) -> DataFrame:
-    return lineage.reconcile(declared_edges(t), access_log(t))
+    return lineage.reconcile(declared_edges(t), access_log(t), job_steps(t))
 
 
 @case("sr1_findings_in_severity_order", f"WITH {FINDINGS_CTE} SELECT * FROM findings")
 def _(t: Tables) -> DataFrame:
-    return lineage.in_severity_order(lineage.reconcile(declared_edges(t), access_log(t)))
+    return lineage.in_severity_order(lineage.reconcile(declared_edges(t), access_log(t), job_steps(t)))
 
 
 @case(
@@ -65,7 +74,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """The log spells the catalog out, the declarations leave it to the default."""
     observed = access_log(t).withColumn("ref", F.concat(F.lit("prod."), F.col("ref")))
-    return lineage.reconcile(lineage.qualified(declared_edges(t), "prod"), lineage.qualified(observed, "prod"))
+    declared = lineage.qualified(declared_edges(t), "prod")
+    return lineage.reconcile(declared, lineage.qualified(observed, "prod"), job_steps(t))
 
 
 @case(
@@ -95,12 +105,7 @@ def _(t: Tables) -> DataFrame:
     FROM steps JOIN seen USING (step) WHERE strategy <> 'none'""",
 )
 def _(t: Tables) -> DataFrame:
-    seen = access_log(t).filter(F.col("mode").isNotNull()).groupBy("step").agg(F.collect_set("mode").alias("modes"))
-    allowed = F.create_map(
-        *[part for s, modes in STRATEGY_MODES.items() for part in (F.lit(s), F.array(*[F.lit(m) for m in modes]))]
-    )
-    joined = job_steps(t).filter(F.col("strategy") != "none").join(seen, "step")
-    return joined.select("step", F.arrays_overlap("modes", F.element_at(allowed, F.col("strategy"))).alias("agrees"))
+    return lineage.modes_agree(job_steps(t), access_log(t).select("step", "mode"))
 
 
 @case(
@@ -190,9 +195,55 @@ def role_reachability(t: Tables) -> DataFrame:
     return reachability(role_edges(t))
 
 
+@case(
+    "ln6_reachability_from_seeds",
+    f"WITH RECURSIVE {ROLES_CTE} SELECT src, dst FROM reach WHERE src IN (SELECT conv_id || ':' || role FROM conversations WHERE turn = 1)",
+)
+def _(t: Tables) -> DataFrame:
+    """What follows whoever speaks second."""
+    node = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("role")).alias("src")
+    return reachability(role_edges(t), t.conversations.filter("turn = 1").select(node))
+
+
+@case("ln6_deep_trail_from_seeds", f"WITH {TRAIL_CTE} SELECT * FROM trail WHERE src IN (SELECT 'order ' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def _(t: Tables) -> DataFrame:
+    seeds = t.orders.filter("o_orderpriority = '1-URGENT'")
+    return reachability(order_trail(t), seeds.select(F.concat(F.lit("order "), "o_orderkey").alias("src")))
+
+
+@case("ln6_deep_trail", f"WITH {TRAIL_CTE} SELECT * FROM trail")
+def _(t: Tables) -> DataFrame:
+    """All pairs of a deep graph whose hubs every trail ends in."""
+    return reachability(order_trail(t))
+
+
+@case(
+    "jn7_graph_findings",
+    f"""WITH RECURSIVE {ROLES_CTE.strip()}, {LINEAGE_CTE.strip()},
+    writers AS (SELECT DISTINCT step, ref FROM declared WHERE direction = 'write' AND coalesce(kind, 'primary') = 'primary'),
+    readers AS (SELECT DISTINCT step, ref FROM declared WHERE direction = 'read'),
+    owner AS (SELECT ref, max(step) AS producer FROM writers GROUP BY 1),
+    waits AS (SELECT DISTINCT o.producer AS src, r.step AS dst FROM readers r JOIN owner o USING (ref) WHERE r.step <> o.producer),
+    behind AS (SELECT src, dst FROM waits UNION SELECT b.src, w.dst FROM behind b JOIN waits w ON b.dst = w.src),
+    stuck AS (SELECT src AS step FROM behind WHERE src = dst
+              UNION SELECT dst FROM behind WHERE src IN (SELECT src FROM behind WHERE src = dst)),
+    again AS (SELECT ref, step, lag(step) OVER (PARTITION BY ref ORDER BY step) AS earlier FROM writers)
+    SELECT 'error' AS severity, step, ref || ' already produced by ' || earlier AS message FROM again WHERE earlier IS NOT NULL
+    UNION ALL SELECT 'error', '<flow>', 'cycle among: ' || step FROM stuck
+    UNION ALL SELECT 'warn', r.step, 'depends on ' || ref || ' produced by ' || producer
+                     || ', which violates single-primary — this step''s wave position is unreliable'
+              FROM readers r JOIN owner USING (ref) JOIN steps s ON s.step = producer
+              WHERE s.violates_single_primary AND r.step <> producer
+    UNION ALL SELECT 'info', step, 'reads external asset ' || ref || ' (not in flow)' FROM readers
+              WHERE ref NOT IN (SELECT ref FROM writers)""",
+)
+def _(t: Tables) -> DataFrame:
+    return graph_findings(declared_edges(t), job_steps(t))
+
+
 @case("ln7_on_cycle", f"WITH RECURSIVE {ROLES_CTE} SELECT DISTINCT src AS node FROM reach WHERE src = dst")
 def _(t: Tables) -> DataFrame:
-    return on_cycle(reachability(role_edges(t)))
+    return on_cycle(role_edges(t))
 
 
 @case(
@@ -201,4 +252,4 @@ def _(t: Tables) -> DataFrame:
         UNION SELECT dst FROM reach WHERE src IN (SELECT src FROM reach WHERE src = dst)""",
 )
 def _(t: Tables) -> DataFrame:
-    return unplaceable(reachability(role_edges(t)))
+    return unplaceable(role_edges(t))
