@@ -3,46 +3,50 @@ import random
 
 import pytest
 
-from tidewright.operators.contract import check_contract
+from tidewright.operators.contract import check_contract, contract_errors
 
 CONTRACT = {
     "type": "object",
-    "required": ["version", "steps"],
+    "required": ["station", "samples"],
     "properties": {
-        "version": {"const": 1},
-        "name": {"type": ["string", "null"]},
-        "mode": {"enum": ["standard", "adapted"]},
-        "budget": {"type": "object", "properties": {"tokens": {"type": "number"}, "hard": {"type": "boolean"}}},
-        "steps": {"type": "array", "items": {"$ref": "#/$defs/step"}},
+        "station": {"const": 7},
+        "label": {"type": ["string", "null"]},
+        "unit": {"enum": ["mm", "inch"]},
+        "place": {"type": "object", "properties": {"height": {"type": "number"}, "indoor": {"type": "boolean"}}},
+        "samples": {"type": "array", "items": {"$ref": "#/$defs/sample"}},
     },
     "$defs": {
-        "step": {
+        "sample": {
             "type": "object",
-            "required": ["id"],
-            "properties": {"id": {"type": "string"}, "n": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}},
+            "required": ["at"],
+            "properties": {"at": {"type": "string"}, "rain": {"type": "integer"}, "flags": {"type": "array", "items": {"type": "string"}}},
         }
     },
 }
 
 CASES = [
-    ({"version": 1, "steps": []}, []),
-    ({"steps": []}, ["$: missing required key 'version'"]),
-    ({"version": 2, "steps": []}, ["$.version: expected 1, got 2"]),
-    ({"version": "1", "steps": []}, ["$.version: expected 1, got '1'"]),
-    ({"version": 1, "steps": [], "name": None, "mode": "odd"}, ["$.mode: 'odd' not one of ['standard', 'adapted']"]),
-    ({"version": 1, "steps": [], "name": 3}, ["$.name: expected string/null, got int"]),
-    ({"version": 1, "steps": {}}, ["$.steps: expected array, got dict"]),
-    ({"version": 1, "steps": [], "budget": {"tokens": True, "hard": 1}}, ["$.budget.tokens: expected number, got bool", "$.budget.hard: expected boolean, got int"]),
-    ({"version": 1, "steps": [], "budget": {"tokens": 1.5}}, []),
+    ({"station": 7, "samples": []}, []),
+    ({"samples": []}, ["$: missing required key 'station'"]),
+    ({"station": 8, "samples": []}, ["$.station: expected 7, got 8"]),
+    ({"station": "7", "samples": []}, ["$.station: expected 7, got '7'"]),
+    ({"station": 7, "samples": [], "label": None, "unit": "ell"}, ["$.unit: 'ell' not one of ['mm', 'inch']"]),
+    ({"station": 7, "samples": [], "label": 3}, ["$.label: expected string/null, got int"]),
+    ({"station": 7, "samples": {}}, ["$.samples: expected array, got dict"]),
+    ({"station": 7, "samples": [], "place": [{"height": "x"}]}, ["$.place: expected object, got list"]),
     (
-        {"version": 1, "steps": [{"id": "a"}, {"n": 1.5}, "x", {"id": 1, "tags": ["ok", 2, None]}]},
+        {"station": 7, "samples": [], "place": {"height": True, "indoor": 1}},
+        ["$.place.height: expected number, got bool", "$.place.indoor: expected boolean, got int"],
+    ),
+    ({"station": 7, "samples": [], "place": {"height": 1.5}}, []),
+    (
+        {"station": 7, "samples": [{"at": "6h"}, {"rain": 1.5}, "dry", {"at": 6, "flags": ["ok", 2, None]}]},
         [
-            "$.steps[1]: missing required key 'id'",
-            "$.steps[1].n: expected integer, got float",
-            "$.steps[2]: expected object, got str",
-            "$.steps[3].id: expected string, got int",
-            "$.steps[3].tags[1]: expected string, got int",
-            "$.steps[3].tags[2]: expected string, got NoneType",
+            "$.samples[1]: missing required key 'at'",
+            "$.samples[1].rain: expected integer, got float",
+            "$.samples[2]: expected object, got str",
+            "$.samples[3].at: expected string, got int",
+            "$.samples[3].flags[1]: expected string, got int",
+            "$.samples[3].flags[2]: expected string, got NoneType",
         ],
     ),
     ([1], ["$: expected object, got list"]),
@@ -53,13 +57,16 @@ CASES = [
 def test_cases(spark):
     df = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(CASES)], "i int, doc string")
     got = {r.i: r.errors for r in check_contract(df, "doc", CONTRACT).collect()}
+    alone = {r.i: r.e for r in df.select("i", contract_errors("doc", CONTRACT).alias("e")).collect()}
     for i, (doc, expected) in enumerate(CASES):
         assert sorted(got[i]) == sorted(expected), doc
+        assert alone[i] == got[i]
+    assert check_contract(df.withColumn("errors", df.i), "doc", CONTRACT).columns == ["i", "doc", "errors"]
 
 
 def test_broken_text_and_odd_names(spark):
     df = spark.createDataFrame([("{bad",), (None,), ('{"a b\'c": 1, "x.y": "s"}',)], "doc string")
-    contract = {"properties": {"a b'c": {"type": "string"}, "x.y": {"type": "integer"}}}
+    contract = {"properties": {"a b'c": {"type": "string"}, "x.y": {"type": "integer"}, "'\"?": {"type": "null"}, "": {}}}
     got = [r.errors for r in check_contract(df, "doc", contract).collect()]
     assert got[0] == got[1] == ["$: not valid JSON"]
     assert sorted(got[2]) == ["$.a b'c: expected string, got int", "$.x.y: expected integer, got str"]

@@ -80,7 +80,7 @@ def test_refs(spark):
 def test_small_scalars(spark):
     df = spark.sql("select timestamp'2024-03-05 23:59:59' ts, 'bad' b, '2024-01-02 03:04:05' g, '{\"k\": 7}' j")
     got = df.select(
-        scalars.landing_path("/r", "players", F.col("ts"), "7").alias("p"),
+        scalars.landing_path("/r", "meters", F.col("ts"), "7").alias("p"),
         scalars.parse_timestamp("b").alias("bad"),
         scalars.parse_timestamp("g").cast("string").alias("good"),
         scalars.percent(F.lit(0.1234)).alias("pct"),
@@ -88,4 +88,4 @@ def test_small_scalars(spark):
         scalars.json_field("j", "$.none", "int").alias("absent"),
         scalars.key_text(F.lit(5)).alias("key"),
     ).first()
-    assert tuple(got) == ("/r/players/dt=2024-03-05/run=7", None, "2024-01-02 03:04:05", "12.3%", 7, None, "5")
+    assert tuple(got) == ("/r/meters/dt=2024-03-05/run=7", None, "2024-01-02 03:04:05", "12.3%", 7, None, "5")

@@ -76,19 +76,19 @@ def test_rescue_keeps_numbers_as_written(spark):
 # --- landing -----------------------------------------------------------------------------------------------
 def test_landing_round_trip_and_rerun(spark, tmp_path):
     df = spark.sql("select 1 id, cast(null as string) name, timestamp'2024-01-01 00:00:00.123456' at")
-    path = landing.write_landing(df, str(tmp_path), "players", dt="2024-01-01", run_id="7")
-    assert path.endswith("/players/dt=2024-01-01/run=7")
+    path = landing.write_landing(df, str(tmp_path), "meters", dt="2024-01-01", run_id="7")
+    assert path.endswith("/meters/dt=2024-01-01/run=7")
     text = spark.read.text(path).first()["value"]
     assert json.loads(text) == {"id": 1, "name": None, "at": "2024-01-01T00:00:00.123456Z"}
     with pytest.raises(Exception, match="(?i)exist"):
-        landing.write_landing(df, str(tmp_path), "players", dt="2024-01-01", run_id="7")
-    landing.write_landing(df, str(tmp_path), "players", dt="2024-01-01", run_id="8", compression="gzip")
-    back = landing.read_landing(spark, str(tmp_path / "players"), StructType.fromDDL(SCHEMA_DDL))
+        landing.write_landing(df, str(tmp_path), "meters", dt="2024-01-01", run_id="7")
+    landing.write_landing(df, str(tmp_path), "meters", dt="2024-01-01", run_id="8", compression="gzip")
+    back = landing.read_landing(spark, str(tmp_path / "meters"), StructType.fromDDL(SCHEMA_DDL))
     assert back.count() == 2 and back.filter("_rescued is not null").isEmpty()
     assert back.filter("_source_file like '%run=%'").count() == 2 and back.first()["_ingested_at"] is not None
     assert {r["at"].microsecond for r in back.collect()} == {123456}
     with pytest.raises(ValueError):
-        landing.write_landing(df, str(tmp_path), "players", dt="2024-01-01", run_id="a/b")
+        landing.write_landing(df, str(tmp_path), "meters", dt="2024-01-01", run_id="a/b")
 
 
 def test_schema_is_inferred_once(spark, tmp_path):
@@ -379,7 +379,7 @@ def test_quarantine_and_metrics_in_one_pass(spark, name):
     side_tables.write_with_quarantine(spark.sql("select 7 id, 7 v"), name, exp)
     assert rows(spark.table(name)) == [(1, 5), (7, 7)]
     assert rows(spark.table(side_tables.quarantine_name(name)), "id", "_reasons") == [(2, ["valid_v"]), (None, ["valid_id"])]
-    assert side_tables.quarantine_name("a.b.players") == "a.b._quarantine_players"
+    assert side_tables.quarantine_name("a.b.meters") == "a.b._quarantine_meters"
     side_tables.append_metrics(seen, df, run_id="r1", table=name, metrics_table=f"{name}_metrics")
     assert rows(spark.table(f"{name}_metrics"), "metric", "value") == [
         ("rows_in", 3), ("rows_quarantined", 2), ("valid_id", 1), ("valid_v", 1),
@@ -470,9 +470,9 @@ def test_flow_counts_what_it_drops(spark, name, tmp_path):
 def test_bronze_refresh_takes_each_file_once(spark, name, tmp_path):
     root, check = str(tmp_path / "landing"), str(tmp_path / "check")
     schema = StructType.fromDDL("id int, updated_at string")
-    land = lambda sql, run: landing.write_landing(spark.sql(sql), root, "players", dt="2024-01-01", run_id=run)
+    land = lambda sql, run: landing.write_landing(spark.sql(sql), root, "meters", dt="2024-01-01", run_id=run)
     land("select 1 id, '2024-01-01' updated_at, 'x' more", "1")
-    refresh = lambda: ingest.refresh_bronze(spark, root + "/players", schema, name, check)
+    refresh = lambda: ingest.refresh_bronze(spark, root + "/meters", schema, name, check)
     assert refresh() is True and refresh() is False
     assert spark.table(name).count() == 1
     land("select 2 id, '2024-01-02' updated_at", "2")
@@ -500,10 +500,10 @@ def test_flow_from_fetch_to_silver(spark, name, tmp_path):
 
     def run(sql, run_id):
         skipped = ingest.land_changes(
-            spark, spark.sql(sql), table, "id", root=root, entity="players", dt="2024-01-01", run_id=run_id
+            spark, spark.sql(sql), table, "id", root=root, entity="meters", dt="2024-01-01", run_id=run_id
         )
         if skipped is None:
-            ingest.refresh_bronze(spark, root + "/players", schema, table, check)
+            ingest.refresh_bronze(spark, root + "/meters", schema, table, check)
         return skipped
 
     one = "select * from values ('1', '2024-01-01 00:00:00', 1), ('2', 'bad', 1), (null, '2024-01-01 00:00:00', 1) t(id, updated_at, v)"
@@ -513,7 +513,7 @@ def test_flow_from_fetch_to_silver(spark, name, tmp_path):
     assert run(one, "2") is None
     assert spark.table(table).count() == 4
     keyed = one.replace(", (null, '2024-01-01 00:00:00', 1)", "")
-    assert run(keyed, "3") == "no new players records"
+    assert run(keyed, "3") == "no new meters records"
     assert run("select '1' id, '2024-02-01 00:00:00' updated_at, 2 v", "4") is None
     silver = ingest.silver(spark.table(table), ["id"])
     assert rows(silver, "id", "v") == [("1", 2), ("2", 1)]

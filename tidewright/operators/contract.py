@@ -1,7 +1,9 @@
-"""Record contracts: a JSON-Schema subset turned into one column expression per contract.
+"""Record contracts: a JSON-Schema subset turned into column expressions.
 
 The contract is walked once, on the driver, when the plan is built; every record is then checked by Spark
-expressions over its parsed JSON (a variant), with no Python in the tasks.
+expressions over its parsed JSON (a variant), with no Python in the tasks. ``check_contract`` takes the values a
+contract names out of the record level by level, as columns of their own; only what lies in arrays is bound inside
+higher-order functions.
 """
 
 from __future__ import annotations
@@ -35,6 +37,29 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _member(value: Column, name: str) -> Column:
+    """A field of an object as a variant; SQL NULL if there is none or the value is no object."""
+    for quote in ("'", '"'):
+        if name and quote not in name and "?" not in name:
+            return F.try_variant_get(value, f"$[{quote}{name}{quote}]", "variant")
+    # a name that no path can spell
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+
+
+def _elements(value: Column) -> Column:
+    """The elements of an array; SQL NULL for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant; an object or array is told by a cast that looks no further into it."""
+    return (
+        F.when(F.try_variant_get(value, "$", "struct<>").isNotNull(), "object")
+        .when(_elements(value).isNotNull(), "array")
+        .otherwise(_leaf_kind(value))
+    )
+
+
 def _leaf_kind(value: Column) -> Column:
     """The JSON type of a variant that is neither object nor array; whole and fractional numbers told apart."""
     return _once(
@@ -112,30 +137,13 @@ def _resolve(schema: Contract, root: Contract, seen: tuple[str, ...]) -> tuple[C
     return schema, seen
 
 
-def _errors(value: Column, schema: Contract, root: Contract, path: Column, seen: tuple[str, ...]) -> Column:
-    """Errors of one node; ``value`` is a variant, JSON null included, and never SQL NULL."""
-    schema, seen = _resolve(schema, root, seen)
-    node = F.struct(
-        value.alias("value"),
-        F.try_variant_get(value, "$", "map<string,variant>").alias("members"),
-        F.try_variant_get(value, "$", "array<variant>").alias("elements"),
-    )
-
-    def with_kind(n: Column) -> Column:
-        kind = (
-            F.when(n.getField("members").isNotNull(), "object")
-            .when(n.getField("elements").isNotNull(), "array")
-            .otherwise(_leaf_kind(n.getField("value")))
-        )
-        return _once(kind, lambda k: _node_errors(n, k, schema, root, path, seen))
-
-    return _once(node, with_kind)
+Found = Callable[[str, Contract], Column]
 
 
 def _node_errors(
-    node: Column, kind: Column, schema: Contract, root: Contract, path: Column, seen: tuple[str, ...]
+    value: Column, kind: Column, schema: Contract, root: Contract, path: Column, seen: tuple[str, ...], found: Found
 ) -> Column:
-    value, members, elements = (node.getField(f) for f in ("value", "members", "elements"))
+    """Errors of one node and what lies below; ``found(name, schema)`` has those of a property."""
     own: list[Column] = []
     if "const" in schema:
         text = F.concat(path, F.lit(f": expected {_shown(schema['const'])}, got "), _text(value, kind))
@@ -146,60 +154,105 @@ def _node_errors(
             allowed = allowed | _equals(value, kind, option)
         text = F.concat(path, F.lit(": "), _text(value, kind), F.lit(f" not one of {_shown(list(schema['enum']))}"))
         own.append(F.when(~allowed, text))
-    here = F.array_compact(F.array(*own)) if own else _no_errors()
-
-    deeper: list[Column] = []
-    if schema.get("required"):
-        absent = [
-            F.when(
-                ~F.map_contains_key(members, name),
-                F.concat(path, F.lit(f": missing required key {_shown(name)}")),
-            )
-            for name in schema["required"]
-        ]
-        deeper.append(F.array_compact(F.array(*absent)))
+    here = F.array_compact(F.array(*own)) if own else None
+
+    below: list[Column] = []
+    absent = [
+        F.when(_member(value, name).isNull(), F.concat(path, F.lit(f": missing required key {_shown(name)}")))
+        for name in schema.get("required") or ()
+    ]
+    if absent:
+        below.append(F.when(kind == "object", F.array_compact(F.array(*absent))))
     for name, sub in (schema.get("properties") or {}).items():
-        child = F.try_element_at(members, F.lit(name))
-        found = _errors(child, sub, root, F.concat(path, F.lit(f".{name}")), seen)
-        deeper.append(F.when(F.map_contains_key(members, name), found).otherwise(_no_errors()))
-    below = F.when(kind == "object", F.concat(*deeper)) if deeper else None
+        below.append(found(name, sub))
     if "items" in schema:
-        found = F.flatten(
-            F.transform(
-                elements,
-                lambda item, i: _errors(
-                    item, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), seen
-                ),
-            )
-        )
-        below = (below if below is not None else F).when(kind == "array", found)
-    everything = here if below is None else F.concat(here, below.otherwise(_no_errors()))
+
+        def item_errors(item: Column, i: Column) -> Column:
+            return _errors(item, schema["items"], root, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), seen)
+
+        below.append(F.flatten(F.transform(_elements(value), item_errors)))
+    parts = [here] if here is not None else []
+    parts += [F.coalesce(part, _no_errors()) for part in below]
+    everything = F.concat(*parts) if parts else _no_errors()
 
     types = schema.get("type")
     if not types:
         return everything
     types = [types] if isinstance(types, str) else list(types)
     found_name = F.element_at(F.create_map(*[F.lit(x) for pair in VALUE_TYPE_NAMES.items() for x in pair]), kind)
-    mismatch = F.concat(path, F.lit(f": expected {'/'.join(types)}, got "), found_name)
+    mismatch = F.array(F.concat(path, F.lit(f": expected {'/'.join(types)}, got "), found_name))
     # a wrong type ends the check here; what lies below would only repeat it
-    return F.when(_has_type(kind, types), everything).otherwise(F.concat(here, F.array(mismatch)))
+    return F.when(_has_type(kind, types), everything).otherwise(mismatch if here is None else F.concat(here, mismatch))
+
+
+def _errors(value: Column, schema: Contract, root: Contract, path: Column, seen: tuple[str, ...]) -> Column:
+    """Errors of one node in a single expression; ``value`` is a variant, JSON null included, and never SQL NULL."""
+    schema, seen = _resolve(schema, root, seen)
+
+    def found(name: str, sub: Contract) -> Column:
+        deeper = lambda child: F.when(
+            child.isNotNull(), _errors(child, sub, root, F.concat(path, F.lit(f".{name}")), seen)
+        )
+        return _once(_member(value, name), deeper)
+
+    return _once(_kind(value), lambda kind: _node_errors(value, kind, schema, root, path, seen, found))
+
+
+def _not_json(path: str) -> Column:
+    return F.array(F.lit(f"{path}: not valid JSON"))
 
 
 def contract_errors(doc: Column | str, contract: Contract, *, path: str = "$") -> Column:
     """``array<string>`` of ``path: message`` for one JSON text; empty when the record keeps the contract.
 
     Checks const, enum, type, required, properties, items and local ``$ref``. Text that is no JSON (or NULL)
-    gives the single error ``$: not valid JSON``.
+    gives the single error ``$: not valid JSON``. As an expression it can stand anywhere; on a frame,
+    ``check_contract`` gives the same in steps that Spark compiles.
     """
     parsed = F.try_parse_json(F.col(doc) if isinstance(doc, str) else doc)
-    return _once(
-        parsed,
-        lambda value: F.when(value.isNull(), F.array(F.lit(f"{path}: not valid JSON"))).otherwise(
-            _errors(value, contract, contract, F.lit(path), ())
-        ),
-    )
+    errors = lambda value: _errors(value, contract, contract, F.lit(path), ())
+    return _once(parsed, lambda value: F.when(value.isNull(), _not_json(path)).otherwise(errors(value)))
+
 
+def check_contract(
+    df: DataFrame, doc: Column | str, contract: Contract, *, errors_column: str = "errors", path: str = "$"
+) -> DataFrame:
+    """The frame with an ``array<string>`` of contract errors per record, as ``contract_errors`` lists them.
 
-def check_contract(df: DataFrame, doc: str, contract: Contract, *, errors_column: str = "errors") -> DataFrame:
-    """The frame with an ``array<string>`` of contract errors per record."""
-    return df.withColumn(errors_column, contract_errors(doc, contract))
+    Each value that the contract names by properties alone becomes a column, taken from the level above it, and its
+    kind another; a level is one projection. So every value is taken out once, however many checks mention it.
+    """
+    before = df.columns
+    names = {"": "_contract_0"}
+    df = df.withColumn(names[""], F.try_parse_json(F.col(doc) if isinstance(doc, str) else doc))
+    kinds: dict[str, str] = {}
+    level = [("", *_resolve(contract, contract, ()))]
+    known = {"": level[0][1:]}
+    while level:
+        df = df.withColumns({names[at] + "_kind": _kind(F.col(names[at])) for at, _, _ in level})
+        kinds |= {at: names[at] + "_kind" for at, _, _ in level}
+        below, values = [], {}
+        for at, schema, seen in level:
+            for name, sub in (schema.get("properties") or {}).items():
+                deeper = f"{at}.{len(at)}.{name}"
+                names[deeper] = f"_contract_{len(names)}"
+                known[deeper] = _resolve(sub, contract, seen)
+                values[names[deeper]] = _member(F.col(names[at]), name)
+                below.append((deeper, *known[deeper]))
+        if values:
+            df = df.withColumns(values)
+        level = below
+
+    def errors(at: str, where: str) -> Column:
+        schema, seen = known[at]
+
+        def found(name: str, _sub: Contract) -> Column:
+            return errors(f"{at}.{len(at)}.{name}", f"{where}.{name}")
+
+        value = F.col(names[at])
+        here = _node_errors(value, F.col(kinds[at]), schema, contract, F.lit(where), seen, found)
+        return F.when(value.isNotNull(), here)
+
+    root = F.col(names[""])
+    checked = df.withColumn(errors_column, F.when(root.isNull(), _not_json(path)).otherwise(errors("", path)))
+    return checked.select(*[F.col(f"`{c}`") for c in before if c != errors_column], errors_column)

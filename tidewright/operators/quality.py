@@ -131,27 +131,20 @@ def check_columns(df: DataFrame, expected: Sequence[str], table: str, *, allow_e
 
     Reads the schema only. Names are compared case-sensitively.
     """
-    spark = df.sparkSession
-    missing = sorted(set(expected) - set(df.columns))
-    unexpected = sorted(set(df.columns) - set(expected))
-    rows = []
-    if missing:
-        text = ", ".join(missing)
-        rows.append(
-            (table, "ERROR", fixed.MISSING_COLUMNS, fixed.MISSING_COLUMNS_FORMAT % text, {"missing": ",".join(missing)})
-        )
-    if unexpected and not allow_extra:
-        text = ", ".join(unexpected)
-        rows.append(
-            (
-                table,
-                "WARN",
-                fixed.UNEXPECTED_COLUMNS,
-                fixed.UNEXPECTED_COLUMNS_FORMAT % text,
-                {"unexpected": ",".join(unexpected)},
-            )
-        )
-    return spark.createDataFrame(rows, FINDING_SCHEMA)
+    sides = [(c, True, False) for c in df.columns] + [(c, False, True) for c in expected]
+    names = df.sparkSession.createDataFrame(sides, "name string, there boolean, wanted boolean").coalesce(1)
+    seen = names.groupBy("name").agg(F.max("there").alias("there"), F.max("wanted").alias("wanted"))
+    fate = F.when(~F.col("there"), "missing").when(F.lit(not allow_extra) & ~F.col("wanted"), "unexpected").alias("fate")
+    lists = seen.select(fate, "name").filter("fate IS NOT NULL").groupBy("fate")
+    lists = lists.agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+    def of(which: str, severity: str, code: str, text: str) -> DataFrame:
+        message = F.format_string(text, F.array_join("names", ", "))
+        details = {which: F.array_join("names", ",")}
+        return lists.filter(F.col("fate") == which).select(*_finding(F.lit(table), severity, code, message, details))
+
+    missing = of("missing", "ERROR", fixed.MISSING_COLUMNS, fixed.MISSING_COLUMNS_FORMAT)
+    return missing.unionByName(of("unexpected", "WARN", fixed.UNEXPECTED_COLUMNS, fixed.UNEXPECTED_COLUMNS_FORMAT))
 
 
 def check_written(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
@@ -166,15 +159,13 @@ def check_written(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
 
 
 def run_checks(spark: SparkSession, *findings: DataFrame | None | Iterable[DataFrame]) -> DataFrame:
-    """All findings as one frame; Nones are skipped and lists flattened."""
-    frames: list[DataFrame] = []
-    for f in findings:
-        if f is None:
-            continue
-        frames.extend([f] if isinstance(f, DataFrame) else list(f))
-    if not frames:
-        return no_findings(spark)
-    return functools.reduce(DataFrame.unionByName, [f.select(*FINDING_COLUMNS) for f in frames])
+    """All findings as one frame, with an empty one beneath; a check that found nothing to check may be None."""
+
+    def frames(given: DataFrame | None | Iterable[DataFrame]) -> list[DataFrame]:
+        return [given] if isinstance(given, DataFrame) else list(given or ())
+
+    together = (f.select(*FINDING_COLUMNS) for given in findings for f in frames(given))
+    return functools.reduce(DataFrame.unionByName, together, no_findings(spark))
 
 
 def summarize(report: DataFrame) -> DataFrame:
@@ -200,12 +191,13 @@ def summarize(report: DataFrame) -> DataFrame:
 def raise_if_failed(report: DataFrame) -> str:
     """Raises ``GateFailed``, or returns the summary line.
 
-    The error's text has the summary and the number of errors per table and code; its ``findings`` has every error.
+    The error's text has the summary and the number of errors per code, of which there are few; its ``findings``, a
+    frame, has every error with its table and message.
     """
     result = summarize(report).first()
     if result["ok"]:
         return result["summary"]
     errors = report.filter(F.col("severity") == "ERROR")
-    kinds = errors.groupBy("table", "code").agg(F.count(F.lit(1)).alias("n")).orderBy("table", "code").collect()
-    text = "; ".join(f"{k['table']}:{k['code']} {k['n']}" for k in kinds)
+    kinds = errors.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("table").alias("first")).orderBy("code")
+    text = "; ".join(f"{k['code']} {k['n']}, first in {k['first']}" for k in kinds.collect())
     raise GateFailed(f"{result['summary']} — {text}", errors)

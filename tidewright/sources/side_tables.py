@@ -19,7 +19,7 @@ METRICS_SCHEMA = "metric string, value bigint, run_id string, table string"
 
 
 def quarantine_name(name: str) -> str:
-    """``db.players`` → ``db._quarantine_players``."""
+    """``db.meters`` → ``db._quarantine_meters``."""
     head, _, last = name.rpartition(".")
     return f"{head}.{'_quarantine_' + last}" if head else f"_quarantine_{last}"
 

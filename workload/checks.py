@@ -48,19 +48,30 @@ dup_findings AS (
   SELECT 'documents' AS "table", 'ERROR' AS severity, 'DUPLICATE_KEYS' AS code,
          printf('%d duplicate row(s) for key (text)', duplicates) AS message FROM dups WHERE duplicates > 0)"""
 
+#: what a table of events per kind should have a column for, and has one for
 COLUMNS_CTE = """
+kinds AS (SELECT DISTINCT event_type AS name FROM events
+          UNION SELECT DISTINCT 'user ' || user_id % 7 FROM events WHERE value > 100),
+column_sides AS (
+  SELECT name, name IN ('view', 'click', 'refund', 'user 3', 'user 9') AS wanted FROM kinds),
 column_findings AS (
-  SELECT * FROM (VALUES
-    ('events', 'ERROR', 'MISSING_COLUMNS', 'missing columns: session_id, value_eur'),
-    ('events', 'WARN', 'UNEXPECTED_COLUMNS', 'unexpected columns: event_type, props, ts'))
-  v("table", severity, code, message))"""
-
-EXPECTED_EVENT_COLUMNS = ["event_id", "user_id", "value", "session_id", "value_eur"]
+  SELECT 'events' AS "table", 'ERROR' AS severity, 'MISSING_COLUMNS' AS code,
+         'missing columns: ' || string_agg(name, ', ' ORDER BY name) AS message
+  FROM (VALUES ('view'), ('click'), ('refund'), ('user 3'), ('user 9')) e(name)
+  WHERE name NOT IN (SELECT name FROM kinds) HAVING count(*) > 0
+  UNION ALL
+  SELECT 'events', 'WARN', 'UNEXPECTED_COLUMNS', 'unexpected columns: ' || string_agg(name, ', ' ORDER BY name)
+  FROM column_sides WHERE NOT wanted HAVING count(*) > 0)"""
+
+EXPECTED_KINDS = ["view", "click", "refund", "user 3", "user 9"]
 REQUIRED = ["event_id", "user_id", "value"]
 
 
 def _columns(t: Tables) -> DataFrame:
-    return quality.check_columns(t.events, EXPECTED_EVENT_COLUMNS, "events", allow_extra=False)
+    """Columns come from the events: one per kind of event, and one per group of users with large ones."""
+    large = F.when(F.col("value") > 100, F.concat(F.lit("user "), (F.col("user_id") % 7).cast("string")))
+    names = t.events.select(F.explode(F.array("event_type", large)).alias("kind")).filter("kind IS NOT NULL")
+    return quality.check_columns(names.groupBy().pivot("kind").count(), EXPECTED_KINDS, "events", allow_extra=False)
 
 
 def _nulls(t: Tables) -> DataFrame:

@@ -251,7 +251,7 @@ SELECT CASE WHEN broken THEN NULL ELSE CAST(event_id AS VARCHAR) END AS event_id
             WHEN event_type = 'signup' THEN '{"plan":"pro"}'
             WHEN event_type = 'view' AND value < 20 THEN '{"fee":1.10}'
             WHEN event_type = 'purchase' AND value < 20 THEN '{"scale":1e3}'
-            WHEN event_type = 'purchase' AND value > 100 THEN '{"serial":123456789012345678901234567890' || event_id || '}'
+            WHEN event_type = 'purchase' AND value > 100 THEN '{"serial":123456789012345678901234567890' || lpad(CAST(event_id AS VARCHAR), 12, '0') || '}'
        END AS _rescued
 FROM (SELECT *, event_type = 'click' AND value > 200 AS broken, event_type = 'error' AND value > 100 AS misfit
       FROM events)
@@ -275,7 +275,8 @@ def event_lines(t: Tables) -> DataFrame:
     )
     record = F.when(misfit, F.regexp_replace(record, r"\}$", ',"value":"n/a"}')).otherwise(record)
     event, value = F.col("event_type"), F.col("value")
-    serial = F.concat(F.lit(',"serial":123456789012345678901234567890'), F.col("event_id").cast("string"), F.lit("}"))
+    digits = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    serial = F.concat(F.lit(',"serial":123456789012345678901234567890'), digits, F.lit("}"))
     extra = (
         F.when((event == "view") & (value < 20), ',"fee":1.10}')
         .when((event == "purchase") & (value < 20), ',"scale":1e3}')

@@ -35,7 +35,8 @@ def bronze_stream_events(t: Tables) -> DataFrame:
 @case(
     "io2_inferred_schema_events",
     """SELECT c.column_name, c.data_type, count(*) AS lines FROM events, (VALUES
-         ('event_id', 'bigint'), ('event_type', 'string'), ('plan', 'string'), ('updated_at', 'string'),
+         ('event_id', 'bigint'), ('event_type', 'string'), ('fee', 'double'), ('plan', 'string'),
+         ('scale', 'double'), ('serial', 'double'), ('updated_at', 'string'),
          ('user_id', 'bigint'), ('value', 'string')) c(column_name, data_type)
        GROUP BY 1, 2""",
 )

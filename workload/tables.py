@@ -85,6 +85,47 @@ def _(t: Tables) -> DataFrame:
     return good.unionAll(bad.select("event_id", F.concat_ws(",", "_reasons").alias("reasons")))
 
 
+@case(
+    "io9_quarantine_beside_merge_events",
+    f"""WITH {GAPS_CTE}, checked AS (
+          SELECT *, user_id IS NULL OR value IS NULL OR value >= 300 AS bad, event_id % 3 = 0 AS late FROM gaps)
+        SELECT 'kept' AS lane, event_id, CASE WHEN late THEN value + 1 ELSE value END AS value, 0 AS reasons
+        FROM checked WHERE NOT bad
+        UNION ALL SELECT 'rejected', event_id, value,
+          (user_id IS NULL)::INT + (value IS NULL)::INT + (value IS NULL OR value >= 300)::INT FROM checked WHERE bad
+        UNION ALL SELECT 'metrics', NULL, count(*)::DOUBLE, count(*) FILTER (WHERE bad) FROM checked WHERE late""",
+)
+def _(t: Tables) -> DataFrame:
+    """Rejected rows beside a merge on key: all events in one run; a third of them, changed, in another, run twice."""
+    name, path = t.fresh_name("events"), t.scratch("events")
+    rejected, metrics = t.scratch("rejected"), t.scratch("metrics")
+    events = events_with_gaps(t)
+    late = events.filter("event_id % 3 = 0")
+    changed = late.withColumn("value", F.when(F.col("value") < 300, F.col("value") + 1).otherwise(F.col("value")))
+    sane = EXPECTATIONS | {"sane_value": "value < 301"}
+    runs = (("1", events, EXPECTATIONS), ("2", changed, sane), ("2", changed, sane))
+    for run_id, batch, expect in runs:
+        side_tables.write_guarded(
+            batch,
+            name,
+            expect,
+            "merge_on_key",
+            run_id=run_id,
+            merge_key=["event_id"],
+            path=path,
+            quarantine_path=rejected,
+            metrics_table=f"{name}_metrics",
+            metrics_path=metrics,
+        )
+    bad = t.spark.table(side_tables.quarantine_name(name)).filter("_run = '1'")
+    shown = t.spark.table(name).select(F.lit("kept").alias("lane"), "event_id", "value", F.lit(0).alias("reasons"))
+    shown = shown.unionAll(bad.select(F.lit("rejected"), "event_id", "value", F.size("_reasons")))
+    kept = t.spark.table(f"{name}_metrics").filter("run_id = '2'")
+    n = lambda metric: F.max(F.when(F.col("metric") == metric, F.col("value")))
+    total = kept.agg(n("rows_in").cast("double").alias("n"), n("rows_quarantined").cast("int").alias("bad"))
+    return shown.unionAll(total.select(F.lit("metrics"), F.lit(None).cast("bigint"), "n", "bad"))
+
+
 @case(
     "io10_metrics_events",
     f"""WITH {GAPS_CTE}, flags AS (
