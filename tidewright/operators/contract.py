@@ -51,17 +51,20 @@ def _elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def _kind(value: Column) -> Column:
-    """The JSON type of a variant; an object or array is told by a cast that looks no further into it."""
-    return (
-        F.when(F.try_variant_get(value, "$", "struct<>").isNotNull(), "object")
-        .when(_elements(value).isNotNull(), "array")
-        .otherwise(_leaf_kind(value))
-    )
+def _kind(value: Column, schema: Contract) -> Column:
+    """The JSON type of a variant. What the contract expects is tried first: an object or array is told by a cast that
+    looks no further into it, and any other value by its shape, which is spelled out in full for objects and arrays."""
+    as_object = F.try_variant_get(value, "$", "struct<>").isNotNull()
+    as_array = _elements(value).isNotNull()
+    if schema.get("properties") or schema.get("required"):
+        return F.when(as_object, "object").when(as_array, "array").otherwise(_leaf_kind(value))
+    if "items" in schema:
+        return F.when(as_array, "array").when(as_object, "object").otherwise(_leaf_kind(value))
+    return _leaf_kind(value)
 
 
 def _leaf_kind(value: Column) -> Column:
-    """The JSON type of a variant that is neither object nor array; whole and fractional numbers told apart."""
+    """The JSON type of a variant by its shape; whole and fractional numbers told apart."""
     return _once(
         F.schema_of_variant(value),
         lambda shape: F.when(shape == "STRING", "string")
@@ -69,6 +72,8 @@ def _leaf_kind(value: Column) -> Column:
         .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "fraction")
         .when(shape == "BOOLEAN", "boolean")
         .when(shape == "VOID", "null")
+        .when(shape.startswith("OBJECT"), "object")
+        .when(shape.startswith("ARRAY"), "array")
         .otherwise("string"),
     )
 
@@ -195,7 +200,7 @@ def _errors(value: Column, schema: Contract, root: Contract, path: Column, seen:
         )
         return _once(_member(value, name), deeper)
 
-    return _once(_kind(value), lambda kind: _node_errors(value, kind, schema, root, path, seen, found))
+    return _once(_kind(value, schema), lambda kind: _node_errors(value, kind, schema, root, path, seen, found))
 
 
 def _not_json(path: str) -> Column:
@@ -229,7 +234,7 @@ def check_contract(
     level = [("", *_resolve(contract, contract, ()))]
     known = {"": level[0][1:]}
     while level:
-        df = df.withColumns({names[at] + "_kind": _kind(F.col(names[at])) for at, _, _ in level})
+        df = df.withColumns({names[at] + "_kind": _kind(F.col(names[at]), sub) for at, sub, _ in level})
         kinds |= {at: names[at] + "_kind" for at, _, _ in level}
         below, values = [], {}
         for at, schema, seen in level:

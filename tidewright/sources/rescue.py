@@ -28,7 +28,7 @@ def _parsed(line: Column) -> Column:
 
     A variant would keep the number and not its text, so that 1.10, 1e3 or forty digits came back as something else.
     """
-    escaped = F.replace(line, F.lit(ESCAPE), F.lit(ESCAPED))
+    escaped = F.when(line.contains(ESCAPE), F.replace(line, F.lit(ESCAPE), F.lit(ESCAPED))).otherwise(line)
     return F.try_parse_json(F.regexp_replace(escaped, _NUMBER, f'$1"{MARK}$2"'))
 
 
@@ -40,7 +40,8 @@ def _unmarked(json: Column) -> Column:
 
 def _as_written(text: Column) -> Column:
     """A scalar's text without the mark; the JSON text of an object or array with none inside."""
-    return F.when(text.startswith(MARK), F.substring(text, 3, 2**31 - 1)).otherwise(_unmarked(text))
+    scalar = F.when(text.startswith(MARK), F.substring(text, 3, 2**31 - 1)).otherwise(_unmarked(text))
+    return F.when(text.contains(ESCAPE), scalar).otherwise(text)
 
 
 def _plain(variant: Column) -> Column:
@@ -57,6 +58,10 @@ def _given(raw: Column) -> Column:
     return raw.isNotNull() & ~F.is_variant_null(raw)
 
 
+def _by_text(dtype: DataType) -> bool:
+    return not isinstance(dtype, (VariantType, StructType, ArrayType, MapType))
+
+
 def _typed(raw: Column, dtype: DataType) -> Column:
     """A variant as a value of the wanted type; NULL when it is none."""
     if isinstance(dtype, VariantType):
@@ -78,8 +83,9 @@ def _typed(raw: Column, dtype: DataType) -> Column:
 
 def _scalar(text: Column, dtype: DataType) -> Column:
     """Through text, because a variant cast would quietly turn 1.5 into the integer 1."""
-    written = _as_written(text)
-    return written if isinstance(dtype, StringType) else written.try_cast(dtype)
+    if isinstance(dtype, StringType):
+        return _as_written(text)
+    return F.replace(text, F.lit(MARK), F.lit("")).try_cast(dtype)  # text that holds the mark elsewhere has no type
 
 
 def _misfit(raw: Column, value: Column, dtype: DataType) -> Column:
@@ -156,7 +162,13 @@ def parse_with_rescue(
     taken = parsed.select(
         "*", *[F.try_element_at(obj, F.lit(f.name)).alias(f"_raw{i}") for i, f in enumerate(schema.fields)]
     )
-    fitted = taken.select("*", *[_typed(raw[i], f.dataType).alias(f"_typed{i}") for i, f in enumerate(schema.fields)])
+    scalars = [i for i, f in enumerate(schema.fields) if _by_text(f.dataType)]
+    texts = taken.select("*", *[F.try_variant_get(raw[i], "$", "string").alias(f"_text{i}") for i in scalars])
+    values = [
+        (_scalar(F.col(f"_text{i}"), f.dataType) if i in scalars else _typed(raw[i], f.dataType)).alias(f"_typed{i}")
+        for i, f in enumerate(schema.fields)
+    ]
+    fitted = texts.select("*", *values)
     fields = [(raw[i], typed[i], f.dataType) for i, f in enumerate(schema.fields)]
     whole = F.to_json(F.create_map(F.lit(CORRUPT_FIELD), F.col(value_column)))
     parts = _unmarked(F.to_json(F.map_from_entries(_entries(obj, schema, "", fields))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.fixed import REASONS_COLUMN
 from tidewright.operators.expectations import tag_reasons
 from tidewright.sources.publish import quoted, table_location
-from tidewright.sources.tables import overwrite_partitions, write_table, write_with_strategy
+from tidewright.sources.tables import create_table, overwrite_partitions, write_with_strategy
 
 LANE_COLUMN = "_lane"
 RUN_COLUMN = "_run"
@@ -102,14 +102,14 @@ def write_guarded(
     rows = tagged.withColumn(RUN_COLUMN, F.lit(run_id)).withColumn(LANE_COLUMN, _lane())
     lanes = f"{store}_lanes"
     if not spark.catalog.tableExists(lanes):
-        empty = spark.createDataFrame([], rows.schema)  # not a part of the frame, whose counts it would take
-        write_table(empty, lanes, mode="append", partition_by=[RUN_COLUMN, LANE_COLUMN], path=quarantine_path)
+        create_table(spark, lanes, rows.schema, partition_by=[RUN_COLUMN, LANE_COLUMN], path=quarantine_path)
         spark.sql(
             f"CREATE OR REPLACE VIEW {quoted(store)} AS SELECT * EXCEPT (`{LANE_COLUMN}`) "
             f"FROM {quoted(lanes)} WHERE `{LANE_COLUMN}` = 'quarantine'"
         )
     _drop_lanes(spark, lanes, run_id)
-    overwrite_partitions(rows, lanes, [RUN_COLUMN, LANE_COLUMN])
+    mine = [{RUN_COLUMN: run_id, LANE_COLUMN: lane} for lane in ("primary", "quarantine")]
+    overwrite_partitions(rows, lanes, [RUN_COLUMN, LANE_COLUMN], touched=mine)
     good = spark.table(lanes).filter((F.col(RUN_COLUMN) == run_id) & (F.col(LANE_COLUMN) == "primary"))
     write_with_strategy(good.select(*df.columns), name, strategy, **strategy_options)
     _drop_lanes(spark, lanes, run_id, "primary")
@@ -145,7 +145,11 @@ def write_metrics(
     """Keeps a run's counts, one row per metric, in a partition per run and table, which a rerun replaces."""
     rows = [(metric, int(value), run_id, table) for metric, value in sorted(counts.items())]
     frame = spark.createDataFrame(rows, METRICS_SCHEMA).coalesce(1)
-    overwrite_partitions(frame, metrics_table, ["run_id", "table"], path=path, rebalance=False)
+    keys = ["run_id", "table"]
+    if not spark.catalog.tableExists(metrics_table):
+        create_table(spark, metrics_table, frame.schema, path=path, partition_by=keys)
+    touched = [{"run_id": run_id, "table": table}]
+    overwrite_partitions(frame, metrics_table, keys, rebalance=False, touched=touched)
 
 
 def append_metrics(

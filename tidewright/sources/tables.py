@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewright.folders import ensure_checkpoint_dir
 from tidewright.functions.fixed import STRATEGIES
@@ -52,6 +53,23 @@ def _aligned(df: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+def create_table(
+    spark: SparkSession,
+    name: str,
+    schema: StructType,
+    *,
+    path: str | None = None,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+) -> None:
+    """An empty table, made without running a job; partition columns come last."""
+    fields = [f for f in schema if f.name not in partition_by] + [schema[p] for p in partition_by]
+    columns = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+    layout = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in partition_by)})" if partition_by else ""
+    where = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE {quoted(name)} ({columns}) USING {fmt}{layout}{where}")
+
+
 def write_table(
     df: DataFrame,
     name: str,
@@ -212,11 +230,13 @@ def overwrite_partitions(
     path: str | None = None,
     fmt: str = "parquet",
     rebalance: bool = True,
+    touched: Sequence[Mapping[str, str]] | None = None,
 ) -> None:
     """Replaces only the partitions that ``df`` has rows for; ``rebalance`` as in ``write_table``.
 
     The mode is an option of this one write, at the table's location, so writes that run at the same time in one
-    session do not meet; partitions that are new are registered after it. Partitions lie below the table's location.
+    session do not meet; partitions that are new are registered after it: those in ``touched`` where the caller knows
+    them all, else whatever lies below the table's location.
     """
     keys = [partition_key] if isinstance(partition_key, str) else list(partition_key)
     if not keys:
@@ -238,7 +258,11 @@ def overwrite_partitions(
         rows = rows.hint("rebalance", *keys)
     writer = rows.write.format(table_format(spark, name)).mode("overwrite").partitionBy(*keys)
     writer.option("partitionOverwriteMode", "dynamic").save(table_location(spark, name))
-    spark.catalog.recoverPartitions(name)
+    if touched is None:
+        spark.catalog.recoverPartitions(name)
+    elif touched:
+        specs = [", ".join(f"`{k}` = '{spec[k]}'" for k in keys) for spec in touched]
+        spark.sql(f"ALTER TABLE {quoted(name)} ADD IF NOT EXISTS {' '.join(f'PARTITION ({s})' for s in specs)}")
     spark.catalog.refreshTable(name)
 
 
@@ -425,8 +449,7 @@ def write_with_strategy(
             raise ValueError("overwrite_partition requires a partition key")
         return overwrite_partitions(df, name, partition_key, path=path, fmt=fmt)
     if partition_by and not df.sparkSession.catalog.tableExists(name):
-        empty = df.sparkSession.createDataFrame([], df.schema)
-        write_table(empty, name, mode="append", path=path, fmt=fmt, partition_by=partition_by)
+        create_table(df.sparkSession, name, df.schema, path=path, fmt=fmt, partition_by=partition_by)
     if strategy in ("merge_on_key", "append_dedup"):
         if not merge_key:
             raise ValueError(f"{strategy} requires a merge key")

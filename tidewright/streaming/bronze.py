@@ -13,7 +13,7 @@ from tidewright.functions.fixed import BATCH_COLUMN
 from tidewright.operators.expectations import add_counts, observe_expectations
 from tidewright.sources.landing import with_provenance
 from tidewright.sources.rescue import parse_with_rescue
-from tidewright.sources.tables import overwrite_partitions, write_table
+from tidewright.sources.tables import create_table, overwrite_partitions
 
 
 def bronze_stream(
@@ -61,11 +61,12 @@ def refresh_table(
             once = rows.write.format(fmt).option("txnAppId", source).option("txnVersion", batch_id).mode("append")
             (once.option("path", path) if path else once).saveAsTable(name)
         else:
-            rows = rows.withColumn(BATCH_COLUMN, F.lit(f"{source}-{batch_id:09d}"))
+            mine = f"{source}-{batch_id:09d}"
+            rows = rows.withColumn(BATCH_COLUMN, F.lit(mine))
             if not spark.catalog.tableExists(name):
-                empty = spark.createDataFrame([], rows.schema)  # not a part of the frame, whose counts it would take
-                write_table(empty, name, mode="append", path=path, fmt=fmt, partition_by=layout)
-            overwrite_partitions(rows, name, layout, rebalance=bool(partition_by))
+                create_table(spark, name, rows.schema, path=path, fmt=fmt, partition_by=layout)
+            touched = None if partition_by else [{BATCH_COLUMN: mine}]
+            overwrite_partitions(rows, name, layout, rebalance=bool(partition_by), touched=touched)
         if expectations and counts is not None:
             add_counts(counts, seen.get)
 

@@ -355,16 +355,10 @@ def _(t: Tables) -> DataFrame:
     readings = F.when(F.col("value") > 100, ',"readings":[1.5,true]}').otherwise(',"readings":[1.5,2]}')
     full = F.concat(F.regexp_replace(doc, r"\}$", ""), readings)
     checked = check_contract(t.events.select("event_id", full.alias("doc")), "doc", EVENT_CONTRACT)
-    errors = F.array_sort("errors", _kind_readings_last)
-    return checked.select("event_id", F.concat_ws("; ", errors).alias("errors"))
-
-
-def _kind_readings_last(a, b):
-    """Errors in the order the oracle lists them: by kind, by missing key, by reading."""
-    rank = lambda e: (
-        F.when(e.startswith("$.kind"), 0).when(e.startswith("$:"), 1).otherwise(2)
-    )
-    return rank(a) - rank(b)
+    # in the order the oracle lists them: by kind, by missing key, by reading
+    rank = lambda e: F.when(e.startswith("$.kind"), 0).when(e.startswith("$:"), 1).otherwise(2)
+    ranked = F.array_sort(F.transform("errors", lambda e: F.struct(rank(e).alias("rank"), e.alias("error"))))
+    return checked.select("event_id", F.array_join(ranked["error"], "; ").alias("errors"))
 
 
 # --- lists in order -------------------------------------------------------------------------------------------
