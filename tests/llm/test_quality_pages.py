@@ -1,5 +1,5 @@
 from collections import Counter
-
+import time
 import pytest
 
 from tests.llm.samples import SCHEMA, ordered, rows, split
@@ -77,6 +77,13 @@ def test_main_text(html):
     assert pages.main_text(html, TREE) == PAGES[html]
 
 
+def test_many_unclosed_tags_take_no_search_each():
+    html = "<article>" + "<b>" * 150_000 + "</i>" * 150_000 + f"<p>{LONG}</p>"
+    started = time.time()
+    assert pages.main_text(html, TREE) == LONG
+    assert time.time() - started < 10
+
+
 def test_tree_agrees_with_its_table():
     assert all(pages.classify(TREE, row[:-1]) == row[-1] for row in pages.LABELLED)
     assert pages.train_tree([(1.0, 0), (1.0, 1)]) == 0

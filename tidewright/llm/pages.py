@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -186,6 +187,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int, bool, bool, bool]] = []
         self._open: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag and the state outside it
+        self._open_tags: Counter[str] = Counter()
         self._hinted = self._article = self._silent = self._link = self._heading = False
         self._parts: list[str] = []
         self._linked: list[str] = []
@@ -202,6 +204,8 @@ class _Blocks(HTMLParser):
 
     def _close(self, depth: int) -> None:
         _, self._hinted, self._article, self._silent, self._link, self._heading = self._open[depth]
+        for tag, *_ in self._open[depth:]:
+            self._open_tags[tag] -= 1
         del self._open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -215,6 +219,7 @@ class _Blocks(HTMLParser):
         if tag in _VOID:
             return
         self._open.append((tag, *self._state()))
+        self._open_tags[tag] += 1
         marks: set[str] = set()
         hidden = False
         for name, value in attrs:
@@ -247,6 +252,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCKS:
             self.flush()
+        if not self._open_tags[tag]:  # without a search: a broken page may have many of these below many open ones
+            return
         for depth in range(len(self._open) - 1, -1, -1):
             if self._open[depth][0] == tag:
                 self._close(depth)
