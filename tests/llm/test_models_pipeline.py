@@ -108,6 +108,19 @@ def test_benchmark_against_brute_force(spark, broadcast_rows):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_long_document_beyond_the_broadcast(spark):
+    """Rows do not grow with the text where the seeds are not sent around."""
+    rng = random.Random(8)
+    item = prose(rng, 40)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(20_000)]
+    docs = spark.createDataFrame(
+        [(1, " ".join(words[:9000] + item.split() + words[9000:])), (2, " ".join(words))], "doc_id bigint, text string"
+    )
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, benchmark, broadcast_rows=0).collect()
+    assert [(r.doc_id, r.item_id, r.n_equal) for r in found] == [(1, 7, 13)]
+
+
 def quotes_of_the_rule(table, items, window=13, min_equal=10):
     """Pairs with an alignment of enough equal words, whatever finds it."""
     out = set()

@@ -18,6 +18,9 @@ MASKS = ("1110111", "1101001011", "110110011", "11000101011", "1110000111", "1")
 #: What items of 2 to 11 words need besides.
 SHORT_MASKS = ("1101011", "1100000111", "111011", "110100011", "10011101", "11101", "100000111", "11011", "10111", "1111", "111", "11")
 
+#: words of a document that travel together where the seeds are too many to be sent around
+PIECE = 64
+
 
 def words(text: Column) -> Column:
     """Runs of letters and digits, in lower case; empty at either end of a text that begins or ends with others."""
@@ -109,6 +112,28 @@ def benchmark_seeds(items: DataFrame, masks: dict[str, list[int]], window: int)
     )
 
 
+def _seeded_by_pieces(split: DataFrame, anchors: DataFrame, masks: dict[int, str], start: Column) -> DataFrame:
+    """``doc, version, start, seed`` of every anchor found, with rows of bounded size in every shuffle.
+
+    Positions travel as hashes to the anchors; where one is met, it meets the piece of ``PIECE`` words it lies in, with
+    as many words on either side as a mask is long.
+    """
+    margin = max(map(len, masks.values()), default=0)
+    at = split.select("doc", "version", F.posexplode(F.transform("doc_words", lambda w: F.xxhash64(w))).alias("at", "anchor"))
+    met = at.join(anchors, "anchor").withColumn("start", start).filter("start >= 0")
+    met = met.select("doc", "version", F.floor(F.col("at") / PIECE).cast("int").alias("piece"), "start", "number")
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.size("doc_words") - 1) / PIECE).cast("int")))
+    pieces = split.filter(F.size("doc_words") > 0).select("doc", "version", "doc_words", number.alias("piece"))
+    first = F.greatest(F.col("piece") * PIECE - margin, F.lit(0))
+    pieces = pieces.select(
+        "doc", "version", "piece", first.alias("first"), F.slice("doc_words", first + 1, PIECE + 2 * margin).alias("words")
+    )
+    # equal rows of a text give equal pieces; one of them is enough
+    joined = met.join(pieces.distinct(), ["doc", "version", "piece"])
+    seed = _seed(F.col("words"), F.col("start") - F.col("first"), F.col("number"), masks)
+    return joined.select("doc", "version", "start", seed.alias("seed")).filter("seed IS NOT NULL")
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -131,7 +156,7 @@ def contaminated(
     Each word of each document is looked up among the anchors, the rarest words of the benchmark's seeds; where
     one is found, the seed around it is hashed and meets the benchmark's hashes in an equi-join. Both tables are
     broadcast while the benchmark is counted to have no more than ``broadcast_rows`` seeds (about 50 bytes each);
-    beyond that Spark chooses the joins. Hits are reduced to document, item and alignment, and only the documents
+    beyond that positions travel as hashes and meet pieces of ``PIECE`` words, so that no row grows with its text. Hits are reduced to document, item and alignment, and only the documents
     that have any are read again to compare the words around the hits.
 
     Items of fewer than ``window`` words are compared whole, with as many differences in proportion: two in 9 to 12
@@ -157,15 +182,16 @@ def contaminated(
     postings = seeds.select("seed", "item", "item_version", "item_at").distinct()
     used = {number: mask for number, mask in enumerate(by_length) if number in n_seeds}
     taken = _seed(F.col("doc_words"), F.col("start"), F.col("number"), used)
+    split = rows.select("doc", "version", words(F.col("text")).alias("doc_words"))
+    start = F.col("at") - F.col("anchor_at")
+    if bounded:  # the words stay beside each position: nothing is shuffled, so none is copied
+        placed = split.select("doc", "version", "doc_words", F.posexplode("doc_words").alias("at", "word"))
+        hits = placed.withColumn("anchor", F.xxhash64("word")).join(send(anchors), "anchor").withColumn("start", start)
+        seeded = hits.filter("start >= 0").select("doc", "version", "start", taken.alias("seed"))
+    else:
+        seeded = _seeded_by_pieces(split, anchors, used, start)
     found = (
-        rows.select("doc", "version", words(F.col("text")).alias("doc_words"))
-        .select("doc", "version", "doc_words", F.posexplode("doc_words").alias("at", "word"))
-        .withColumn("anchor", F.xxhash64("word"))
-        .join(send(anchors), "anchor")
-        .withColumn("start", F.col("at") - F.col("anchor_at"))
-        .filter("start >= 0")
-        .select("doc", "version", "start", taken.alias("seed"))
-        .join(send(postings), "seed")
+        seeded.join(send(postings), "seed")
         .select("doc", "version", "item", "item_version", (F.col("start") - F.col("item_at")).alias("doc_word"))
         .distinct()
     )
