@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.samples import SCHEMA, key, ordered, prose, rows, sha, split
@@ -57,7 +58,7 @@ def expected_bytes(table, window):
 
 @pytest.mark.parametrize(("block_bytes", "window", "gram"), [(10**7, 200, 64), (3000, 200, 64), (5000, 40, 40), (5000, 30, 5)])
 def test_bytes_against_brute_force(spark, block_bytes, window, gram):
-    table = rows(2)
+    table = rows(2) + [rows(2)[4]] * 30
     out = suffixes.dedup_bytes(
         spark.createDataFrame(table, SCHEMA), window=window, gram=gram, block_bytes=block_bytes, bucket_bytes=block_bytes
     ).collect()
@@ -66,6 +67,36 @@ def test_bytes_against_brute_force(spark, block_bytes, window, gram):
     assert all(sum(s.beyond - s.first for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans for r in out)
 
 
+@pytest.mark.parametrize("window, gram", [(200, 64), (30, 5), (9, 9)])
+def test_runs_do_not_depend_on_the_pieces(monkeypatch, window, gram):
+    """The anchors of a block hashed piece by piece are those of the block hashed at once, ties and document ends too."""
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"ab") for _ in range(n)) for n in (0, 5, 250, 3000, 199, 200, 201)] + [b"x" * 2500]
+    table = pa.table({"id": list(range(len(texts))), "missing": [False] * len(texts), "text": texts})
+    whole = suffixes._Block(table, window, gram)
+    assert whole.n_windows.sum() == sum(max(0, len(t) - window + 1) for t in texts)
+    for piece in (1, 7, 64, 1000):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        block = suffixes._Block(table, window, gram)
+        for name in ("anchors", "first", "n_windows", "keys", "key_of", "several"):
+            assert (getattr(block, name) == getattr(whole, name)).all(), (piece, name)
+
+
+def test_bytes_of_a_text_beyond_2_to_the_24(spark):
+    """One text of 18 MB in a block of its own, with a passage of another text inside."""
+    rng = np.random.default_rng(3)
+    long, passage = rng.integers(97, 123, 18_000_000, np.uint8).tobytes().decode(), "q" + "yz" * 150
+    docs = spark.createDataFrame([(1, long + passage), (2, "start " + passage)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.dedup_bytes(docs).collect())
+    assert got == [(1, 18_000_301, 301, 1), (2, 307, 301, 1)]
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 400, "doc_id bigint, text string").repartition(8)
+    dealt = blocks.into_blocks(docs, 8, id_col="doc_id", text_col="text")
+    assert dealt.select("block").distinct().count() > 1 and dealt.count() == 400
+
+
 def test_bytes_of_an_empty_table(spark):
     assert suffixes.dedup_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -29,16 +29,19 @@ def sizes(docs: DataFrame, text_col: str, block_bytes: int) -> tuple[int, int]:
 
 
 def into_blocks(docs: DataFrame, n_blocks: int, *, id_col: str, text_col: str) -> DataFrame:
-    """``block``, ``id``, ``missing`` (the id is NULL), ``text`` in bytes, dealt by a hash of id and text.
+    """``block``, ``id``, ``missing`` (the id is NULL), ``text`` in bytes, dealt by a hash of id, text and partition.
 
-    Every use of the frame in one plan reads the same shuffle.
+    The partition a row comes from is a salt: equal rows, however many, go to as many blocks as partitions hold them,
+    and a partition that is computed again holds the same rows. Every use of the frame in one plan reads the same
+    shuffle.
     """
     rows = docs.select(
         doc_key(id_col).alias("id"),
         F.col(f"`{id_col}`").isNull().alias("missing"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"),
     )
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block"), *rows.columns)
+    dealt = F.xxhash64("id", "text", F.spark_partition_id())
+    rows = rows.select(F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("block"), *rows.columns)
     return rows.repartition(n_blocks, "block")
 
 

@@ -13,7 +13,8 @@ from tidewright.llm import blocks
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_PLACE = np.uint64(2**24 - 1)
+#: windows of a block that are hashed at a time, so that a block of any size needs memory for one piece
+PIECE = 1 << 21
 SEGMENTS = "bucket int, block int, segments binary, shapes binary"
 #: of a segment: bytes before its anchor, all bytes, whether its block has it more than once
 _SHAPE = np.dtype([("before", "<u2"), ("length", "<u2"), ("several", "u1")])
@@ -31,6 +32,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _runs(data: np.ndarray, lo: int, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the windows that start in one piece and lie in one document: runs with one anchor, each run's anchor, first
+    window, number of windows, and the anchor's hash."""
+    n = min(PIECE, len(data) - window + 1 - lo)
+    piece = data[lo : lo + n + window - 1]
+    sums = np.zeros(len(piece) + 1, np.uint64)
+    np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(piece)), out=sums[1:])
+    grams = len(piece) - gram + 1
+    hashes = _mix((sums[gram:] - sums[: len(sums) - gram]) * _powers(_UNBASE, grams))
+    del sums
+    smallest, place = hashes, np.arange(grams)
+    width, reach = 1, window - gram + 1
+    while width < reach:
+        step = min(width, reach - width)
+        later = smallest[step:] < smallest[:-step]  # the first of equal ones stays
+        place = np.where(later, place[step:], place[:-step])
+        smallest = np.where(later, smallest[step:], smallest[:-step])
+        width += step
+    inside = np.ones(n, bool)
+    for end in ends[(ends > lo) & (ends < lo + n + window - 1)]:
+        inside[max(0, end - lo - window + 1) : max(0, end - lo)] = False
+    at = np.flatnonzero(inside)
+    anchors = place[at]
+    starts = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else at
+    counts = np.diff(np.append(starts, len(at)))
+    return anchors[starts] + lo, at[starts] + lo, counts, hashes[anchors[starts]]
+
+
 class _Block:
     """The bytes of a block's documents, and the anchor of every window of ``window`` bytes.
 
@@ -44,30 +73,16 @@ class _Block:
         self.sizes = np.array([len(r[2]) for r in self.rows], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.joined = b"".join(r[2] for r in self.rows)
-        n = len(self.joined)
-        if n > int(_PLACE):
-            raise ValueError(f"a block has {n} bytes, more than {int(_PLACE)}; use smaller blocks")
-        data = np.frombuffer(self.joined, np.uint8)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-        grams = max(0, n - gram + 1)
-        hashes = _mix((sums[gram:] - sums[: n + 1 - gram]) * _powers(_UNBASE, grams)) if grams else sums[:0]
-        smallest = (hashes & ~_PLACE) | np.arange(grams, dtype=np.uint64)
-        width, reach = 1, window - gram + 1
-        while width < reach and len(smallest):
-            step = min(width, reach - width)
-            smallest = np.minimum(smallest[: max(0, len(smallest) - step)], smallest[step:])
-            width += step
-        inside = np.ones(len(smallest), bool)  # windows within one document
-        for end in self.starts + self.sizes:
-            inside[max(0, end - window + 1) : end] = False
-        window_at = np.flatnonzero(inside)
-        anchors = (smallest[window_at] & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else window_at[:0]
-        self.anchors = anchors[first]
-        self.first = window_at[first]
-        self.n_windows = np.diff(np.append(first, len(anchors)))
-        keys = _mix(hashes[self.anchors])  # anchors have small hashes: mixed again, they spread over all buckets
+        data, ends = np.frombuffer(self.joined, np.uint8), self.starts + self.sizes
+        found = [_runs(data, lo, ends, window, gram) for lo in range(0, max(0, len(data) - window + 1), PIECE)]
+        anchors, first, n_windows, hashes = (np.concatenate(c) for c in zip(*found)) if found else [np.empty(0, int)] * 4
+        # a run that goes on in the next piece is one run
+        whole = np.ones(len(anchors), bool)
+        whole[1:] = (anchors[1:] != anchors[:-1]) | (first[1:] != first[:-1] + n_windows[:-1])
+        runs = np.flatnonzero(whole)
+        self.anchors, self.first = anchors[runs], first[runs]
+        self.n_windows = np.add.reduceat(n_windows, runs) if len(runs) else n_windows
+        keys = _mix(hashes[runs].astype(np.uint64))  # anchors have small hashes: mixed again, they spread over all buckets
         self.keys, self.key_of, counts = np.unique(keys, return_inverse=True, return_counts=True)
         self.several = (counts > 1).astype(np.uint8)
         self.window = window
@@ -249,7 +264,7 @@ def dedup_bytes(
             block = _Block(table, window, gram)
             hits, of_hit, _, _, _ = block.segments(blocks.replies_of(replies.filter(pa.array(question == 0)), "u1"))
             answers = blocks.replies_of(replies.filter(pa.array(question == 1)), "u1").reshape(-1, width)
-            marks = np.zeros(len(block.joined) + 1, np.int64)
+            marks = np.zeros(len(block.joined) + 1, np.int32)
             for part in range(0, len(hits), 50_000):
                 some = hits[part : part + 50_000]
                 bits = np.unpackbits(answers[of_hit[part : part + 50_000]], axis=1)[:, :reach]
@@ -257,7 +272,7 @@ def dedup_bytes(
                 gone = block.first[some][hit] + start
                 np.add.at(marks, gone, 1)
                 np.add.at(marks, gone + window, -1)
-            covered = (np.cumsum(marks[:-1]) > 0).view(np.uint8)
+            covered = (np.cumsum(marks[:-1], dtype=np.int32) > 0).view(np.uint8)
             for (id_, missing, text), start, n in zip(block.rows, block.starts.tolist(), block.sizes.tolist()):
                 cut = covered[start : start + n]
                 kept = np.frombuffer(text, np.uint8)[cut == 0].tobytes() if cut.any() else text
