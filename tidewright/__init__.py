@@ -18,7 +18,9 @@ from tidewright.operators.expectations import (
     observe_expectations,
     split_quarantine,
 )
-from tidewright.operators.feed import apply_feed, change_feed
+from tidewright.operators.feed import apply_feed, change_feed, changed_keys
+from tidewright.operators.graph import graph_findings
+from tidewright.operators.lineage import edge_diff, mode_drift, reconcile
 from tidewright.operators.merge import merged_rows, upsert_counts
 from tidewright.operators.quality import (
     GateFailed,
@@ -36,11 +38,12 @@ from tidewright.operators.typing import drop_helpers, type_columns
 from tidewright.operators.voids import defend_voids, void_columns
 from tidewright.plans.ingest import land_changes, refresh_bronze, refresh_silver, silver
 from tidewright.sources.landing import infer_landing_schema, read_landing, write_landing
-from tidewright.sources.publish import promote_on_gate, publish, write_version
+from tidewright.sources.publish import drop_old_versions, promote_on_gate, publish, write_version
 from tidewright.sources.rescue import parse_with_rescue
-from tidewright.sources.side_tables import append_metrics, write_with_quarantine
+from tidewright.sources.side_tables import append_metrics, write_guarded, write_metrics, write_with_quarantine
 from tidewright.sources.tables import (
     append_dedup,
+    create_table,
     overwrite_partitions,
     overwrite_table,
     read_or_none,

@@ -19,6 +19,7 @@ from tidewright.functions.scalars import (
 from tidewright.operators.contract import check_contract, contract_errors
 from tidewright.operators.dedup import latest_wins
 from tidewright.operators.expectations import expect_or_drop, expectation_counts
+from tidewright.operators.lineage import step_modes
 from tidewright.operators.scope import high_water_mark, newer_than, sample_scope
 from tidewright.operators.typing import type_columns
 from tidewright.operators.voids import defend_voids, void_columns
@@ -367,5 +368,4 @@ def _(t: Tables) -> DataFrame:
     f"WITH {LINEAGE_CTE} SELECT step, string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes FROM log WHERE mode IS NOT NULL GROUP BY 1",
 )
 def _(t: Tables) -> DataFrame:
-    modes = access_log(t).filter(F.col("mode").isNotNull()).groupBy("step")
-    return modes.agg(F.concat_ws(",", F.array_sort(F.collect_set("mode"))).alias("modes"))
+    return step_modes(access_log(t).select("step", "mode")).select("step", F.array_join("modes", ",").alias("modes"))
