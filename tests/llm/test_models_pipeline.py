@@ -1,5 +1,4 @@
 import itertools
-import os
 import random
 import re
 from collections import defaultdict
@@ -188,13 +187,21 @@ def corpus(tmp_path_factory):
     return str(folder), table, toxic, quoted
 
 
-@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes several minutes; not yet seen to end")
-def test_pipeline_against_its_stages_by_brute_force(spark, corpus):
+@pytest.fixture
+def one_partition(spark):
+    """Small tables need no parallel shuffles; most of the pipeline's time here would go into starting their tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pipeline_against_its_stages_by_brute_force(spark, corpus, one_partition):
     folder, table, toxic, quoted = corpus
     assert [s[0] for s in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "packing"]
     docs, kept = spark.createDataFrame(table, DOCUMENTS), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), DOCUMENTS)
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), DOCUMENTS).coalesce(1)
         kept.append([tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()])
     clean, lines_once, alone, unquoted = kept
     gone = {r[0] for r in table} - {r[0] for r in clean}
