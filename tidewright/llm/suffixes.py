@@ -13,8 +13,9 @@ from tidewright.llm import blocks
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: windows of a block that are hashed at a time, so that a block of any size needs memory for one piece
-PIECE = 1 << 21
+#: windows of a block that are hashed at a time, so that a block of any size needs memory for one piece; with a window
+#: more, their places fit into the low bits of a hash
+PIECE, _PLACE = 1 << 21, np.uint64(2**24 - 1)
 SEGMENTS = "bucket int, block int, segments binary, shapes binary"
 #: of a segment: bytes before its anchor, all bytes, whether its block has it more than once
 _SHAPE = np.dtype([("before", "<u2"), ("length", "<u2"), ("several", "u1")])
@@ -42,19 +43,17 @@ def _runs(data: np.ndarray, lo: int, ends: np.ndarray, window: int, gram: int) -
     grams = len(piece) - gram + 1
     hashes = _mix((sums[gram:] - sums[: len(sums) - gram]) * _powers(_UNBASE, grams))
     del sums
-    smallest, place = hashes, np.arange(grams)
+    smallest = (hashes & ~_PLACE) | np.arange(grams, dtype=np.uint64)  # of equal ones the first
     width, reach = 1, window - gram + 1
     while width < reach:
         step = min(width, reach - width)
-        later = smallest[step:] < smallest[:-step]  # the first of equal ones stays
-        place = np.where(later, place[step:], place[:-step])
-        smallest = np.where(later, smallest[step:], smallest[:-step])
+        smallest = np.minimum(smallest[:-step], smallest[step:])
         width += step
     inside = np.ones(n, bool)
     for end in ends[(ends > lo) & (ends < lo + n + window - 1)]:
         inside[max(0, end - lo - window + 1) : max(0, end - lo)] = False
     at = np.flatnonzero(inside)
-    anchors = place[at]
+    anchors = (smallest[at] & _PLACE).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else at
     counts = np.diff(np.append(starts, len(at)))
     return anchors[starts] + lo, at[starts] + lo, counts, hashes[anchors[starts]]
