@@ -56,6 +56,21 @@ def test_toxicity_without_labels_or_documents(spark):
         assert toxicity.score(docs, model).filter("score between 0 and 1").count() == 20
 
 
+def test_toxicity_counts_every_word_of_the_corpus(spark, monkeypatch):
+    texts = [r[1] for r in rows()] + [None, "", "Ka ka KA lo. ka", "Ka ka KA lo. ka"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    expected = defaultdict(int)
+    for text in texts:
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        for _, word in set(zip(["", *words], words)):
+            expected[word] += 1
+    expected = {int(toxicity.word_hashes(w)[0]): n for w, n in expected.items()}
+    for at_a_time in (50, 10**6):
+        monkeypatch.setattr(toxicity, "COUNTED_WORDS", at_a_time)
+        assert {r.word: r.n for r in toxicity._corpus_counts(docs).collect()} == expected
+    assert toxicity._corpus_counts(docs.limit(0)).count() == 0
+
+
 def substituted(words, n, rng):
     words = list(words)
     for at in rng.sample(range(len(words)), n):

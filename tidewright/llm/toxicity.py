@@ -17,6 +17,8 @@ from tidewright.llm.shared import keep
 
 _WORD = re.compile(r"[^\W_]+")
 DISCOUNT = 0.75
+#: words of the corpus that a task adds up at a time
+COUNTED_WORDS = 4_000_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -86,23 +88,27 @@ def _word_pairs(sample: DataFrame) -> DataFrame:
     return sample.select(F.col("toxic").cast("int"), "text").mapInArrow(cut, "toxic int, before bigint, word bigint")
 
 
-def _corpus_counts(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """How often each word of ``vocabulary`` (sorted hashes) occurs in all texts, and under NULL all their words."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def _corpus_counts(texts: DataFrame) -> DataFrame:
+    """Every word of all texts and ``n``, how many distinct pairs of neighbouring words end in it, counted in each text.
+
+    A row per word of the corpus. Tasks add up some texts at a time, Spark the rest before and after its shuffle.
+    """
+
+    def added_up(parts: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        counts, total = np.zeros(len(known), np.int64), 0
+        parts, held = [], 0
         for batch in batches:
             for text in batch.column(0):
-                words = word_hashes(text.as_py() or "").view(np.int64)
-                total += len(words)
-                if len(known) and len(words):
-                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                    np.add.at(counts, at[known[at] == words], 1)
-        there = np.flatnonzero(counts)
-        words = pa.array([*known[there].tolist(), None], pa.int64())
-        yield pa.RecordBatch.from_arrays([words, pa.array([*counts[there].tolist(), total], pa.int64())], ["word", "n"])
+                parts.append(pairs_of(text.as_py())[1])
+                held += len(parts[-1])
+                if held >= COUNTED_WORDS:
+                    yield added_up(parts)
+                    parts, held = [], 0
+        if held:
+            yield added_up(parts)
 
     return texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -133,10 +139,10 @@ def fit(
 
     Both are interpolated Kneser-Ney models of word pairs: a pair's count (documents of the class that hold it) is
     discounted and backs off to the word's number of contexts in the class, discounted as well, and that to the
-    word's share of all words of ``docs``, labelled or not. Expressions whose counts in the two classes differ by no
-    more than ``deviations`` standard deviations of chance are rare or indifferent and are left to the shared counts
-    in both models, with one backoff weight for both, so that they cancel instead of adding noise. The shared counts
-    come from a pass over every text.
+    word's share of the contexts of all words of ``docs``, labelled or not, which is a table with a row for every
+    word there is. Expressions whose counts in the two classes differ by no more than ``deviations`` standard
+    deviations of chance are rare or indifferent and are left to the shared counts in both models, with one backoff
+    weight for both, so that they cancel instead of adding noise.
 
     NULL labels and ids are ignored, labels of a repeated id count once (toxic if any is). Without documents of one
     of the classes no expression differs and the scores follow the calibration alone.
@@ -173,13 +179,13 @@ def fit(
     whole = whole.na.fill(0).first()
     own_words = words.filter(_differs("k1", "k0", whole["k1"], whole["k0"], deviations))
     own_pairs = pairs.filter(_differs("n1", "n0", whole["n1"], whole["n0"], deviations))
-    vocabulary = own_words.select("word").union(own_pairs.select("word")).distinct().toArrow()
-    counts = keep(_corpus_counts(texts.select("text"), np.sort(vocabulary["word"].to_numpy())), "toxicity-counts")
-    total = float(max(1, counts.filter("word is null").agg(F.sum("n")).first()[0] or 0))
+    counts = keep(_corpus_counts(texts.select("text")), "toxicity-counts")
+    total = float(max(1, counts.agg(F.sum("n")).first()[0] or 0))
     kinds = own_words.agg(seen("k0").alias("v0"), seen("k1").alias("v1")).na.fill(0).first()
     backoff = max(0.001, *(DISCOUNT * kinds[f"v{c}"] / max(1, whole[f"k{c}"]) for c in (0, 1)))
 
-    singles = counts.filter("word is not null").join(own_words, "word", "left")
+    asked = own_words.select("word").union(own_pairs.select("word")).distinct()
+    singles = asked.join(counts, "word").join(own_words, "word", "left")
     shared = backoff * F.col("n") / total
     own = {c: F.greatest(F.coalesce(F.col(f"k{c}"), F.lit(0)) - DISCOUNT, F.lit(0.0)) / float(max(1, whole[f"k{c}"])) for c in (0, 1)}
     singles = singles.select("word", F.col("k0").isNotNull().alias("differs"), *[(own[c] + shared).alias(f"p{c}") for c in (0, 1)])
