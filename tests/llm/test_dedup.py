@@ -78,10 +78,41 @@ def test_runs_do_not_depend_on_the_pieces(monkeypatch, window, gram):
     for piece in (1, 7, 64, 1000):
         monkeypatch.setattr(suffixes, "PIECE", piece)
         block = suffixes._Block(table, window, gram)
-        for name in ("anchors", "first", "n_windows", "keys", "key_of", "several"):
+        for name in ("anchors", "first", "n_windows", "keys", "key_of", "held"):
             assert (getattr(block, name) == getattr(whole, name)).all(), (piece, name)
 
 
+@pytest.mark.parametrize("crowd, block_bytes", [(0, 3000), (4, 3000), (4, 10**7), (10**6, 3000)])
+def test_bytes_under_crowded_anchors(spark, crowd, block_bytes):
+    """A phrase shorter than the window and a passage longer than it in a third of all texts, other text around them."""
+    rng = random.Random(5)
+    phrase, passage = prose(rng, 10)[:45], prose(rng, 30)[:110]
+    table = [list(r) for r in rows(7, 90)]
+    for k, row in enumerate(table[3:60]):
+        shared = phrase if k % 2 else passage if k % 3 else phrase + passage
+        row[1] = f"{prose(rng, 12)} {k} {shared} {k} {prose(rng, rng.choice([0, 12]))}" + shared * (k % 10 == 0)
+    out = suffixes.dedup_bytes(
+        spark.createDataFrame(table, SCHEMA), window=60, gram=20, block_bytes=block_bytes, bucket_bytes=block_bytes, crowd=crowd
+    )
+    got = ordered((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in out.collect())
+    assert got == expected_bytes(table, 60)
+
+
+def test_crowded_anchors_are_named():
+    text = [bytes(f"{k:04}" * 20, "ascii") + b"the same phrase in every text" + bytes(f"{k:05}" * 20, "ascii") for k in range(30)]
+    table = pa.table({"id": list(range(30)), "missing": [False] * 30, "text": text})
+    block = suffixes._Block(table, 60, 20)
+    known = suffixes._known(20)(block.keys, block.held)
+    crowded = np.flatnonzero(known == suffixes.CROWDED)
+    assert len(crowded) and (block.held[crowded] >> 1 > 20).all()
+    assert not (suffixes._known(30)(block.keys, block.held) == suffixes.CROWDED).any()
+    starts, numbers, halves, windows = block.crowded(known)
+    texts = [block.joined[a : a + 60] for a in starts.tolist()]
+    assert len(set(zip(texts, numbers.tolist()))) == len(set(texts)) == len(halves) == len(windows)
+    assert (np.sort(halves) == halves).all()
+    assert {n: texts.count(t) > 1 for t, n in zip(texts, numbers.tolist())} == dict(enumerate(windows["several"].astype(bool).tolist()))
+
+
 def test_bytes_of_a_text_beyond_2_to_the_24(spark):
     """One text of 18 MB in a block of its own, with a passage of another text inside."""
     rng = np.random.default_rng(3)

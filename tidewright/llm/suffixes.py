@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tidewright.llm import blocks
 
@@ -19,6 +20,10 @@ PIECE, _PLACE = 1 << 21, np.uint64(2**24 - 1)
 SEGMENTS = "bucket int, block int, segments binary, shapes binary"
 #: of a segment: bytes before its anchor, all bytes, whether its block has it more than once
 _SHAPE = np.dtype([("before", "<u2"), ("length", "<u2"), ("several", "u1")])
+#: of a window under a crowded anchor: the second half of its digest, whether its block has it more than once
+_WINDOW = np.dtype([("rest", ">u8"), ("several", "u1")])
+#: what is known of an anchor
+ALONE, SHARED, CROWDED = range(3)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -83,16 +88,48 @@ class _Block:
         self.n_windows = np.add.reduceat(n_windows, runs) if len(runs) else n_windows
         keys = _mix(hashes[runs].astype(np.uint64))  # anchors have small hashes: mixed again, they spread over all buckets
         self.keys, self.key_of, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        self.several = (counts > 1).astype(np.uint8)
         self.window = window
-
-    def segments(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Of the anchors that occur elsewhere: their numbers, each one's segment, and the distinct segments with
+        #: per anchor, the number of its different segments, doubled, plus 1 if it occurs more than once
+        self.held = np.full(len(counts), 2, np.uint32)
+        again = np.flatnonzero(counts[self.key_of] > 1)
+        if len(again):
+            prints = np.empty((len(again), 2), np.uint64)
+            prints[:, 0] = self.key_of[again]
+            for k, (i, a, b) in enumerate(zip(again.tolist(), self.first[again].tolist(), self.beyond(again).tolist())):
+                prints[k, 1] = xxh3_64_intdigest(self.joined[a:b], seed=int(self.anchors[i]) - a)
+            of_key = np.unique(prints, axis=0)[:, 0].astype(np.int64)
+            keys, different = np.unique(of_key, return_counts=True)
+            self.held[keys] = different * 2 + 1
+
+    def beyond(self, runs: np.ndarray) -> np.ndarray:
+        return (self.first + self.n_windows - 1 + self.window)[runs]
+
+    def crowded(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows under crowded anchors: where each starts, its number, and by number the digests' first
+        halves, ascending, and the rest as ``_WINDOW``."""
+        runs = np.flatnonzero(known[self.key_of] == CROWDED)
+        n = self.n_windows[runs]
+        starts = np.repeat(self.first[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        digests = b"".join(xxh3_128_digest(self.joined[a : a + self.window]) for a in starts.tolist())
+        halves = np.frombuffer(digests, ">u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        ordered = halves[order]
+        new = np.ones(len(ordered), bool)
+        new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+        numbers = np.empty(len(ordered), np.int64)
+        numbers[order] = np.cumsum(new) - 1
+        shapes = np.empty(int(new.sum()), _WINDOW)
+        shapes["rest"] = ordered[new, 1]
+        shapes["several"] = np.bincount(numbers, minlength=len(shapes)) > 1
+        return starts, numbers, ordered[new, 0].astype(np.uint64), shapes
+
+    def segments(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of the anchors that occur elsewhere and are not crowded: their numbers, each one's segment, and the distinct segments with
         their shapes, ordered by the anchor's hash."""
-        hits = np.flatnonzero(repeated[self.key_of] > 0)
+        hits = np.flatnonzero(known[self.key_of] == SHARED)
         hits = hits[np.argsort(self.key_of[hits], kind="stable")]
         before = (self.anchors - self.first)[hits]
-        beyond = (self.first + self.n_windows - 1 + self.window)[hits]
+        beyond = self.beyond(hits)
         numbers: dict[tuple[int, bytes], int] = {}
         counts: list[int] = []
         of_hit = np.empty(len(hits), np.int64)
@@ -111,6 +148,35 @@ class _Block:
         return hits, of_hit, [s for _, s in numbers], shapes, keys
 
 
+def _known(crowd: int):  # noqa: ANN202
+    """Answers what is known of each anchor, given what all blocks hold of it."""
+
+    def answer(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+        order, starts = blocks.groups(keys)
+        lengths = np.diff(np.append(starts, len(keys)))
+        held = held[order].astype(np.int64)
+        shared = (lengths > 1) | (np.maximum.reduceat(held & 1, starts) > 0)
+        of_key = np.where(shared, np.where(np.add.reduceat(held >> 1, starts) > crowd, CROWDED, SHARED), ALONE)
+        out = np.empty(len(keys), np.uint8)
+        out[order] = np.repeat(of_key, lengths)
+        return out
+
+    return answer
+
+
+def _windows_elsewhere(keys: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """For each window a block holds, whether another block holds it or its own does several times."""
+    order = np.lexsort((windows["rest"], keys))
+    keys, rest, several = keys[order], windows["rest"][order], windows["several"][order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rest[1:] != rest[:-1])
+    starts = np.flatnonzero(new)
+    lengths = np.diff(np.append(starts, len(keys)))
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.repeat((lengths > 1) | (np.maximum.reduceat(several, starts) > 0), lengths)
+    return out
+
+
 def repeated_windows(segments: list[bytes], before: np.ndarray, groups: np.ndarray, window: int, reach: int) -> np.ndarray:
     """Which windows of each segment occur in another of its group: a row per segment, a column per start.
 
@@ -169,6 +235,7 @@ def dedup_bytes(
     gram: int = 64,
     block_bytes: int = 3_000_000,
     bucket_bytes: int = 5_000_000,
+    crowd: int = 5_000,
 ) -> DataFrame:
     """Removes each byte in a ``window``-byte string that also starts anywhere else, in the same text or another.
 
@@ -183,6 +250,11 @@ def dedup_bytes(
     and the collection of each bucket of anchors is sorted column by column (``repeated_windows``). A segment's
     copies travel once per block. ``block_bytes`` and ``bucket_bytes`` are the text behind one task.
 
+    A phrase that is an anchor in very many texts has a segment in each. Anchors with more than ``crowd`` segments,
+    added up over blocks, are split by their windows instead: those are dealt by a 128-bit digest, each once per
+    block, and repeated where two blocks hold the digest. So no task has more of one key than ``crowd`` segments or an
+    entry for each block.
+
     A NULL or empty text has no bytes; texts shorter than the window are kept whole. Each row is a text of its own,
     whatever its id: of repeated rows every one loses what they share.
     """
@@ -196,28 +268,41 @@ def dedup_bytes(
 
     def anchors(table: pa.Table) -> pa.Table:
         block = _Block(table, window, gram)
-        return blocks.ask(table["block"][0].as_py(), block.keys, block.several, n_buckets)
+        return blocks.ask(table["block"][0].as_py(), block.keys, block.held, n_buckets)
 
     asked = dealt.groupBy("block").applyInArrow(anchors, blocks.ASKED)
-    repeated = blocks.answered(asked, n_buckets, "u1", blocks.in_two_or_more)
+    known = blocks.answered(asked, n_buckets, "<u4", _known(crowd))
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows:
-            block = _Block(table, window, gram)
-            _, _, segments, shapes, keys = block.segments(blocks.replies_of(replies, "u1"))
+            block, number = _Block(table, window, gram), table["block"][0].as_py()
+            of_anchors = blocks.replies_of(replies, "u1")
+            _, _, segments, shapes, keys = block.segments(of_anchors)
             edges = np.arange(1, n_buckets, dtype=np.uint64) * np.uint64((2**64 - 1) // n_buckets)
             cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[b], cuts[b + 1])
-                rows.append((b, table["block"][0].as_py(), b"".join(segments[part]), shapes[part].tobytes()))
+                rows.append((b, number, b"".join(segments[part]), shapes[part].tobytes()))
+            _, _, halves, windows = block.crowded(of_anchors)
+            for row in blocks.ask(number, halves, windows, n_buckets).to_pylist():  # buckets of their own
+                rows.append((n_buckets + row["bucket"], number, row["keys"], row["values"]))
         columns = list(zip(*rows)) or [()] * 4
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "block", "segments", "shapes"])
 
-    sent = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(send, SEGMENTS)
+    sent = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, SEGMENTS)
+
+    def answers_to(table: pa.Table, answers: list[bytes]) -> pa.Table:
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "answers": pa.array(answers, pa.binary())})
 
     def sort(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() >= n_buckets:
+            keys = [np.frombuffer(k, np.uint64) for k in table["segments"].to_pylist()]
+            windows = np.concatenate([np.frombuffer(v, _WINDOW) for v in table["shapes"].to_pylist()])
+            elsewhere = _windows_elsewhere(np.concatenate(keys), windows)
+            cuts = np.cumsum([0, *map(len, keys)])
+            return answers_to(table, [elsewhere[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
         numbers: dict[tuple[bytes, int, bytes], int] = {}
         several: list[bool] = []
         of_block: list[list[int]] = []
@@ -245,25 +330,25 @@ def dedup_bytes(
             found[np.array(names)[varied]] = windows
         found[np.array(several, bool)] = True
         packed = np.packbits(found, axis=1)
-        return pa.table(
-            {
-                "block": table["block"],
-                "bucket": table["bucket"],
-                "answers": pa.array([packed[mine].tobytes() for mine in of_block], pa.binary()),
-            }
-        )
+        return answers_to(table, [packed[mine].tobytes() for mine in of_block])
 
     found = sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(sort, blocks.ANSWERS)
-    replies = repeated.withColumn("question", F.lit(0)).unionByName(found.withColumn("question", F.lit(1)))
+    question = F.when(F.col("bucket") < n_buckets, 1).otherwise(2)
+    replies = known.withColumn("question", F.lit(0)).unionByName(found.withColumn("question", question))
 
     def removed(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows:
-            question = replies["question"].to_numpy()
+            asked = replies["question"].to_numpy()
+            of_anchors, answers, of_windows = (blocks.replies_of(replies.filter(pa.array(asked == q)), "u1") for q in range(3))
             block = _Block(table, window, gram)
-            hits, of_hit, _, _, _ = block.segments(blocks.replies_of(replies.filter(pa.array(question == 0)), "u1"))
-            answers = blocks.replies_of(replies.filter(pa.array(question == 1)), "u1").reshape(-1, width)
+            hits, of_hit, _, _, _ = block.segments(of_anchors)
+            answers = answers.reshape(-1, width)
+            starts, numbers, _, _ = block.crowded(of_anchors)
+            gone = starts[of_windows[numbers] > 0]
             marks = np.zeros(len(block.joined) + 1, np.int32)
+            np.add.at(marks, gone, 1)
+            np.add.at(marks, gone + window, -1)
             for part in range(0, len(hits), 50_000):
                 some = hits[part : part + 50_000]
                 bits = np.unpackbits(answers[of_hit[part : part + 50_000]], axis=1)[:, :reach]
