@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tests.llm.samples import SCHEMA, key, ordered, prose, rows, sha, split
 from tidewright.llm import blocks, neardup, passages, suffixes
@@ -194,9 +196,11 @@ def chained(n, rng):
     return texts
 
 
-@pytest.mark.parametrize(("group", "longest"), [(600, 1500), (25, 10)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, group, longest):
+@pytest.mark.parametrize(("group", "pivots", "longest"), [(600, 16, 1500), (25, 16, 10), (6, 1, 10)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, group, pivots, longest):
     monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    monkeypatch.setattr(neardup, "LIST", longest)
     rng = random.Random(7)
     table = rows() + [(1000 + i, t, *[None] * 7) for i, t in enumerate(chained(90, rng))]
     table += [(5, prose(rng, 30), *[None] * 7), (1000, "another text of the same id as one above", *[None] * 7)]
@@ -204,6 +208,21 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, group, longest)
     assert ordered(out.select("doc_id", "n_shingles", "component_id", "kept").collect()) == expected_near(table, 85)
 
 
+def test_only_what_stays_apart_meets_the_rest_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 10)
+    members = [(i, 0, 1, 40 if i < 95 else 100, i // 10) for i in range(100)]
+    large = spark.createDataFrame(members, "rep bigint, version bigint, group bigint, n_shingles bigint, part int")
+    number = lambda f: f.withColumn("part", F.floor((F.row_number().over(Window.orderBy("n_shingles", "rep")) - 1) / 10))
+    tied = [(i, 0) for i in range(95)] + [(99, 98), (98, 98)]
+    cells = lambda tied: neardup._still_apart(large, spark.createDataFrame(tied, "node bigint, component bigint"), number, 85)
+    met = cells(tied).collect()
+    # the five of size 100 are one part and meet only the part that has such sizes
+    assert {r.cell for r in met} == {"1/0/9"} and {r.rep for r in met} == set(range(90, 100))
+    assert cells([(i, 0) for i in range(100)]).count() == 0
+    one_left = cells([(i, 0) for i in range(100) if i != 20])
+    assert one_left.select("cell").distinct().count() == 10  # a row of cells, not their square
+
+
 def test_long_lists_join_their_members(monkeypatch):
     monkeypatch.setattr(neardup, "LIST", 3)
     tokens, ids = np.array([1, 1, 1, 1, 2, 2]), np.array([9, 4, 7, 5, 4, 8])

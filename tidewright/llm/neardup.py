@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,10 @@ _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _rng.integers(0, 2**63, COORDINATES, np.uint64)
 _TAGS = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
-#: members of a candidate group compared in one task; larger groups are cut into blocks of this many
+#: members of a candidate group compared in one task; larger groups are cut into parts of this many
 GROUP = 600
+#: members of a larger group that each of its parts is compared with, to tie the parts together
+PIVOTS = 16
 #: a longer list of documents under one coordinate-value joins its members into one candidate group untested
 LIST = 1500
 
@@ -153,6 +155,31 @@ def confirmed(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return _connected(100 * common >= percent * union)
 
 
+def _still_apart(large: DataFrame, tied: DataFrame, numbered: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Cells that bring the members of each large group that are not in its largest component together with every part
+    of the group whose set sizes allow a link."""
+    known = lookup_join(large, tied.withColumnRenamed("node", "rep"), ["rep"], "left")
+    known = keep(known.withColumn("component", F.coalesce("component", "rep")), "tied-groups")
+    sizes = known.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n_tied"))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n_tied"), "component"))
+    largest = sizes.withColumn("rank", rank).filter("rank = 1").select("group", F.col("component").alias("largest"))
+    apart = lookup_join(known, largest, ["group"], "inner").filter("component <> largest")
+    apart = keep(numbered(apart.select("rep", "version", "group", "n_shingles")), "still-apart")
+
+    def spans(frame: DataFrame, prefix: str) -> DataFrame:
+        ends = F.min("n_shingles").alias(f"{prefix}_least"), F.max("n_shingles").alias(f"{prefix}_most")
+        return frame.groupBy("group", F.col("part").alias(f"{prefix}_part")).agg(*ends)
+
+    low, high = F.greatest("a_least", "b_least"), F.least("a_most", "b_most")  # the larger part's least, the smaller's most
+    meets = spans(apart, "a").join(spans(large, "b"), "group").filter(F.lit(100) * high >= F.lit(percent) * low)
+    meets = meets.withColumn("cell", F.concat_ws("/", "group", "a_part", "b_part"))
+    sides = [
+        frame.join(meets.select("group", F.col(f"{prefix}_part").alias("part"), "cell"), ["group", "part"])
+        for prefix, frame in (("a", apart), ("b", large))
+    ]
+    return sides[0].select("rep", "version", "group", "cell").unionByName(sides[1].select("rep", "version", "group", "cell"))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -173,10 +200,11 @@ def near_duplicates(
     rarest are posted: two signatures with ``least_equal`` of 64 equal coordinates share one of the 65 - ``least_equal``
     rarest, and pairs no other class has are skipped. Documents under one pair whose signatures
     agree in ``least_equal`` coordinates or more join a candidate group; lists of more than 1,500 are joined
-    untested. Inside a group all full sets are compared, so what the untested lists add costs time and no result. Groups of
-    more than 600 are cut into blocks by set size, a task per pair of blocks whose sizes allow a link: only then does
-    work grow with the square of a group, in tasks of bounded size. Tasks return what connects their documents, not the
-    pairs. A link at exactly 85 % has 42 equal coordinates with a probability of all but about 1 in 100,000.
+    untested. Inside a group full sets are compared, so what the untested lists add costs time and no result. Groups of
+    more than 600 are cut into parts by set size. Each part is first compared within itself and with 16 members drawn from
+    the whole group, which ties most copies into one component; then only documents outside the group's largest component
+    are compared with the parts whose sizes allow a link, so that work grows with the group times what stays apart in it,
+    in tasks of bounded size. Tasks return what connects their documents, not the pairs. A link at exactly 85 % has 42 equal coordinates with a probability of all but about 1 in 100,000.
 
     NULL or empty texts, and texts of white space, have no shingles and no links. Rows with one id are one document with
     the links of each of its texts. Rows with a NULL id are linked with nothing: ``component_id`` is NULL and ``kept`` is true.
@@ -262,28 +290,21 @@ def near_duplicates(
             "part", F.floor((F.row_number().over(Window.partitionBy("group").orderBy("n_shingles", "rep")) - 1) / GROUP).cast("int")
         )
 
-    members = lookup_join(classes.select("rep", "version", "n_shingles"), grouped, ["rep"], "inner")
-    members = keep(members, "members")
+    members = keep(lookup_join(classes.select("rep", "version", "n_shingles"), grouped, ["rep"], "inner"), "members")
+    texts = rows.filter("id is not null").select(F.col("id").alias("rep"), "version", "text")
+    texts = texts.join(members.select("rep", "version"), ["rep", "version"]).dropDuplicates(["rep", "version"])
+    texts = keep(texts, "member-texts")
     group_sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     placed = lookup_join(members, group_sizes, ["group"], "inner")
     small = placed.filter(F.col("n") <= GROUP).select(
         "rep", "version", "group", F.pmod(F.xxhash64("group"), F.lit(max(1, n_classes // 2000))).cast("string").alias("cell")
     )
     large = keep(numbered(placed.filter(F.col("n") > GROUP)), "large-groups")
-    spans = large.groupBy("group", "part").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    mine = spans.select("group", "part", "least", "most")
-    others = spans.select("group", F.col("part").alias("other"), F.col("least").alias("o_least"), F.col("most").alias("o_most"))
-    low, high = F.greatest("least", "o_least"), F.least("most", "o_most")  # the larger part's least, the smaller's most
-    meets = mine.join(others, "group").filter(F.lit(100) * high >= F.lit(percent) * low)
-    cells = large.join(meets.select("group", "part", "other"), ["group", "part"]).select(
-        "rep",
-        "version",
-        "group",
-        F.concat_ws("/", F.col("group"), F.least("part", "other"), F.greatest("part", "other")).alias("cell"),
-    )
-    work = small.unionByName(cells)
-    texts = rows.filter("id is not null").select(F.col("id").alias("rep"), "version", "text")
-    together = texts.join(work, ["rep", "version"]).select("cell", "group", "rep", "version", "text")
+    drawn = Window.partitionBy("group").orderBy(F.xxhash64("rep", "version"), "rep", "version")
+    pivots = large.withColumn("place", F.row_number().over(drawn)).filter(F.col("place") <= PIVOTS)
+    of_parts = large.select("group", "part").distinct().join(pivots.select("rep", "version", "group"), "group")
+    within = large.select("rep", "version", "group", "part").unionByName(of_parts)
+    within = within.select("rep", "version", "group", F.concat_ws("/", "group", "part").alias("cell"))
 
     def confirm(table: pa.Table) -> pa.Table:
         reps, of_group, versions = (table[c].to_numpy() for c in ("rep", "group", "version"))
@@ -300,7 +321,13 @@ def near_duplicates(
         edges = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
-    links = together.groupBy("cell").applyInArrow(confirm, "a bigint, b bigint")
+    def linked(cells: DataFrame) -> DataFrame:
+        together = texts.join(cells, ["rep", "version"]).select("cell", "group", "rep", "version", "text")
+        return keep(together.groupBy("cell").applyInArrow(confirm, "a bigint, b bigint"), "links-of-cells")
+
+    links = linked(small.unionByName(within))
+    if not large.isEmpty():
+        links = links.unionByName(linked(_still_apart(large, components(links, "links-within"), numbered, percent)))
     known = lookup_join(
         described.select("id", "n_shingles", "print"), classes.select("print", "rep"), ["print"], "left"
     )
