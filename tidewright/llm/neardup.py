@@ -189,6 +189,7 @@ def near_duplicates(
     least_equal: int = 42,
     part_rows: int = 20_000,
     bucket_rows: int = 50_000,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's).
 
@@ -204,7 +205,9 @@ def near_duplicates(
     more than 600 are cut into parts by set size. Each part is first compared within itself and with 16 members drawn from
     the whole group, which ties most copies into one component; then only documents outside the group's largest component
     are compared with the parts whose sizes allow a link, so that work grows with the group times what stays apart in it,
-    in tasks of bounded size. Tasks return what connects their documents, not the pairs. A link at exactly 85 % has 42 equal coordinates with a probability of all but about 1 in 100,000.
+    in tasks of bounded size. Tasks return what connects their documents, not the pairs. Up to ``broadcast_rows`` keys of
+    group members (two numbers each) are sent to the tasks that read the texts; of more, the texts are shuffled to them. A
+    link at exactly 85 % has 42 equal coordinates with a probability of all but about 1 in 100,000.
 
     NULL or empty texts, and texts of white space, have no shingles and no links. Rows with one id are one document with
     the links of each of its texts. Rows with a NULL id are linked with nothing: ``component_id`` is NULL and ``kept`` is true.
@@ -292,8 +295,10 @@ def near_duplicates(
 
     members = keep(lookup_join(classes.select("rep", "version", "n_shingles"), grouped, ["rep"], "inner"), "members")
     texts = rows.filter("id is not null").select(F.col("id").alias("rep"), "version", "text")
-    texts = texts.join(members.select("rep", "version"), ["rep", "version"]).dropDuplicates(["rep", "version"])
-    texts = keep(texts, "member-texts")
+    wanted = members.select("rep", "version")
+    if wanted.count() <= broadcast_rows:  # else both sides are shuffled
+        wanted = F.broadcast(wanted)
+    texts = keep(texts.join(wanted, ["rep", "version"]).dropDuplicates(["rep", "version"]), "member-texts")
     group_sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     placed = lookup_join(members, group_sizes, ["group"], "inner")
     small = placed.filter(F.col("n") <= GROUP).select(
