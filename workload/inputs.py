@@ -88,7 +88,8 @@ def raw_events(t: Tables) -> DataFrame:
 
 
 # --- lineage: what steps declare, what was observed -----------------------------------------------------------
-LINEAGE_CTE = """
+def _lineage_cte(app: str, crm: str) -> str:
+    return f"""
 log AS (
   SELECT 'job_' || user_id AS step,
          CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'write' END AS direction,
@@ -102,13 +103,13 @@ declared AS (
          CASE WHEN event_type = 'signup' THEN 'metrics' WHEN event_type = 'error' THEN 'quarantine'
               WHEN event_type = 'purchase' THEN 'primary' END AS kind,
          CASE WHEN event_type = 'click' THEN 'inferred' ELSE 'declared' END AS via
-  FROM events WHERE value > 5 AND user_id % 10 <> 7
+  FROM events WHERE {app}
   UNION ALL
   SELECT DISTINCT 'job_' || o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'read' ELSE 'write' END,
          'crm.d' || strftime(o_orderdate, '%Y%m%d'),
          CASE WHEN o_orderstatus = 'P' THEN 'quarantine' WHEN o_orderstatus = 'F' THEN 'primary' END,
          CASE WHEN o_orderpriority = '5-LOW' THEN 'inferred' ELSE 'declared' END
-  FROM orders WHERE o_custkey % 10 <> 7),
+  FROM orders{crm}),
 steps AS (
   SELECT 'job_' || c_custkey AS step,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'planned' WHEN c_mktsegment = 'BUILDING' THEN 'implemented'
@@ -123,6 +124,12 @@ steps AS (
 """
 
 
+#: every job declares what it does
+WHOLE_LINEAGE_CTE = _lineage_cte("value > 5", "")
+#: for comparisons with the log: jobs whose number ends in 7 declare nothing
+LINEAGE_CTE = _lineage_cte("value > 5 AND user_id % 10 <> 7", " WHERE o_custkey % 10 <> 7")
+
+
 def _job(key: str) -> Column:
     return F.concat(F.lit("job_"), F.col(key).cast("string")).alias("step")
 
@@ -141,19 +148,25 @@ def access_log(t: Tables) -> DataFrame:
     return t.events.select(_job("user_id"), _event_direction(), _event_ref(), mode.alias("mode"))
 
 
-def declared_edges(t: Tables) -> DataFrame:
-    """What jobs declare: their larger event accesses, and daily tables they touch through orders. Some declare nothing."""
+def declared_edges(t: Tables, *, some_silent: bool = False) -> DataFrame:
+    """What jobs declare: their larger event accesses, and daily tables they touch through orders.
+
+    With ``some_silent``, for comparisons with the log, jobs whose number ends in 7 declare nothing.
+    """
+    app, crm = t.events.filter(F.col("value") > 5), t.orders
+    if some_silent:
+        app, crm = app.filter(F.col("user_id") % 10 != 7), crm.filter(F.col("o_custkey") % 10 != 7)
     event_kind = (
         F.when(F.col("event_type") == "signup", "metrics")
         .when(F.col("event_type") == "error", "quarantine")
         .when(F.col("event_type") == "purchase", "primary")
     )
     event_via = F.when(F.col("event_type") == "click", "inferred").otherwise("declared")
-    app = t.events.filter((F.col("value") > 5) & (F.col("user_id") % 10 != 7)).select(
+    app = app.select(
         _job("user_id"), _event_direction(), _event_ref(), event_kind.alias("kind"), event_via.alias("via")
     )
     status = F.col("o_orderstatus")
-    crm = t.orders.filter(F.col("o_custkey") % 10 != 7).select(
+    crm = crm.select(
         _job("o_custkey"),
         F.when(status == "O", "read").otherwise("write").alias("direction"),
         F.concat(F.lit("crm.d"), F.date_format("o_orderdate", "yyyyMMdd")).alias("ref"),
