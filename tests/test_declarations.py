@@ -15,6 +15,10 @@ OF_SEVENS = {
         ("job_17", "write", "crm.d20200102", "primary", "declared"),
         ("job_27", "read", "crm.d20200102", None, "inferred"),
     },
+    "ln5_inferred_reads": {
+        ("warn", "job_7", "read app.h0105 is inferred from code — wave order may be wrong"),
+        ("warn", "job_27", "read crm.d20200102 is inferred from code — wave order may be wrong"),
+    },
 }
 
 

@@ -130,12 +130,12 @@ def _(t: Tables) -> DataFrame:
 
 @case(
     "ln5_inferred_reads",
-    f"""WITH {LINEAGE_CTE} SELECT 'warn' AS severity, step,
+    f"""WITH {WHOLE_LINEAGE_CTE} SELECT 'warn' AS severity, step,
         'read ' || ref || ' is inferred from code — wave order may be wrong' AS message
         FROM declared WHERE direction = 'read' AND via = 'inferred'""",
 )
 def _(t: Tables) -> DataFrame:
-    return lineage.inferred_reads(declared_edges(t, some_silent=True))
+    return lineage.inferred_reads(declared_edges(t))
 
 
 PRIMARY_CTE = f"""{LINEAGE_CTE},
