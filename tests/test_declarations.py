@@ -19,6 +19,9 @@ OF_SEVENS = {
         ("warn", "job_7", "read app.h0105 is inferred from code — wave order may be wrong"),
         ("warn", "job_27", "read crm.d20200102 is inferred from code — wave order may be wrong"),
     },
+    "jn6_dependencies": {("job_27", "job_17")},
+    "jn7_external_reads": {("job_7", "app.h0105")},
+    "ag7_duplicate_producers": {("crm.d20200103", 2)},
 }
 
 

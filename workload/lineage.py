@@ -138,7 +138,7 @@ def _(t: Tables) -> DataFrame:
     return lineage.inferred_reads(declared_edges(t))
 
 
-PRIMARY_CTE = f"""{LINEAGE_CTE},
+PRIMARY_CTE = f"""{WHOLE_LINEAGE_CTE},
 writers AS (SELECT DISTINCT step, ref FROM declared WHERE direction = 'write' AND coalesce(kind, 'primary') = 'primary'),
 readers AS (SELECT DISTINCT step, ref FROM declared WHERE direction = 'read')"""
 
@@ -149,12 +149,12 @@ readers AS (SELECT DISTINCT step, ref FROM declared WHERE direction = 'read')"""
     SELECT DISTINCT r.step, o.producer AS depends_on FROM readers r JOIN owner o USING (ref) WHERE r.step <> o.producer""",
 )
 def _(t: Tables) -> DataFrame:
-    return lineage.dependencies(declared_edges(t, some_silent=True))
+    return lineage.dependencies(declared_edges(t))
 
 
 @case("jn7_external_reads", f"WITH {PRIMARY_CTE} SELECT step, ref FROM readers WHERE ref NOT IN (SELECT ref FROM writers)")
 def _(t: Tables) -> DataFrame:
-    return lineage.external_reads(declared_edges(t, some_silent=True))
+    return lineage.external_reads(declared_edges(t))
 
 
 @case(
@@ -168,7 +168,7 @@ def _(t: Tables) -> DataFrame:
 
 @case("ag7_duplicate_producers", f"WITH {PRIMARY_CTE} SELECT ref, count(*) AS producers FROM writers GROUP BY 1 HAVING count(*) > 1")
 def _(t: Tables) -> DataFrame:
-    return lineage.duplicate_producers(declared_edges(t, some_silent=True))
+    return lineage.duplicate_producers(declared_edges(t))
 
 
 @case("ag8_access_inventory", f"WITH {LINEAGE_CTE} SELECT step, direction, ref, count(*) AS accesses FROM log GROUP BY 1, 2, 3")
