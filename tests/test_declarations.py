@@ -21,6 +21,7 @@ OF_SEVENS = {
     },
     "jn6_dependencies": {("job_27", "job_17")},
     "jn7_external_reads": {("job_7", "app.h0105")},
+    "jn8_unused_assets": {("crm.d20200104",)},
     "ag7_duplicate_producers": {("crm.d20200103", 2)},
 }
 

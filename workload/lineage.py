@@ -159,11 +159,11 @@ def _(t: Tables) -> DataFrame:
 
 @case(
     "jn8_unused_assets",
-    f"""WITH {LINEAGE_CTE} SELECT DISTINCT ref FROM declared
+    f"""WITH {WHOLE_LINEAGE_CTE} SELECT DISTINCT ref FROM declared
         WHERE direction = 'write' AND ref NOT IN (SELECT ref FROM declared WHERE direction = 'read')""",
 )
 def _(t: Tables) -> DataFrame:
-    return lineage.unused_assets(declared_edges(t, some_silent=True))
+    return lineage.unused_assets(declared_edges(t))
 
 
 @case("ag7_duplicate_producers", f"WITH {PRIMARY_CTE} SELECT ref, count(*) AS producers FROM writers GROUP BY 1 HAVING count(*) > 1")
