@@ -1,9 +1,11 @@
+import os
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.folders import ensure_checkpoint_dir
 from tidewright.operators import closure, graph, lineage, quality
 from tests.conftest import rows
 
@@ -223,6 +225,35 @@ def test_reachability_limit_raises(spark):
         closure.reachability(chain, chain.select("src").limit(1), max_rounds=2)
 
 
+def _bytes(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+@pytest.mark.parametrize("seeded", [False, True])
+def test_reachability_writes_a_pair_once(spark, seeded):
+    """Chains that end in one hub: what is on disk after all rounds is the edges and each pair, not a copy per round."""
+    n, chains = 12, 2000
+    edges = spark.range(n * chains).selectExpr("id as src", f"if(id % {n} = {n - 1}, -1, id + 1) as dst")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = _bytes(folder)
+    reached = closure.reachability(edges, edges.select("src") if seeded else None)
+    assert _bytes(folder) - before < 16 * n * (n + 1) / 2 * chains
+    assert "Exchange" not in reached._jdf.queryExecution().executedPlan().toString()
+    assert reached.count() == reached.distinct().count() == n * (n + 1) / 2 * chains
+    assert reached.filter("dst = -1").count() == n * chains
+    assert spark.sql("show tables like 'pairs_*'").isEmpty()
+
+
+def test_reachability_of_a_root_hub(spark, monkeypatch):
+    """One node that starts most edges, and more buckets than the session has partitions."""
+    monkeypatch.setattr(closure, "EDGES_A_BUCKET", 4)
+    edges = [(0, i) for i in range(1, 41)] + [(i, i + 100) for i in range(1, 41)] + [(101, 200), (200, 0), (0, 101)]
+    frame = spark.createDataFrame(edges, "src int, dst int")
+    expected = sorted(_closure(edges), key=repr)
+    assert rows(closure.reachability(frame)) == expected
+    assert rows(closure.reachability(frame, frame.select("src"))) == expected
+
+
 def test_graph_findings(spark):
     edges = spark.createDataFrame(
         [

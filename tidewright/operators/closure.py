@@ -7,6 +7,7 @@ NULL end lead nowhere and are left out.
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,44 +15,57 @@ from pyspark.sql import functions as F
 from tidewright.folders import ensure_checkpoint_dir
 from tidewright.operators.keys import lookup_join
 from tidewright.operators.lineage import dependencies
+from tidewright.operators.pairs import PairTable
 
 #: frames of earlier rounds that are read side by side before they are written together
 PIECES = 8
+#: edges for which pairs get one bucket more; what a bucket holds is grouped and sorted by one task
+EDGES_A_BUCKET = 250_000
+
+
+def _ends_known(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
 def _edges(edges: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(edges.sparkSession)
-    ends = edges.select("src", "dst")
-    return ends.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct().checkpoint()
+    return _ends_known(edges).distinct().checkpoint()
 
 
 def reachability(edges: DataFrame, seeds: DataFrame | None = None, *, max_rounds: int | None = None) -> DataFrame:
     """Pairs ``(src, dst)`` with a path of one or more edges from src to dst; cycles are fine.
 
     With ``seeds`` (a frame with ``src``) only paths from those: each round takes one more edge from the pairs the last
-    one found, so the work grows with what the seeds reach. Without, all pairs: each round joins the last one's new
-    pairs with all known ones, which doubles the length of the paths covered, and writes what is known as one frame;
-    a path of 1,000 edges takes 10 rounds. The answer itself can be as large as the square of the nodes.
+    one found, so the work grows with what the seeds reach. Without, all pairs: each round takes the pairs that are as
+    far apart as the rounds so far could see, and joins to them all that is known of where they end, which doubles the
+    length of the paths covered; a path of 1,000 edges takes 10 rounds. Known pairs lie in a ``PairTable`` and are
+    neither shuffled nor written again. The answer itself can be as large as the square of the nodes.
 
     Raises if ``max_rounds`` is not enough, rather than return part of it.
     """
-    step = _edges(edges)
-    if seeds is not None:
-        start = seeds.select("src").filter(F.col("src").isNotNull()).distinct()
-        return _walk(lookup_join(step, start, ["src"], "left_semi").select("src", "dst").checkpoint(), step, max_rounds)
-    known = fresh = step
-    rounds = 0
-    while not fresh.isEmpty():
-        _within(rounds, max_rounds)
-        grown = _chain(fresh, known).unionAll(_chain(known, fresh)).distinct()
-        fresh = grown.join(known, ["src", "dst"], "left_anti").checkpoint()
-        known = known.unionAll(fresh).checkpoint()
-        rounds += 1
-    return known
-
-
-def _within(rounds: int, max_rounds: int | None) -> None:
-    if max_rounds is not None and rounds >= max_rounds:
+    spark = edges.sparkSession
+    step = PairTable(spark, "src")
+    tables = [step]
+    try:
+        step.add(_ends_known(edges).withColumn("found", F.lit(0)))
+        buckets = math.ceil(step.rows().count() / EDGES_A_BUCKET)
+        if seeds is not None:
+            start = seeds.select("src").filter(F.col("src").isNotNull()).distinct()
+            tables.append(found := PairTable(spark, "src", "dst", buckets=buckets))
+            return _walk(found, step.rows().join(start, "src", "left_semi"), step.rows(), max_rounds)
+        # all pairs of one start share a bucket; where one node starts more edges than any ends, go by their ends
+        turned = step.most("src") > step.most("dst")
+        tables.append(pairs := PairTable(spark, "src", buckets=buckets))
+        pairs.add(step.turned() if turned else step.rows())
+        found = _doubled(pairs, max_rounds)
+        return found.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else found
+    finally:
+        for table in tables:
+            table.release()
+
+
+def _within(rounds: int, max_rounds: int | None, left: DataFrame) -> None:
+    if max_rounds is not None and rounds >= max_rounds and not left.isEmpty():
         raise RuntimeError(f"closure not complete after {max_rounds} rounds")
 
 
@@ -61,16 +75,39 @@ def _chain(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(onward, "dst").select("src", F.col("_next").alias("dst"))
 
 
-def _walk(pairs: DataFrame, step: DataFrame, max_rounds: int | None) -> DataFrame:
-    """What ``pairs`` lead to, edge by edge."""
-    found, frontier, rounds = [pairs], pairs, 0
-    while not frontier.isEmpty():
-        _within(rounds, max_rounds)
-        known = functools.reduce(DataFrame.unionAll, found)
-        frontier = _chain(frontier, step).distinct().join(known, ["src", "dst"], "left_anti").checkpoint()
-        found = [*found, frontier] if len(found) < PIECES else [known.unionAll(frontier).checkpoint()]
+def _walk(found: PairTable, pairs: DataFrame, step: DataFrame, max_rounds: int | None) -> DataFrame:
+    """What ``pairs`` lead to, edge by edge; ``found`` takes them under the number of their round."""
+    found.add(pairs)
+    rounds = 0
+    while found.has(rounds):
+        frontier = found.first().filter(F.col("found") == rounds)
+        _within(rounds, max_rounds, frontier)
+        found.add(_chain(frontier, step).withColumn("found", F.lit(rounds + 1)))
         rounds += 1
-    return functools.reduce(DataFrame.unionAll, found)
+    return found.first().select("src", "dst")
+
+
+def _doubled(pairs: PairTable, max_rounds: int | None) -> DataFrame:
+    """All that the edges in ``pairs`` lead to.
+
+    After ``r`` rounds every pair with a path of at most 2^r edges is known. Those first found at the end of exactly
+    2^r edges have the number 2r, others that the round has found 2r + 1. A shortest path of more than 2^r and at most
+    2^(r+1) edges begins with one of the former, and what is left of it is known.
+    """
+    rounds = 0
+    while pairs.has(2 * rounds):
+        known = pairs.first()
+        far = F.col("found") == 2 * rounds
+        ends = known.filter(far).select("src", "dst")
+        _within(rounds, max_rounds, ends)
+        onward = known.select(
+            F.col("src").alias("dst"),
+            F.col("dst").alias("_next"),
+            F.when(far, 2 * rounds + 2).otherwise(2 * rounds + 3).alias("found"),
+        )
+        pairs.add(ends.join(onward, "dst").select("src", F.col("_next").alias("dst"), "found"))
+        rounds += 1
+    return pairs.first().select("src", "dst")
 
 
 def _ends(edges: DataFrame, end: str, name: str) -> DataFrame:
