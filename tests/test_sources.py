@@ -207,6 +207,25 @@ def test_partitions_overwritten_at_the_same_time(spark, name):
     assert counts == {0: 10, 1: 2, 2: 10, 3: 10, 4: 5, 5: 10, 7: 8, 8: 9}
 
 
+def test_partitions_listed_again_when_a_folder_goes_missing(spark, name, monkeypatch):
+    tables.overwrite_partitions(spark.sql("select id, id % 2 d from range(6)"), name, "d")
+    catalog, calls = type(spark.catalog), []
+    listed = catalog.recoverPartitions
+
+    def recover(self, table):
+        calls.append(table)
+        if len(calls) == 1:
+            raise RuntimeError("java.io.FileNotFoundException: File d=4 does not exist")
+        listed(self, table)
+
+    monkeypatch.setattr(catalog, "recoverPartitions", recover)
+    tables.overwrite_partitions(spark.sql("select 9L id, 5L d"), name, "d")
+    assert calls == [name, name] and spark.table(name).filter("d = 5").count() == 1
+    monkeypatch.setattr(catalog, "recoverPartitions", lambda self, table: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        tables.overwrite_partitions(spark.sql("select 9L id, 6L d"), name, "d")
+
+
 def test_append_dedup_is_retry_safe(spark, name):
     batch = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "id int, v int")
     assert tables.append_dedup(batch, name, ["id"], order_by=["v"]) == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import time
 from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -259,13 +260,26 @@ def overwrite_partitions(
     writer = rows.write.format(table_format(spark, name)).mode("overwrite").partitionBy(*keys)
     writer.option("partitionOverwriteMode", "dynamic").save(table_location(spark, name))
     if touched is None:
-        spark.catalog.recoverPartitions(name)
+        _register_partitions(spark, name)
     elif touched:
         specs = [", ".join(f"`{k}` = '{spec[k]}'" for k in keys) for spec in touched]
         spark.sql(f"ALTER TABLE {quoted(name)} ADD IF NOT EXISTS {' '.join(f'PARTITION ({s})' for s in specs)}")
     spark.catalog.refreshTable(name)
 
 
+def _register_partitions(spark: SparkSession, name: str, tries: int = 5) -> None:
+    """Registers what lies below the table's location; a folder that another write replaces during the listing may be
+    gone for a moment, and then it is listed again."""
+    for left in reversed(range(tries)):
+        try:
+            spark.catalog.recoverPartitions(name)
+            return
+        except Exception as e:  # noqa: BLE001  the classic and the Connect client raise different classes
+            if not left or "FileNotFoundException" not in str(e):
+                raise
+            time.sleep(0.2)
+
+
 def touched_partitions(target: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:
     """The rows of ``target`` in partitions that ``batch`` has rows for, NULL partitions like any other.
 
